@@ -9,6 +9,8 @@ collects more than two small tables of a stated size:
 2.  Star round: within a shared small hash every class is compared with the smallest class
     that has it (and the smallest of its own size step).  A large group of near copies is
     linked here with a number of comparisons linear in the group.
+    Before two sets are fetched, their parity bitmaps (each hash flips one of at least ``n``
+    bits) bound how much they share from above.
 3.  Exact round: the prefix filter.  Hashes are ordered rare first (those seen to repeat come
     last, by their counts; at most ``COMMON`` are ranked, the rest only cost time), two linked
     sets must share a hash in their prefixes, and lists of a hash are sorted by size.
@@ -50,16 +52,44 @@ BLOCK = 1 << 20
 BITS = 1 << 24
 PIECE = 32_768
 
-SCANNED = "doc_id long, n long, hi long, lo long, sketch array<long>, again array<long>, times array<int>"
+SCANNED = "doc_id long, n long, hi long, lo long, sketch array<long>, parity binary, again array<long>, times array<int>"
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _parity(h: np.ndarray) -> bytes:
+    """A bitmap of at least len(h) bits, a power of two; each hash flips one bit."""
+    size = max(64, 1 << (len(h) - 1).bit_length())
+    flips = np.bincount((h >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def _alike(share: int):
+    """Keeps pairs that their bitmaps leave open: differing bits are at most what differs between the sets."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, nx, ny = (c.to_numpy() for c in batch.columns[:4])
+            keep = np.zeros(len(x), bool)
+            for i in range(len(x)):
+                a, b = (np.frombuffer(c[i].as_buffer(), np.uint8) for c in batch.columns[4:])
+                if len(a) < len(b):
+                    a, b = b, a
+                if len(a) > len(b):
+                    a = np.bitwise_xor.reduce(a.reshape(-1, len(b)))
+                apart = int(np.bitwise_count(a ^ b).sum())
+                most = (int(nx[i]) + int(ny[i]) - apart) // 2
+                keep[i] = 100 * most >= share * (int(nx[i]) + int(ny[i]) - most)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (x, y, nx, ny)], names=["x", "y", "nx", "ny"])
+
+    return alike
+
+
 def _scan(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.list_(pa.int64())), ("again", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.list_(pa.int64())), ("parity", pa.binary()), ("again", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
         seen: set[tuple[int, int]] = set()
         block: list[np.ndarray] = []
         held = 0
@@ -76,7 +106,7 @@ def _scan(width: int):
             rows = []
             for r, h in shingle_sets(batch.column(1), width=width):
                 hi, lo = digest(h) if len(h) else (0, 0)
-                rows.append((ids[r], len(h), hi, lo, _signed(np.sort(mix(h))[:SKETCH]) if len(h) else None, None, None))
+                rows.append((ids[r], len(h), hi, lo, _signed(np.sort(mix(h))[:SKETCH]) if len(h) else None, _parity(h) if len(h) else None, None, None))
                 if len(h) and (hi, lo) not in seen:
                     seen.add((hi, lo))
                     block.append(h)
@@ -132,7 +162,7 @@ def _sets(bitmap: np.ndarray, width: int):
             rows, size = [], 0
             for r, h in shingle_sets(batch.column(1), known, width):
                 if len(h):
-                    rows.append((values[r], *digest(h), h.tobytes()))
+                    rows.append((values[r], h.tobytes()))
                     size += len(h)
                 if size > BLOCK:
                     yield _set_batch(rows)
@@ -144,8 +174,8 @@ def _sets(bitmap: np.ndarray, width: int):
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "hi", "lo", "items"])
+    ids, items = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["doc_id", "items"])
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -160,15 +190,16 @@ def _bit_of(column: str) -> F.Column:
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
-        got = np.empty(batch.num_rows, np.int64)
+        got = np.empty((3, batch.num_rows), np.int64)
         for i in range(batch.num_rows):
             a, b = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (x, y))
+            got[1:, i] = len(a), len(b)
             if len(a) > len(b):
                 a, b = b, a
             at = np.searchsorted(b, a)
             at[at == len(b)] = 0
-            got[i] = np.count_nonzero(b[at] == a)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got)], names=["x", "y", "overlap"])
+            got[0, i] = np.count_nonzero(b[at] == a)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, got)], names=["x", "y", "overlap", "nx", "ny"])
 
 
 def _linked(overlap: str, a: str, b: str, share: int) -> F.Column:
@@ -176,7 +207,7 @@ def _linked(overlap: str, a: str, b: str, share: int) -> F.Column:
 
 
 def _open_pairs(share: int):
-    """From rows (token, size, place, class, component) sorted by token and size: pairs of different components."""
+    """From rows (token, size and place, class, component) in order: pairs of different components."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """Whole lists, many at a time; a long list waits in compact arrays until its end."""
@@ -198,7 +229,8 @@ def _open_pairs(share: int):
             yield [np.concatenate(c) for c in zip(*rest, strict=True)]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, size, place, node, comp in blocks(batches):
+        for token, at, node, comp in blocks(batches):
+            size, place = at >> 32, at & 0xFFFFFFFF
             cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             mixed = np.flatnonzero(np.minimum.reduceat(comp, cuts[:-1]) != np.maximum.reduceat(comp, cuts[:-1]))
             found: set[tuple[int, int]] = set()
@@ -239,12 +271,12 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = cut(texts.mapInArrow(_scan(width), SCANNED))
-    rows = scanned.where("again is null").select("doc_id", "n", "hi", "lo", "sketch")
+    rows = scanned.where("again is null").select("doc_id", "n", "hi", "lo", "sketch", "parity")
 
     # 1. classes of equal sets; the smallest doc_id stands for a class
     full = rows.where("n > 0 and doc_id is not null")
-    classes = cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    member = rows.join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
+    classes = cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
+    member = rows.drop("sketch", "parity").join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
     # texts that share a doc_id
     shared = member.where("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b"))
 
@@ -255,26 +287,27 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     stepped = small.groupBy("token", "step").agg(best)
     keys = [small.join(whole, "token"), small.join(stepped, ["token", "step"])]
     star = keys[0].select("rep", "n", "c").union(keys[1].select("rep", "n", "c")).where(f"rep <> c.rep and 100 * c.n >= {share} * n")
-    star = cut(star.select(F.col("c.rep").alias("x"), F.col("rep").alias("y")).distinct())
-    sizes = classes.groupBy("rep").agg(F.min("n").alias("n"))
+    star = star.select(F.col("c.rep").alias("x"), F.col("rep").alias("y")).distinct()
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """pairs (x, y) that may be linked -> (x, y, nx, ny)."""
+        side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+        both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "px", "py")
+        return cut(both.mapInArrow(_alike(share), "x long, y long, nx long, ny long").distinct())
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """pairs (x, y) -> (x, y, overlap, nx, ny); a doc_id's texts are compared each."""
+        """pairs (x, y) -> (x, y, overlap, nx, ny); texts that share a doc_id give a row each."""
         ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
         bits = ids.select(_bit_of("doc_id").alias("b")).groupBy(F.floor(F.col("b") / PIECE).alias("piece")).agg(F.expr(f"bitmap_construct_agg(b % {PIECE})").alias("bits"))
         bitmap = np.zeros(BITS // 8, np.uint8)
         for piece, part in bits.collect():  # at most BITS / PIECE rows of 4 KB
             bitmap[piece * PIECE // 8 :][: len(part)] = np.frombuffer(part, np.uint8)
         held = spark.sparkContext.broadcast(bitmap)
-        sets = texts.mapInArrow(lambda it: _sets(held.value, width)(it), "doc_id long, hi long, lo long, items binary")
-        sets = sets.join(classes.select("hi", "lo", F.col("rep").alias("doc_id")), ["hi", "lo", "doc_id"], "left_semi").dropDuplicates(["hi", "lo"]).select("doc_id", "items")
-        both = pairs.join(sets.withColumnRenamed("doc_id", "x").withColumnRenamed("items", "xs"), "x").join(sets.withColumnRenamed("doc_id", "y").withColumnRenamed("items", "ys"), "y")
-        done = both.select("x", "y", "xs", "ys").mapInArrow(_overlaps, "x long, y long, overlap long")
-        done = done.groupBy("x", "y").agg(F.max("overlap").alias("overlap"))
-        done = done.join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("ny")), "y")
-        return cut(done.select("x", "y", "overlap", "nx", "ny"))
-
-    found = compared(star).where(_linked("overlap", "nx", "ny", share))
+        sets = texts.mapInArrow(lambda it: _sets(held.value, width)(it), "doc_id long, items binary")
+        both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("items").alias("xs")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("items").alias("ys")), "y")
+        return cut(both.select("x", "y", "xs", "ys").mapInArrow(_overlaps, "x long, y long, overlap long, nx long, ny long"))
+
+    found = compared(alike(star).select("x", "y").distinct()).where(_linked("overlap", "nx", "ny", share))
     links = [shared, found.select(F.col("x").alias("a"), F.col("y").alias("b"))]
     first = components(links[0].union(links[1]))
 
@@ -289,13 +322,12 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     nodes = classes.select("hi", "lo", F.col("rep").alias("doc_id"), "n").join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     nodes = nodes.select("hi", "lo", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     lists = prefix.join(nodes, ["hi", "lo", "doc_id"]).select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id", "comp")
-    lists = lists.select("token", "n", F.col("place").cast("long").alias("place"), "doc_id", "comp").repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    pairs = cut(lists.mapInArrow(_open_pairs(share), "x long, y long").distinct())
+    lists = lists.select("token", F.expr("shiftleft(n, 32) + place").alias("at"), "doc_id", "comp").repartition("token").sortWithinPartitions("token", "at", "doc_id")
+    pairs = alike(lists.mapInArrow(_open_pairs(share), "x long, y long").distinct())
     if not pairs.isEmpty():
         # the centre that a set is most alike, and what they share
         centre = found.groupBy("y").agg(F.max(F.struct("overlap", "x")).alias("c")).select("y", F.col("c.x").alias("centre"), F.col("c.overlap").alias("shared"))
         left = pairs.join(centre, "y", "left").join(centre.select(F.col("y").alias("x"), F.col("centre").alias("xc"), F.col("shared").alias("xs")), "x", "left")
-        left = left.join(sizes.select(F.col("rep").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("rep").alias("y"), F.col("n").alias("ny")), "y")
         # u is the set to compare with the centre of v
         left = left.selectExpr("x", "y", "coalesce(centre, xc) c", "if(centre is not null, x, y) u", "if(centre is not null, nx, ny) nu", "if(centre is not null, ny, nx) nv", "coalesce(shared, xs) vc")
         left = cut(left)
@@ -306,7 +338,7 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
         left = left.withColumns({"ax": F.least("c", "u"), "ay": F.greatest("c", "u")}).join(known.selectExpr("x ax", "y ay", "overlap uc", "nx an", "ny bn"), ["ax", "ay"], "left")
         bound = f"100 * (least(uc, vc) + least(nu - uc, nv - vc)) >= {share} * (nu + nv - least(uc, vc) - least(nu - uc, nv - vc))"
         joined = f"100 * uc >= {share} * (an + bn - uc)"
-        rest = left.where(f"uc is null or (not ({joined}) and {bound})").select("x", "y")
+        rest = left.where(f"uc is null or (not ({joined}) and {bound})").select("x", "y").distinct()
         links.append(compared(rest).where(_linked("overlap", "nx", "ny", share)).select(F.col("x").alias("a"), F.col("y").alias("b")))
         every = links[0]
         for more in links[1:]:
