@@ -6,21 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm import chat_format, mixing
 from brindle.llm.ngram_join import jaccard_groups
 from brindle.llm.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", f"'{chat_format.PROBE}' text")
+    return chat_format.chat_digests(turns.unionByName(probe))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_chat_format": op6_chat_format,
+        "op7_mix_sources": op7_mix_sources,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_chat_format": chat_format.ORACLE,
+        "op7_mix_sources": mixing.ORACLE,
+    }
