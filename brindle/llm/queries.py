@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import chat_format, mixing
 from brindle.llm.ngram_join import jaccard_groups
+from brindle.llm.quality_rules import quality_rules
 from brindle.llm.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", f"'{chat_format.PROBE}' text")
@@ -29,6 +34,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op6_chat_format": op6_chat_format,
         "op7_mix_sources": op7_mix_sources,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
