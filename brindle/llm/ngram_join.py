@@ -3,17 +3,19 @@
 ``100 * |x & y| >= 80 * |x | y|`` links two documents.  The plan, none of whose steps
 collects more than two small tables of a stated size:
 
-1.  One scan gives each set's size, a 128-bit digest, its eight smallest hashes, and hashes
-    that repeat among the sets of one block of the scan.  Equal sets become one class,
-    so copies of any number cost one row each.
-2.  Star round: within a shared small hash every class is compared with the smallest class
-    that has it (and the smallest of its own size step).  A large group of near copies is
+1.  One scan gives each set's size, a 128-bit digest, its ``SKETCH`` smallest hashes and a
+    parity bitmap.  Equal sets become one class, so copies of any number cost one row each.
+2.  Star round: within a shared small hash every class is compared with the one that stands
+    nearest to the middle of its group (and with the nearest of its own size step), that is,
+    whose own small hashes the most classes have.  A large group of near copies is
     linked here with a number of comparisons linear in the group.
     Before two sets are fetched, their parity bitmaps (each hash flips one of at least ``n``
     bits) bound how much they share from above.
-3.  Exact round: the prefix filter.  Hashes are ordered rare first (those seen to repeat come
-    last, by their counts; at most ``COMMON`` are ranked, the rest only cost time), two linked
-    sets must share a hash in their prefixes, and lists of a hash are sorted by size.
+3.  Exact round: the prefix filter.  Hashes below ``LOW`` are counted over all documents;
+    sets are ordered with the common ones (``OFTEN`` or more; the ``COMMON`` most frequent) at
+    their end by count, the others before them by value.  Any order gives the same links;
+    this one keeps passages that many documents share out of the prefixes.  Two linked sets
+    share a hash in their prefixes, and lists of a hash are sorted by size.
     *Index-level skipping*: a list whose entries are one component already is passed over; in
     others each entry looks only at the block of sizes it can link with, further bounded by
     the two positions.  *Answer-level skipping*: for a pair (x, y) where y was compared with
@@ -46,13 +48,15 @@ from brindle.llm.bytes_view import digest, mix, shingle_sets
 from brindle.llm.components import components
 from brindle.llm.session import cut
 
-SKETCH = 8
-COMMON = 1 << 17
+SKETCH = 16
+COMMON = 1 << 18
+#: Hashes below LOW are counted; those of at least OFTEN sets are common.
+LOW, OFTEN = np.uint64(int(0.3 * 2**64)), 8
 BLOCK = 1 << 20
 BITS = 1 << 24
 PIECE = 32_768
 
-SCANNED = "doc_id long, n long, hi long, lo long, sketch array<long>, parity binary, again array<long>, times array<int>"
+SCANNED = "doc_id long, n long, hi long, lo long, sketch array<long>, parity binary"
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -89,39 +93,45 @@ def _alike(share: int):
 
 def _scan(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.list_(pa.int64())), ("parity", pa.binary()), ("again", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
-        seen: set[tuple[int, int]] = set()
-        block: list[np.ndarray] = []
-        held = 0
-
-        def repeated() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, int))
-            h, c = h[c > 1], c[c > 1]
-            seen.clear()
-            block.clear()
-            return pa.RecordBatch.from_pylist([{"again": _signed(h), "times": c.astype(np.int32)}], schema=schema)
-
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.list_(pa.int64())), ("parity", pa.binary())])
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = []
             for r, h in shingle_sets(batch.column(1), width=width):
-                hi, lo = digest(h) if len(h) else (0, 0)
-                rows.append((ids[r], len(h), hi, lo, _signed(np.sort(mix(h))[:SKETCH]) if len(h) else None, _parity(h) if len(h) else None, None, None))
-                if len(h) and (hi, lo) not in seen:
-                    seen.add((hi, lo))
-                    block.append(h)
-                    held += len(h)
-                    if held > BLOCK:
-                        yield repeated()
-                        held = 0
+                rows.append((ids[r], len(h), *digest(h), _signed(np.sort(mix(h))[:SKETCH]), _parity(h)) if len(h) else (ids[r], 0, 0, 0, None, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        if block:
-            yield repeated()
 
     return scan
 
 
+def _counted(width: int):
+    """How many different sets of a block hold each hash below LOW."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[tuple[int, int]] = set()
+            block: list[np.ndarray] = []
+            held = 0
+            for _, h in shingle_sets(batch.column(1), width=width):
+                if len(h) and (key := digest(h)) not in seen:
+                    seen.add(key)
+                    block.append(h[: np.searchsorted(h, LOW)])
+                    held += len(block[-1])
+                if held > BLOCK:
+                    yield _count_batch(block)
+                    seen, block, held = set(), [], 0
+            if block:
+                yield _count_batch(block)
+
+    return counted
+
+
+def _count_batch(block: list[np.ndarray]) -> pa.RecordBatch:
+    h, k = np.unique(np.concatenate(block), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(k.astype(np.int64))], names=["h", "k"])
+
+
 def _prefixes(common: tuple[np.ndarray, np.ndarray], share: int, width: int):
     """common: hashes sorted as integers, with their ranks; they come last in each set, the others first by value."""
     order, ranks = common
@@ -271,7 +281,7 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = cut(texts.mapInArrow(_scan(width), SCANNED))
-    rows = scanned.where("again is null").select("doc_id", "n", "hi", "lo", "sketch", "parity")
+    rows = scanned
 
     # 1. classes of equal sets; the smallest doc_id stands for a class
     full = rows.where("n > 0 and doc_id is not null")
@@ -282,11 +292,17 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
 
     # 2. stars
     small = classes.select(F.explode("sketch").alias("token"), "rep", "n", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / share))).alias("step"))
-    best = F.min(F.struct("n", "rep")).alias("c")
-    whole = small.groupBy("token").agg(best)
-    stepped = small.groupBy("token", "step").agg(best)
-    keys = [small.join(whole, "token"), small.join(stepped, ["token", "step"])]
-    star = keys[0].select("rep", "n", "c").union(keys[1].select("rep", "n", "c")).where(f"rep <> c.rep and 100 * c.n >= {share} * n")
+    held = small.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    small = cut(small.join(held, "token"))
+    # a set most of whose hashes many others have stands nearest to the middle of its group
+    middle = small.groupBy("rep").agg(F.round(F.sum(F.log("k")), 3).alias("score"))
+    small = cut(small.join(middle, "rep").select("token", "step", F.struct((-F.col("score")).alias("s"), "rep", "n").alias("d")))
+    star = None
+    for keys in (["token"], ["token", "step"]):
+        best = small.groupBy(*keys).agg(F.min("d").alias("c"))
+        more = small.join(best, keys).select("c", "d")
+        star = more if star is None else star.union(more)
+    star = star.where(f"d.rep <> c.rep and 100 * least(c.n, d.n) >= {share} * greatest(c.n, d.n)").select("c", F.col("d.rep").alias("rep"))
     star = star.select(F.col("c.rep").alias("x"), F.col("rep").alias("y")).distinct()
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -312,10 +328,10 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     first = components(links[0].union(links[1]))
 
     # 3. what the stars leave open
-    counts = scanned.where("again is not null").select(F.explode(F.arrays_zip("again", "times")).alias("e")).groupBy(F.col("e.again").alias("h")).agg(F.sum("e.times").alias("k")).where("k >= 4")
-    top = counts.orderBy(F.desc("k"), "h").limit(COMMON).collect()  # at most COMMON pairs of integers
-    ranked = sorted((k, h) for h, k in top)
-    order = np.array([h for _, h in ranked], np.int64).view(np.uint64)
+    counts = texts.mapInArrow(_counted(width), "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where(f"k >= {OFTEN}")
+    top = counts.orderBy(F.desc("k"), "h").limit(COMMON).toArrow()  # at most COMMON pairs of integers
+    h, k = top.column("h").to_numpy(), top.column("k").to_numpy()
+    order = h[np.lexsort((h, k))].astype(np.int64).view(np.uint64)
     by = np.argsort(order)
     common = spark.sparkContext.broadcast((order[by], by))
     prefix = texts.mapInArrow(lambda it: _prefixes(common.value, share, width)(it), "doc_id long, hi long, lo long, prefix array<long>")
