@@ -31,6 +31,7 @@ RANGES = 4
 
 _i, _t = np.meshgrid(np.arange(BINS, dtype=np.uint64), np.arange(1, ATTEMPTS + 1, dtype=np.uint64))
 PROBES = (mix(_i * np.uint64(0x9E3779B97F4A7C15) + _t * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+NUMBER = np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
 
@@ -52,7 +53,8 @@ def bins_of(h: np.ndarray) -> np.ndarray:
         empty = empty[~ok]
     if len(empty):  # a very small set: its least hash
         value[empty] = h[0]
-    return (mix(value) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    # the bin's number enters, or bins that share a donor would agree by chance together
+    return (mix(value + NUMBER) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def packed(bins: np.ndarray) -> str:

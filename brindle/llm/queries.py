@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat_format, mixing, packing, pseudonyms
+from brindle.llm import chat_format, fingerprints, language_id, mixing, packing, pseudonyms
 from brindle.llm.ngram_join import jaccard_groups
 from brindle.llm.quality_rules import quality_rules
 from brindle.llm.session import table
@@ -25,6 +25,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonym_rows(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -50,10 +58,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op4_fingerprints": op4_fingerprints,
         "op5_pseudonyms": op5_pseudonyms,
         "op6_chat_format": op6_chat_format,
         "op7_mix_sources": op7_mix_sources,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_language_id": op9_language_id,
         "op10_pack": op10_pack,
     }
 
