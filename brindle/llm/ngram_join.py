@@ -364,3 +364,22 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     # 4. each row's component, through its class
     out = member.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, share: int = 80, width: int = 5) -> DataFrame:
+    """docs with one row of each group of linked documents: that of the smallest doc_id, a repeated row once.
+
+    Documents with an empty set, and rows with a null doc_id, link with nothing and stay.
+    """
+    groups = jaccard_groups(docs, share, width)
+    # rows of a doc_id share a group, so the ids that go decide
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    again = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    if again.isEmpty():
+        return kept
+    # of rows that share a doc_id, the first by text stays
+    twice = kept.join(again, kept["doc_id"] == again["__id"], "left_semi")
+    once = kept.join(again, kept["doc_id"] == again["__id"], "left_anti")
+    first = twice.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("__none"), "text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("__row"))
+    return once.unionByName(first.select("doc_id", "__row.*").select(*docs.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat_format, fingerprints, language_id, mixing, packing, pseudonyms
+from brindle.llm import chat_format, fingerprints, language_id, line_crf, mixing, packing, pseudonyms, secrets
 from brindle.llm.ngram_join import jaccard_groups
 from brindle.llm.quality_rules import quality_rules
 from brindle.llm.session import table
@@ -25,6 +25,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -55,9 +63,17 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_line_crf": op3_line_crf,
         "op4_fingerprints": op4_fingerprints,
         "op5_pseudonyms": op5_pseudonyms,
         "op6_chat_format": op6_chat_format,
@@ -65,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_language_id": op9_language_id,
         "op10_pack": op10_pack,
+        "pipeline": pipeline,
     }
 
 
