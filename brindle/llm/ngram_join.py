@@ -11,11 +11,12 @@ collects more than two small tables of a stated size:
     linked here with a number of comparisons linear in the group.
     Before two sets are fetched, their parity bitmaps (each hash flips one of at least ``n``
     bits) bound how much they share from above.
-3.  Exact round: the prefix filter.  Hashes below ``LOW`` are counted over all documents;
-    sets are ordered with the common ones (``OFTEN`` or more; the ``COMMON`` most frequent) at
-    their end by count, the others before them by value.  Any order gives the same links;
-    this one keeps passages that many documents share out of the prefixes.  Two linked sets
-    share a hash in their prefixes, and lists of a hash are sorted by size.
+3.  Exact round: the prefix filter, in the order of how many documents hold a hash.  Blocks
+    of about ``BLOCK`` hashes deal them, packed, to buckets by their value, each hash of a block
+    once; a bucket sums and answers to each block which of its hashes two or more documents
+    hold.  Hashes that one document holds come first in the order and cannot meet another, so
+    a set with enough of them needs no list, and two linked sets share a hash in the rest of
+    their prefixes.  Lists of a hash are sorted by size.
     *Index-level skipping*: a list whose entries are one component already is passed over; in
     others each entry looks only at the block of sizes it can link with, further bounded by
     the two positions.  *Answer-level skipping*: for a pair (x, y) where y was compared with
@@ -36,22 +37,19 @@ repeated rows, ties of size and extra columns change nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.llm.bytes_view import digest, mix, shingle_sets
 from brindle.llm.components import components
 from brindle.llm.session import cut
 
 SKETCH = 16
-COMMON = 1 << 18
-#: Hashes below LOW are counted; those of at least OFTEN sets are common.
-LOW, OFTEN = np.uint64(int(0.3 * 2**64)), 8
 BLOCK = 1 << 20
 BITS = 1 << 24
 PIECE = 32_768
@@ -105,58 +103,170 @@ def _scan(width: int):
     return scan
 
 
-def _counted(width: int):
-    """How many different sets of a block hold each hash below LOW."""
+class Block:
+    """Sets of some documents, as one sorted array of (hash, document) keys.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A hash is cut to ``bits`` bits here; hashes that meet only make an order coarser.
+    """
+
+    def __init__(self, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.keys: list[np.ndarray] = []
+        self.docs: list[tuple[int, int, int, int]] = []
+        self.size = 0
+
+    def add(self, doc_id: int, h: np.ndarray) -> None:
+        self.keys.append((h >> self.shift << np.uint64(16)) | np.uint64(len(self.docs)))
+        self.docs.append((doc_id, *digest(h), len(h)))
+        self.size += len(h)
+
+    def full(self) -> bool:
+        return self.size >= BLOCK or len(self.docs) == 1 << 16
+
+
+def _dealt(buckets: int, width: int):
+    """Rows of blocks: for each bucket of hashes those that one document of the block holds (with it) and those
+    that several hold (with how many), and to the block itself (bucket -1) the latter with each document."""
+    bits = 32 + buckets.bit_length() - 1
+
+    def rows_of(block: Block, number: int) -> Iterator[tuple]:
+        keys = np.sort(np.concatenate(block.keys))
+        token, doc = keys >> np.uint64(16), (keys & np.uint64(0xFFFF)).astype(np.uint16)
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        times = np.diff(np.append(first, len(token)))
+        one = first[times == 1]
+        several = times > 1
+        shared, k = token[first[several]], times[several].astype(np.uint32)
+        many = np.repeat(several, times)
+        ids = np.array(block.docs, np.int64)
+        yield (-1, number, token[many].tobytes(), doc[many].tobytes(), ids.tobytes())
+        edges = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)
+        cut_one, cut_many = np.searchsorted(token[one], edges), np.searchsorted(shared, edges)
+        low_one, doc_one, low_many = token[one].astype(np.uint32), doc[one], shared.astype(np.uint32)
+        for b in range(buckets):
+            i, j, x, y = cut_one[b], cut_one[b + 1], cut_many[b], cut_many[b + 1]
+            if j > i or y > x:
+                yield (b, number, np.concatenate([low_one[i:j], low_many[x:y]]).tobytes(), doc_one[i:j].tobytes(), k[x:y].tobytes())
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        block = Block(bits)
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            block: list[np.ndarray] = []
-            held = 0
-            for _, h in shingle_sets(batch.column(1), width=width):
-                if len(h) and (key := digest(h)) not in seen:
-                    seen.add(key)
-                    block.append(h[: np.searchsorted(h, LOW)])
-                    held += len(block[-1])
-                if held > BLOCK:
-                    yield _count_batch(block)
-                    seen, block, held = set(), [], 0
-            if block:
-                yield _count_batch(block)
+            ids = batch.column(0).to_pylist()
+            for r, h in shingle_sets(batch.column(1), width=width):
+                if ids[r] is not None and len(h):
+                    block.add(ids[r], h)
+                if block.full():
+                    yield _dealt_batch(rows_of(block, number))
+                    number, block = number + 1, Block(bits)
+        if block.size:
+            yield _dealt_batch(rows_of(block, number))
+
+    return dealt
+
 
-    return counted
+DEALT = "bucket int, block long, tokens binary, docs binary, more binary"
 
 
-def _count_batch(block: list[np.ndarray]) -> pa.RecordBatch:
-    h, k = np.unique(np.concatenate(block), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(k.astype(np.int64))], names=["h", "k"])
+def _dealt_batch(rows: Iterator[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "tokens", "docs", "more"])
 
 
-def _prefixes(common: tuple[np.ndarray, np.ndarray], share: int, width: int):
-    """common: hashes sorted as integers, with their ranks; they come last in each set, the others first by value."""
-    order, ranks = common
+def _by_key(batches: Iterator[pa.RecordBatch], key: Callable[[tuple], object]) -> Iterator[list[tuple]]:
+    """The rows of each key; rows come in the key's order."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and key(rows[-1]) != key(row):
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the rows of a bucket, back to each block: its hashes that two or more documents hold, and how many do.
+
+    A block's own rows go through as they are."""
+    for rows in _by_key(batches, lambda r: r[:2] if r[0] < 0 else r[0]):
+        if rows[0][0] < 0:
+            yield _dealt_batch(iter(rows))
+            continue
+        tokens = [np.frombuffer(r[2], np.uint32) for r in rows]
+        value, count = np.unique(np.concatenate(tokens), return_counts=True)
+        for t, r in zip(tokens, rows, strict=True):
+            k = np.frombuffer(r[4], np.uint32)
+            if len(k):
+                np.add.at(count, np.searchsorted(value, t[len(t) - len(k) :]), k.astype(np.int64) - 1)
+        value, count = value[count > 1], count[count > 1]
+        if not len(value):
+            continue
+        out = []
+        for t, r in zip(tokens, rows, strict=True):
+            docs = np.frombuffer(r[3], np.uint16)
+            at = np.minimum(np.searchsorted(value, t), len(value) - 1)
+            hit = value[at] == t
+            if hit.any():
+                one = hit[: len(docs)]
+                found = np.concatenate([np.flatnonzero(one), len(docs) + np.flatnonzero(hit[len(docs) :])])
+                pairs = np.stack([t[found], np.minimum(count[at[found]], 2**32 - 1).astype(np.uint32)])
+                out.append((r[0], r[1], pairs.tobytes(), docs[one].tobytes(), None))
+        if out:
+            yield _dealt_batch(iter(out))
+
+
+def _prefixes(share: int):
+    """For the rows of a block: the prefixes of its documents most of whose hashes others hold too.
+
+    Hashes are ordered by how many documents hold them, and those of one document only come
+    first: a set with so many of these that they fill its prefix links with nothing.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            ids = batch.column(0).to_pylist()
-            for r, h in shingle_sets(batch.column(1), width=width):
-                if ids[r] is None or not len(h):
-                    continue
-                n = len(h)
-                keep = n - -(-share * n // 100) + 1
-                hi, lo = digest(h)
-                if len(order):
-                    at = np.minimum(np.searchsorted(order, h), len(order) - 1)
-                    late = order[at] == h
-                    if late.any():
-                        h = np.concatenate([h[~late], h[late][np.argsort(ranks[at[late]], kind="stable")]])
-                out.append((ids[r], hi, lo, _signed(h[:keep])))
+        for rows in _by_key(batches, lambda r: r[1]):
+            token, held, doc = [], [], []
+            shared, times = [], []
+            own = next(r for r in rows if r[0] < 0)
+            ids = np.frombuffer(own[4], np.int64).reshape(-1, 4)
+            for r in rows:
+                if r[0] >= 0:
+                    pairs, docs = np.frombuffer(r[2], np.uint32).reshape(2, -1), np.frombuffer(r[3], np.uint16)
+                    high = np.uint64(r[0]) << np.uint64(32)
+                    full = pairs[0].astype(np.uint64) | high
+                    token.append(full[: len(docs)])
+                    held.append(pairs[1][: len(docs)])
+                    doc.append(docs)
+                    shared.append(full[len(docs) :])
+                    times.append(pairs[1][len(docs) :])
+            many, of = np.frombuffer(own[2], np.uint64), np.frombuffer(own[3], np.uint16)
+            if len(many):
+                key, k = np.concatenate(shared), np.concatenate(times)
+                order = np.argsort(key)
+                token.append(many)
+                held.append(k[order][np.searchsorted(key[order], many)])
+                doc.append(of)
+            if not token:
+                continue
+            token, held, doc = np.concatenate(token), np.concatenate(held), np.concatenate(doc).astype(np.int64)
+            known = np.bincount(doc, minlength=len(ids))
+            n = ids[:, 3]
+            need = -(-share * n // 100)
+            open_ = known >= need
+            keep = open_[doc]
+            token, held, doc = token[keep], held[keep], doc[keep]
+            order = np.lexsort((token, held, doc))
+            token, doc = token[order], doc[order]
+            begin = np.searchsorted(doc, np.arange(len(ids) + 1))
+            out = []
+            for d in np.flatnonzero(open_):
+                alone = n[d] - known[d]
+                take = n[d] - need[d] + 1 - alone
+                out.append((*ids[d, :3].tolist(), int(alone), token[begin[d] : begin[d] + take].view(np.int64)))
             if out:
-                a, b, c, d = zip(*out, strict=True)
-                sizes = np.concatenate([[0], np.cumsum([len(x) for x in d])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(d)))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), lists], names=["doc_id", "hi", "lo", "prefix"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "hi", "lo", "alone", "prefix"])
 
     return prefixes
 
@@ -328,17 +438,16 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     first = components(links[0].union(links[1]))
 
     # 3. what the stars leave open
-    counts = texts.mapInArrow(_counted(width), "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where(f"k >= {OFTEN}")
-    top = counts.orderBy(F.desc("k"), "h").limit(COMMON).toArrow()  # at most COMMON pairs of integers
-    h, k = top.column("h").to_numpy(), top.column("k").to_numpy()
-    order = h[np.lexsort((h, k))].astype(np.int64).view(np.uint64)
-    by = np.argsort(order)
-    common = spark.sparkContext.broadcast((order[by], by))
-    prefix = texts.mapInArrow(lambda it: _prefixes(common.value, share, width)(it), "doc_id long, hi long, lo long, prefix array<long>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(256, 1 << (4 * parts - 1).bit_length())
+    dealt = texts.mapInArrow(_dealt(buckets, width), DEALT)
+    dealt = dealt.repartition(parts, F.col("bucket") < 0, F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket").cast("long"))).sortWithinPartitions("bucket", "block")
+    answered = dealt.mapInArrow(_answered, DEALT).repartition(parts, "block").sortWithinPartitions("block")
+    prefix = answered.mapInArrow(_prefixes(share), "doc_id long, hi long, lo long, alone long, prefix array<long>")
     nodes = classes.select("hi", "lo", F.col("rep").alias("doc_id"), "n").join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     nodes = nodes.select("hi", "lo", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    lists = prefix.join(nodes, ["hi", "lo", "doc_id"]).select(F.posexplode("prefix").alias("place", "token"), "n", "doc_id", "comp")
-    lists = lists.select("token", F.expr("shiftleft(n, 32) + place").alias("at"), "doc_id", "comp").repartition("token").sortWithinPartitions("token", "at", "doc_id")
+    lists = prefix.join(nodes, ["hi", "lo", "doc_id"]).select(F.posexplode("prefix").alias("place", "token"), "alone", "n", "doc_id", "comp")
+    lists = lists.select("token", F.expr("shiftleft(n, 32) + alone + place").alias("at"), "doc_id", "comp").repartition("token").sortWithinPartitions("token", "at", "doc_id")
     pairs = alike(lists.mapInArrow(_open_pairs(share), "x long, y long").distinct())
     if not pairs.isEmpty():
         # the centre that a set is most alike, and what they share
