@@ -15,8 +15,9 @@ in the cuts.  Blocks of about ``BLOCK`` ids are solved at a time: their windows
 the cheapest cut in the last ``length`` ids and the rest goes in front of the next block, so
 memory is bounded by a block and the longest document.
 
-Words are tokenised once each: white space never joins or splits tokens in a tokenizer whose
-pre-tokenizer drops it (checked when it is loaded), so the ids of a text are those of its words.
+Units, words cut between letters and signs, are tokenised once each: tokens of a tokenizer whose
+pre-tokenizer drops white space and separates letters from signs do not go across (checked
+when it is loaded), so the ids of a text are those of its units.
 
 Nulls: a null or empty text is its end id alone.  Null and repeated doc_ids are packed as rows
 of their own.  Extra columns are ignored, an empty table gives no rows.  Sequence numbers hold
@@ -25,6 +26,7 @@ the task's partition in their upper bits; a task that is run again gives the sam
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,72 +37,146 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.bytes_view import chunks, spans, word_hashes
+from brindle.llm.bytes_view import LOWER, SPACE, chunks, spans, word_hashes
 
 LENGTH, END_ID = 4096, 2
 SENTENCE, HARD, EACH = 6, 24, 12
 BLOCK = 1 << 18
-#: Words that are kept with their ids; beyond, they are forgotten and tokenised again.
-WORDS = 1 << 18
+#: Units that are kept with their ids; beyond, all are forgotten and tokenised again.
+UNITS = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = pa.schema([(n.split()[0], pa.int64()) for n in SCHEMA.split(", ")])
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[str, UnitIds] = {}
 
 
-class WordIds:
-    """Token ids of words, remembered by a 64-bit hash of their bytes."""
+#: Bytes of ASCII signs, but for the apostrophe (contractions) and digits.
+SIGN = np.zeros(256, bool)
+SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
+ASCII_LETTER = np.zeros(256, bool)
+ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Units that normalisation leaves alone: lower-case ASCII and Latin-1 letters.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like spans(), but words also end between a letter and a sign, where no token goes across."""
+    starts, ends, at = spans(raw, off)
+    if not len(raw):
+        return starts, ends, at
+    letter = ASCII_LETTER[raw]
+    # Latin-1 letters, by their second byte
+    wide = np.zeros(len(raw), bool)
+    wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    sign = SIGN[raw]
+    inside = np.flatnonzero((letter[:-1] | wide[:-1]) & sign[1:] | sign[:-1] & letter[1:]) + 1
+    if len(inside):
+        inside = inside[~np.isin(inside, off)]
+        starts, ends = np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([ends, inside]))
+    return starts, ends, np.searchsorted(starts, off)
+
+
+class UnitIds:
+    """Token ids of units, remembered by a 64-bit hash of their bytes in an open hash table."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        probe = ["one, two", "l'eau\tde\n\n9x", "a  .b"]
-        for text in probe:
-            if self._encode([text])[0] != [i for w in self._encode(text.split()) for i in w]:
-                raise ValueError(f"{path}: tokens depend on white space")
+        # the same model without normalisation, for plain units between bars
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bar = self._encode(["|"])[0]
         self.end_id = end_id
         self.forget()
+        for text in ("one, two", "L'eau\tde\n\n9x", "a  .b", "don't 'tis \u00e9t\u00e9,x|y", "<|endoftext|>A1-b2 (c)"):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            starts, ends, _ = units(raw, np.array([0, len(raw)]))
+            if self.flat(self.entries(raw, starts, ends))[0].tolist() != self._encode([text])[0] or len(self.bar) != 1:
+                raise ValueError(f"{path}: tokens go across white space or between letters and signs")
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(4 * UNITS, np.uint64)
+        self.places = np.zeros(4 * UNITS, np.int32)
         self.ids = np.full(1 << 16, self.end_id, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.begin[1] = 1
         self.n = 1  # entry 0 is the end of a document
 
-    def _add(self, lists: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        first, last = self.begin[self.n], self.begin[self.n] + sizes.sum()
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = self.begin[self.n], self.begin[self.n] + len(ids)
         if last > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), last - len(self.ids)), np.uint32)])
-        if self.n + len(lists) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros(max(len(self.begin), len(lists) + 1), np.int64)])
-        self.ids[first:last] = np.fromiter((i for x in lists for i in x), np.uint32, last - first)
-        self.begin[self.n + 1 : self.n + 1 + len(lists)] = first + np.cumsum(sizes)
-        self.n += len(lists)
+        if self.n + len(sizes) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros(max(len(self.begin), len(sizes) + 1), np.int64)])
+        self.ids[first:last] = ids
+        self.begin[self.n + 1 : self.n + 1 + len(sizes)] = first + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def _learn(self, texts: list[str]) -> None:
+        """Ids of new units, in their order, as entries."""
+        plain = [k for k, t in enumerate(texts) if PLAIN.fullmatch(t)]
+        lists: list = [None] * len(texts)
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            ids = np.array(self.plain.encode_batch_fast([" | ".join([texts[k] for k in part]) + " |"], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.bar[0])
+            for k, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                lists[k] = ids[a:b]
+        other = [k for k, x in enumerate(lists) if x is None]
+        for k, ids in zip(other, self._encode([texts[k] for k in other]), strict=True):
+            lists[k] = np.array(ids, np.uint32)
+        self._add(np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(keys), -1, np.int64)
+        left, slot = np.arange(len(keys)), (keys & mask).astype(np.int64)
+        while len(left):
+            held = self.keys[slot]
+            hit = held == keys[left]
+            out[left[hit]] = self.places[slot[hit]]
+            on = ~hit & (held != 0)
+            left, slot = left[on], (slot[on] + 1) & int(mask)
+        return out
+
+    def _put(self, keys: np.ndarray, places: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        slot = (keys & np.uint64(mask)).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            mine = self.keys[slot] == keys
+            self.places[slot[mine]] = places[mine]
+            keys, places, slot = keys[~mine], places[~mine], (slot[~mine] + 1) & mask
 
     def entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The entry of each word."""
-        if self.n > WORDS:
+        """The entry of each unit."""
+        raw = LOWER[raw]
+        keys = word_hashes(raw, starts, ends) | np.uint64(1)
+        if self.n + len(keys) > 2 * UNITS and self.n > UNITS:
             self.forget()
-        values, first, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        get, found = self.known.get, np.empty(len(values), np.int64)
-        found[:] = [get(h, -1) for h in values.tolist()]
+        found = self._find(keys)
         new = np.flatnonzero(found < 0)
-        data = raw.tobytes()
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            lists = self._encode([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[part]].tolist(), ends[first[part]].tolist(), strict=True)])
-            found[part] = np.arange(self.n, self.n + len(part))
-            self.known.update(zip(values[part].tolist(), range(self.n, self.n + len(part)), strict=True))
-            self._add(lists)
-        return found[inverse]
+        if len(new):
+            if self.n + len(new) >= len(self.keys) // 2:  # one very long text
+                old = self.keys, self.places
+                self.keys = np.zeros(1 << (4 * (self.n + len(new))).bit_length(), np.uint64)
+                self.places = np.zeros(len(self.keys), np.int32)
+                full = old[0] != 0
+                self._put(old[0][full], old[1][full])
+            values, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            data, at = raw.tobytes(), new[first]
+            self._put(values, np.arange(self.n, self.n + len(values), dtype=np.int32))
+            found[new] = self.n + inverse
+            self._learn([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        return found
 
     def flat(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of entries, and where each ends."""
@@ -110,20 +186,20 @@ class WordIds:
         return self.ids[np.repeat(a - (ends - n), n) + np.arange(total)], ends
 
 
-def word_ids(path: str) -> WordIds:
+def unit_ids(path: str) -> UnitIds:
     if path not in _loaded:
-        _loaded[path] = WordIds(path)
+        _loaded[path] = UnitIds(path)
     return _loaded[path]
 
 
-def token_runs(column: pa.Array, ids_of: WordIds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def token_runs(column: pa.Array, ids_of: UnitIds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, ids of a run of rows with end ids, where each row ends, where sentences end)."""
     for i, j, raw, off in chunks(column):
-        starts, ends, at = spans(raw, off)
+        starts, ends, at = units(raw, off)
         entries = ids_of.entries(raw, starts, ends) if len(starts) else np.zeros(0, np.int64)
         last = raw[ends - 1] if len(ends) else raw[:0]
         after = raw[np.minimum(ends, len(raw) - 1)] if len(ends) else raw[:0]
-        stop = (last == 46) | (last == 33) | (last == 63) | (after == 10)
+        stop = ((last == 46) | (last == 33) | (last == 63) | (after == 10)) & SPACE[after]
         where = at[1:]
         ids, till = ids_of.flat(np.insert(entries, where, 0))
         rows = till[where + np.arange(j - i)]
@@ -229,7 +305,7 @@ class Packer:
 
 def _pack(path: str, length: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path)
+        ids_of = unit_ids(path)
         packer = Packer(length, TaskContext.get().partitionId() << 40)
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=FIELDS)
         for batch in batches:
