@@ -144,11 +144,12 @@ def group_bootstrap(df: DataFrame, by: list[str], y: Column, p: Column, baseline
     import pandas as pd
 
     units = unit_sums(df, y, p, baseline, unit, order, by)
+    units = units.withColumn("first", F.row_number().over(Window.partitionBy(*by).orderBy("first", "unit"))).drop("unit")
     kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", " + INTERVALS
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["first", "unit"])
+        frame = frame.sort_values("first")
         out = pd.DataFrame(intervals(frame[SUMS].to_numpy(float), times, confidence, seed))
         for i, c in enumerate(by):
             out.insert(i, c, frame[c].iloc[0])

@@ -339,3 +339,5 @@ _checks = ["y", *NUMBERS, *LEVELS]
 ORACLES["p3_p4_s1_validation"] = f"WITH {ITEMS} " + " UNION ALL ".join(
     f"SELECT '{n}' AS feature, count(*) AS rows, count(*) - count({n}) AS nulls, " + (f"count(*) FILTER (WHERE isnan({n})) AS nans, count(*) FILTER (WHERE isinf({n})) AS infinities" if n in NUMBERS else "CAST(0 AS BIGINT) AS nans, CAST(0 AS BIGINT) AS infinities") + f", count(DISTINCT {n}) AS distinct_values FROM li" for n in _checks
 )
+ORACLES["m19_best_so_far"] = f"""WITH {CLICKS}, d AS (SELECT CAST(floor(epoch_us(t) / 86400000000) AS BIGINT) AS unit, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS x FROM ev GROUP BY 1) SELECT unit, {r('x')} AS logloss, {r('min(x) OVER (ORDER BY unit)')} AS best FROM d"""
+ORACLES["m20_top_features"] = f"{_assoc} SELECT feature, {r(f'round({_MI}, 9)')} AS mi_nats FROM ca ORDER BY round({_MI}, 9) DESC, feature LIMIT 3"

@@ -479,6 +479,60 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.daily(clicks(spark, sf_dir), Y, F.col("p"), F.col("t")))
 
 
+def _trained(spark: SparkSession, sf_dir: str):
+    """A small model on train, with early stopping inside of it, and its predictions of the test part."""
+    from brindle.operators import trees
+
+    df = clicks(spark, sf_dir)
+    kinds = {"value": NUMERICAL, "k": NUMERICAL, "twice": NUMERICAL, "kind": CATEGORICAL}
+    parts = splits.parts_of(df, "t", bounds(df))
+    e = splits.Encoder.fit(parts["fit"], kinds)
+    x = {n: trees.encoded(parts[n], e, Y, ["id"]) for n in ("fit", "early_stop", "train", "test")}
+    params = {"maxDepth": 3, "stepSize": 0.1}
+    rounds, _ = trees.train_early(x["fit"], x["early_stop"], e, params, 4, 2, 42)
+    model = trees.train(x["train"], e, params, rounds, 42)
+    return trees.probability(model, x["test"]), model, e
+
+
+@query("m06_m09_training")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _, _ = _trained(spark, sf_dir)
+    return out.select("id", "p", "margin")
+
+
+@query("m17_shapley")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions to the log-odds by feature, and what is missing of the margin."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    from brindle.operators import trees
+
+    out, model, e = _trained(spark, sf_dir)
+    names, own = [n for _, n in trees.columns_of(e)], list(e.features)
+    rows = target.sampled(out, 200, F.col("id")).select("id", "margin", vector_to_array(trees.VECTOR).alias("x")).collect()
+    got, base = trees.shapley(trees.trees_of(model), np.array([r["x"] for r in rows]), [own.index(n) for n in names])
+    data = [(r["id"], *map(float, v), float(abs(v.sum() + base - r["margin"]))) for r, v in zip(rows, got, strict=True)]
+    return rounded(spark.createDataFrame(data, "id long, " + ", ".join(f"{n} double" for n in own) + ", rest double"))
+
+
+@query("m19_best_so_far")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running least of a day's log loss."""
+    from pyspark.sql import Window
+
+    df = clicks(spark, sf_dir)
+    u = scoring.unit_sums(df, Y, F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.col("id"))
+    loss = u.select("unit", (F.col("loss") / F.col("n")).alias("logloss"))  # a row per day
+    return rounded(loss.withColumn("best", F.min("logloss").over(Window.orderBy("unit"))))
+
+
+@query("m20_top_features")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = target.bucket_associations(rates(spark, sf_dir)).select("feature", F.round("mi_nats", 9).alias("mi_nats"))
+    return rounded(a.orderBy(F.desc("mi_nats"), "feature").limit(3))
+
+
 @query("p3_p4_s1_validation")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.sources.parquet import check_target, declared, validation
