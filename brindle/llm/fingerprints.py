@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import CHUNK, mix, shingle_sets
+from brindle.llm.session import bounded_batches
 
 BINS, BITS = 512, 4
 ATTEMPTS = 96
@@ -123,7 +124,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     each text is shuffled once.  Rows with a null doc_id come first; rows that share a doc_id
     follow each other by text.  A lone document is its own next one; extra columns are ignored.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     keyed = docs.select(order.alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.bytes_view import LOWER, chunks, spans
+from brindle.llm.session import bounded_batches
 
 PER_LANGUAGE, LANGUAGES = 4_000, 64
 BUCKETS = 1 << 16
@@ -179,7 +180,7 @@ def train(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["k", "counts", "scripts"])
 
     # a sample of stated size, dealt to a few tasks: each returns at most one row for a language
-    few = sample.select("text", "lang").repartition(max(1, min(8, 32 // len(languages))))
+    few = bounded_batches(sample).select("text", "lang").repartition(max(1, min(8, 32 // len(languages))))
     counts = np.zeros((len(languages), BUCKETS))
     scripts = np.zeros((len(languages), len(SCRIPTS) + 1))
     for r in few.mapInArrow(counted, "k int, counts binary, scripts binary").collect():
@@ -235,9 +236,8 @@ def _sub(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarra
 ADDED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType())])))])
 
 
-def identify(docs: DataFrame, model: Model | None = None, prefix: str = "") -> DataFrame:
-    """docs (doc_id, text, lang, ...) -> all its columns and ``prefix`` + lang_pred, score, spans."""
-    model = model or train(docs)
+def identify(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+    """docs (text, ...) -> all its columns and ``prefix`` + lang_pred, score, spans; without a model all are ``und``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(prefix + f.name, f.dataType) for f in ADDED.fields]])
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, model: Model | None = None, prefix: str = "") -> D
                 new = [pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return docs.mapInArrow(labelled, schema)
+    return bounded_batches(docs).mapInArrow(labelled, schema)
 
 
 def language_rows(docs: DataFrame) -> DataFrame:

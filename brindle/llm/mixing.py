@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.session import cut
+from brindle.llm.session import cut, fresh, plain
 
 #: The digits of a hash: LEVELS times LEVEL_BITS bits.
 LEVELS, LEVEL_BITS = 4, 15
@@ -88,30 +88,31 @@ def _thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(below, "key", "left").select("key", "source_size", "target", "base", F.coalesce("below", F.when(F.col("rest") > 0, F.lit(2**62)).otherwise(0)).alias("below"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> the same columns, and mix struct<size, source_size, target, copies>.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, into: str = "mix") -> DataFrame:
+    """docs (doc_id, text, source, ...) -> the same columns, and ``into`` struct<size, source_size, target, copies>.
 
     ``copies`` is how often the mix takes the document, 0 to ``cap``.
     """
-    row = docs.withColumn("mix", F.struct(words(F.col("text")).alias("size"), _key(F.col("source")).alias("key"), doc_hash(F.col("doc_id")).alias("hash")))
-    sized = cut(row.select("mix.*"))
+    held = fresh(docs, "__held")
+    row = docs.withColumn(held, F.struct(words(F.col("text")).alias("size"), _key(F.col("source")).alias("key"), doc_hash(F.col("doc_id")).alias("hash")))
+    sized = cut(row.select(f"{held}.*"))
     by = cut(_thresholds(sized, _targets(sized, weights, cap)).select("key", F.struct("source_size", "target", "base", "below").alias("plan")))
-    return _apply(row, by, cap)
+    return _apply(row, by, cap, held, into)
 
 
-def _apply(row: DataFrame, by: DataFrame, cap: int) -> DataFrame:
+def _apply(row: DataFrame, by: DataFrame, cap: int, held: str, into: str) -> DataFrame:
     """Joins the plan of a source on; a hot source is dealt by salt if there are too many sources to broadcast."""
-    names = by.columns
     n, chars = by.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
-    spare = [c for c in row.columns if c != "mix"]
-    plan = by.select(F.col(names[0]).alias("__key"), F.col(names[1]).alias("__plan"))
+    key, plan, salt = fresh(row, "__key"), fresh(row, "__plan"), fresh(row, "__salt")
+    by = by.select(F.col("key").alias(key), F.col("plan").alias(plan))
     if n <= FEW and chars <= NAMES:
-        both = row.join(F.broadcast(plan), F.col("mix.key") == F.col("__key"))
+        both = row.join(F.broadcast(by), F.col(f"{held}.key") == F.col(key))
     else:
-        plan = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = row.join(plan, (F.col("mix.key") == F.col("__key")) & (F.pmod(F.col("mix.hash"), F.lit(SALTS)) == F.col("__salt")))
-    copies = F.least(F.lit(cap), F.col("__plan.base") + (F.col("mix.hash") < F.col("__plan.below")).cast("long"))
-    return both.select(*[F.col(f"`{c}`") for c in spare], F.struct("mix.size", F.col("__plan.source_size").alias("source_size"), F.col("__plan.target").alias("target"), copies.alias("copies")).alias("mix"))
+        by = by.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = row.join(by, (F.col(f"{held}.key") == F.col(key)) & (F.pmod(F.col(f"{held}.hash"), F.lit(SALTS)) == F.col(salt)))
+    copies = F.least(F.lit(cap), F.col(f"{plan}.base") + (F.col(f"{held}.hash") < F.col(f"{plan}.below")).cast("long"))
+    told = F.struct(F.col(f"{held}.size").alias("size"), F.col(f"{plan}.source_size").alias("source_size"), F.col(f"{plan}.target").alias("target"), copies.alias("copies"))
+    return both.select(*plain([c for c in row.columns if c not in (held, into)]), told.alias(into))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import digest, mix, shingle_sets
 from brindle.llm.components import components
-from brindle.llm.session import cut
+from brindle.llm.session import bounded_batches, cut, fresh, plain
 
 SKETCH = 16
 BLOCK = 1 << 20
@@ -388,7 +388,7 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     ``share`` is the similarity in percent, ``width`` the words in a shingle.  The module's
     docstring has the method, and what nulls, empty texts and repeated rows give.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = cut(texts.mapInArrow(_scan(width), SCANNED))
     rows = scanned
@@ -481,14 +481,18 @@ def keep_representatives(docs: DataFrame, share: int = 80, width: int = 5) -> Da
     Documents with an empty set, and rows with a null doc_id, link with nothing and stay.
     """
     groups = jaccard_groups(docs, share, width)
+    key = fresh(docs, "__id")
     # rows of a doc_id share a group, so the ids that go decide
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    again = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
+    again = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
     if again.isEmpty():
         return kept
-    # of rows that share a doc_id, the first by text stays
-    twice = kept.join(again, kept["doc_id"] == again["__id"], "left_semi")
-    once = kept.join(again, kept["doc_id"] == again["__id"], "left_anti")
-    first = twice.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("__none"), "text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("__row"))
-    return once.unionByName(first.select("doc_id", "__row.*").select(*docs.columns))
+    # of rows that share a doc_id, one with a set stays: the first by text
+    twice = kept.join(again, kept["doc_id"] == again[key], "left_semi")
+    once = kept.join(again, kept["doc_id"] == again[key], "left_anti")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct((~F.rlike("text", F.lit("[^\\x20\\x09-\\x0D]"))).alias("e"), F.col("text").alias("t"), F.struct(*plain(rest)).alias("r") if rest else F.lit(0).alias("r"))
+    first = twice.where("text is not null").groupBy("doc_id").agg(F.min(row).alias("row"))
+    first = first.select("doc_id", F.col("row.t").alias("text"), *([F.col(f"row.r.{c}") for c in plain(rest)] if rest else []))
+    return once.unionByName(first)

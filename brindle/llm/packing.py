@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import LOWER, SPACE, chunks, spans, word_hashes
+from brindle.llm.session import bounded_batches
 
 LENGTH, END_ID = 4096, 2
 SENTENCE, HARD, EACH = 6, 24, 12
@@ -322,4 +323,4 @@ def _pack(path: str, length: int):
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """docs (doc_id long, text string, ...) -> one row per piece of a document in a sequence: SCHEMA."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer, length), SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer, length), SCHEMA)

@@ -36,6 +36,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.session import fresh, plain
+
 KEY = "brindle-demonstration-key"
 ROUNDS = 8
 FIRST_DAY, DAYS = "1700-01-01", (189, 773)
@@ -174,20 +176,21 @@ def _written(m: Column, kind: Column, p: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """docs with pseudonyms in ``column``, and pii array<struct<kind, replaced boolean>> for what was found."""
-    text = F.col(f"`{column}`")
+def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", into: str = "pii") -> DataFrame:
+    """docs with pseudonyms in ``column``, and ``into`` array<struct<kind, replaced boolean>> for what was found."""
+    text, pii = F.col(f"`{column}`"), fresh(docs, "__found")
     hits = F.when(F.rlike(text, F.lit("[0-9@]")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    d = docs.withColumn("pii", F.coalesce(hits, F.array().cast("array<string>")))
-    d = d.withColumn("pii", F.transform("pii", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
-    d = d.withColumn("pii", F.transform("pii", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _pair(x["m"], x["kind"]).alias("p"))))
+    d = docs.withColumn(pii, F.coalesce(hits, F.array().cast("array<string>")))
+    d = d.withColumn(pii, F.transform(pii, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
+    d = d.withColumn(pii, F.transform(pii, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _pair(x["m"], x["kind"]).alias("p"))))
     moved = lambda x: F.when(x["p"].isNotNull(), feistel(x["p"], x["kind"], key))
-    d = d.withColumn("pii", F.transform("pii", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), moved(x).alias("p"))))
-    d = d.withColumn("pii", F.transform("pii", lambda x: F.struct(x["kind"].alias("kind"), ((x["kind"] == "email") | x["p"].isNotNull()).alias("replaced"), _written(x["m"], x["kind"], x["p"], key).alias("new"))))
+    d = d.withColumn(pii, F.transform(pii, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), moved(x).alias("p"))))
+    d = d.withColumn(pii, F.transform(pii, lambda x: F.struct(x["kind"].alias("kind"), ((x["kind"] == "email") | x["p"].isNotNull()).alias("replaced"), _written(x["m"], x["kind"], x["p"], key).alias("new"))))
     parts = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(parts, F.transform("pii", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    d = d.withColumn(column, F.when(F.size("pii") > 0, joined).otherwise(text))
-    return d.withColumn("pii", F.transform("pii", lambda x: F.struct(x["kind"].alias("kind"), x["replaced"].alias("replaced"))))
+    joined = F.array_join(F.zip_with(parts, F.transform(pii, lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    d = d.withColumn(column, F.when(F.size(pii) > 0, joined).otherwise(text))
+    told = F.transform(pii, lambda x: F.struct(x["kind"].alias("kind"), x["replaced"].alias("replaced")))
+    return d.select(*plain([c for c in docs.columns if c != into]), told.alias(into))
 
 
 def pseudonym_rows(docs: DataFrame) -> DataFrame:

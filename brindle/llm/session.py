@@ -7,10 +7,34 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = "8m"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def plain(names: list[str]) -> list[str]:
+    """Names quoted for select(), whatever they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session's Arrow batches are kept to BATCH_BYTES: rows differ in size by orders of magnitude."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) != BATCH_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder for checkpoints; one of our own only where none is set."""
     context = spark.sparkContext

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import language_id, mixing, ngram_join, packing, pseudonyms
 from brindle.llm.queries import tokenizer
-from brindle.llm.session import shared_folder, table
+from brindle.llm.session import fresh, plain, shared_folder, table
 
 #: A document goes if the language that covers most of it covers less than this share of its letters.
 LEAST_SHARE = 0.5
@@ -23,8 +23,9 @@ LEAST_SHARE = 0.5
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or without a main language, go."""
-    told = language_id.identify(docs, prefix="__")
-    return told.where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SHARE)).select(*docs.columns)
+    prefix = fresh(docs, "told_lang_pred").removesuffix("lang_pred")
+    told = language_id.identify(docs, language_id.train(docs), prefix)
+    return told.where((F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}score") >= LEAST_SHARE)).select(*plain(docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +35,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: numbers, dates and addresses become pseudonyms; n_chars, if there, follows the text."""
-    out = pseudonymise_with_length(docs)
-    return out.select(*docs.columns)
-
-
-def pseudonymise_with_length(docs: DataFrame) -> DataFrame:
-    out = pseudonyms.pseudonymise(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = pseudonyms.pseudonymise(docs, into=fresh(docs, "pii"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*plain(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as often as the mix takes it, none to three times."""
-    mixed = mixing.mix_sources(docs)
-    return mixed.withColumn("mix", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies").cast("int")))).select(*docs.columns)
+    into, copy = fresh(docs, "mix"), fresh(docs, "copy")
+    mixed = mixing.mix_sources(docs, into=into)
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(f"{into}.copies").cast("int")))).select(*plain(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
