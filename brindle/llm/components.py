@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.session import cut
+from brindle.llm.session import cut, drop
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,10 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     label = None
     while not links.isEmpty():
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to"))
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to"))
         # an id that points at one which points further down takes the further one
-        up = least.select(F.col("id").alias("to"), F.col("to").alias("top"))
-        least = cut(least.join(up, "to").select("id", F.col("top").alias("to")))
+        up = near.select(F.col("id").alias("to"), F.col("to").alias("top"))
+        least = cut(near.join(up, "to").select("id", F.col("top").alias("to")))
+        old = links, label
         if label is None:
             label = least.withColumnRenamed("to", "component")
         else:
@@ -31,6 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         links = links.join(least.withColumnRenamed("id", "a").withColumnRenamed("to", "x"), "a")
         links = links.join(least.withColumnRenamed("id", "b").withColumnRenamed("to", "y"), "b").where("x <> y")
         links = cut(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        for table in old:
+            drop(table)
     if label is None:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return label

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import CHUNK, mix, shingle_sets
-from brindle.llm.session import bounded_batches
+from brindle.llm.session import bounded_batches, returning
 
 BINS, BITS = 512, 4
 ATTEMPTS = 96
@@ -144,4 +144,4 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     spread = F.explode(F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("halo")), F.when(halo.isNotNull(), F.struct(halo.alias("b"), F.lit(True).alias("halo"))))))
     rows = keyed.withColumn("to", spread).select("to.b", "to.halo", "doc_id", "text", "k")
     rows = rows.repartition(n, "b").sortWithinPartitions("b", "halo", "k", "text").select("b", "halo", "doc_id", "text")
-    return rows.mapInArrow(_compare, SCHEMA)
+    return rows.mapInArrow(returning(_compare), SCHEMA)

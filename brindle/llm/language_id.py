@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.bytes_view import LOWER, chunks, spans
-from brindle.llm.session import bounded_batches
+from brindle.llm.session import bounded_batches, returning
 
 PER_LANGUAGE, LANGUAGES = 4_000, 64
 BUCKETS = 1 << 16
@@ -183,7 +183,7 @@ def train(docs: DataFrame) -> Model | None:
     few = bounded_batches(sample).select("text", "lang").repartition(max(1, min(8, 32 // len(languages))))
     counts = np.zeros((len(languages), BUCKETS))
     scripts = np.zeros((len(languages), len(SCRIPTS) + 1))
-    for r in few.mapInArrow(counted, "k int, counts binary, scripts binary").collect():
+    for r in few.mapInArrow(returning(counted), "k int, counts binary, scripts binary").collect():
         counts[r["k"]] += np.frombuffer(r["counts"], np.int64)
         scripts[r["k"]] += np.frombuffer(r["scripts"], np.int64)
     return Model(languages, counts, scripts)
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFram
                 new = [pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-    return bounded_batches(docs).mapInArrow(labelled, schema)
+    return bounded_batches(docs).mapInArrow(returning(labelled), schema)
 
 
 def language_rows(docs: DataFrame) -> DataFrame:

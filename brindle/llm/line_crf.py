@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import LOWER, chunks, mix, shingle_hashes, spans, word_hashes
 from brindle.llm.language_id import fold
-from brindle.llm.session import bounded_batches
+from brindle.llm.session import bounded_batches, returning
 
 DOCUMENTS = 6_000
 FOLDS, HELD_OUT = 4, 2
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
                 xs, sizes = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(xs, pa.binary()), pa.array(sizes, pa.binary())], names=["y", "x", "size"])
 
-    rows = bounded_batches(sample).mapInArrow(features, "y int, x binary, size binary").toArrow()
+    rows = bounded_batches(sample).mapInArrow(returning(features), "y int, x binary, size binary").toArrow()
     y = rows.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return Model(np.zeros((0, 0)), np.zeros((3, 0, 0)), np.zeros((2, 2)), (1.0, 0.0), float(y.mean()) if len(y) else 0.5)
@@ -289,7 +289,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
                 bad = np.zeros(j - i, np.int64) if m.constant is not None else np.add.reduceat((m.marginals(x, at) < 0.5).astype(np.int64), at[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(m.scores(x, at, size)), pa.array(np.diff(at)), pa.array(bad)], names=["doc_id", "score", "n_lines", "n_bad_lines"])
 
-    return bounded_batches(docs).select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, n_lines long, n_bad_lines long")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(returning(scored), "doc_id long, score double, n_lines long, n_bad_lines long")
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

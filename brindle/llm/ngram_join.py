@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import digest, mix, shingle_sets
 from brindle.llm.components import components
-from brindle.llm.session import bounded_batches, cut, fresh, plain
+from brindle.llm.session import bounded_batches, cut, fresh, plain, returning
 
 SKETCH = 16
 BLOCK = 1 << 20
@@ -390,7 +390,7 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     """
     spark = bounded_batches(docs).sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = cut(texts.mapInArrow(_scan(width), SCANNED))
+    scanned = cut(texts.mapInArrow(returning(_scan(width)), SCANNED))
     rows = scanned
 
     # 1. classes of equal sets; the smallest doc_id stands for a class
@@ -419,7 +419,7 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
         """pairs (x, y) that may be linked -> (x, y, nx, ny)."""
         side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
         both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "px", "py")
-        return cut(both.mapInArrow(_alike(share), "x long, y long, nx long, ny long").distinct())
+        return cut(both.mapInArrow(returning(_alike(share)), "x long, y long, nx long, ny long").distinct())
 
     def compared(pairs: DataFrame) -> DataFrame:
         """pairs (x, y) -> (x, y, overlap, nx, ny); texts that share a doc_id give a row each."""
@@ -429,9 +429,9 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
         for piece, part in bits.collect():  # at most BITS / PIECE rows of 4 KB
             bitmap[piece * PIECE // 8 :][: len(part)] = np.frombuffer(part, np.uint8)
         held = spark.sparkContext.broadcast(bitmap)
-        sets = texts.mapInArrow(lambda it: _sets(held.value, width)(it), "doc_id long, items binary")
+        sets = texts.mapInArrow(returning(lambda it: _sets(held.value, width)(it)), "doc_id long, items binary")
         both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("items").alias("xs")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("items").alias("ys")), "y")
-        return cut(both.select("x", "y", "xs", "ys").mapInArrow(_overlaps, "x long, y long, overlap long, nx long, ny long"))
+        return cut(both.select("x", "y", "xs", "ys").mapInArrow(returning(_overlaps), "x long, y long, overlap long, nx long, ny long"))
 
     found = compared(alike(star).select("x", "y").distinct()).where(_linked("overlap", "nx", "ny", share))
     links = [shared, found.select(F.col("x").alias("a"), F.col("y").alias("b"))]
@@ -440,15 +440,15 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     # 3. what the stars leave open
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(256, 1 << (4 * parts - 1).bit_length())
-    dealt = texts.mapInArrow(_dealt(buckets, width), DEALT)
+    dealt = texts.mapInArrow(returning(_dealt(buckets, width)), DEALT)
     dealt = dealt.repartition(parts, F.col("bucket") < 0, F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket").cast("long"))).sortWithinPartitions("bucket", "block")
-    answered = dealt.mapInArrow(_answered, DEALT).repartition(parts, "block").sortWithinPartitions("block")
-    prefix = answered.mapInArrow(_prefixes(share), "doc_id long, hi long, lo long, alone long, prefix array<long>")
+    answered = dealt.mapInArrow(returning(_answered), DEALT).repartition(parts, "block").sortWithinPartitions("block")
+    prefix = answered.mapInArrow(returning(_prefixes(share)), "doc_id long, hi long, lo long, alone long, prefix array<long>")
     nodes = classes.select("hi", "lo", F.col("rep").alias("doc_id"), "n").join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     nodes = nodes.select("hi", "lo", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     lists = prefix.join(nodes, ["hi", "lo", "doc_id"]).select(F.posexplode("prefix").alias("place", "token"), "alone", "n", "doc_id", "comp")
     lists = lists.select("token", F.expr("shiftleft(n, 32) + alone + place").alias("at"), "doc_id", "comp").repartition("token").sortWithinPartitions("token", "at", "doc_id")
-    pairs = alike(lists.mapInArrow(_open_pairs(share), "x long, y long").distinct())
+    pairs = alike(lists.mapInArrow(returning(_open_pairs(share)), "x long, y long").distinct())
     if not pairs.isEmpty():
         # the centre that a set is most alike, and what they share
         centre = found.groupBy("y").agg(F.max(F.struct("overlap", "x")).alias("c")).select("y", F.col("c.x").alias("centre"), F.col("c.overlap").alias("shared"))

@@ -26,6 +26,7 @@ the task's partition in their upper bits; a task that is run again gives the sam
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -38,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import LOWER, SPACE, chunks, spans, word_hashes
-from brindle.llm.session import bounded_batches
+from brindle.llm.session import bounded_batches, returning
 
 LENGTH, END_ID = 4096, 2
 SENTENCE, HARD, EACH = 6, 24, 12
 BLOCK = 1 << 18
 #: Units that are kept with their ids; beyond, all are forgotten and tokenised again.
-UNITS = 1 << 20
+UNITS = 1 << 19
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = pa.schema([(n.split()[0], pa.int64()) for n in SCHEMA.split(", ")])
@@ -82,6 +83,7 @@ class UnitIds:
     """Token ids of units, remembered by a 64-bit hash of their bytes in an open hash table."""
 
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -317,10 +319,11 @@ def _pack(path: str, length: int):
                     yield batch_of(rows)
         if rows := packer.take(True):
             yield batch_of(rows)
+        ids_of.forget()  # the worker may wait for long, or serve other stages
 
     return pack
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """docs (doc_id long, text string, ...) -> one row per piece of a document in a sequence: SCHEMA."""
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer, length), SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(returning(_pack(tokenizer, length)), SCHEMA)

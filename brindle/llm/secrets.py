@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brindle.llm.bytes_view import LOWER, chunks
-from brindle.llm.session import bounded_batches
+from brindle.llm.session import bounded_batches, returning
 
 KINDS = ("assign", "access", "hex", "guess")
 BITS = 30.0
@@ -204,4 +204,4 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """docs (doc_id long, text string, ...) -> SCHEMA; spans are in code points, ends exclusive."""
-    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan, SCHEMA)
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(returning(_scan), SCHEMA)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,15 +42,57 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def returning(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over a task's batches, after which the worker, which Spark keeps for later tasks, gives its free memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; one of our own only where none is set."""
+    """This session's own folder in spark.checkpoint.dir, removed when Python ends; a temporary one only where that is not set."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="brindle-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    own = context.applicationId
+    if own not in _folders:
+        root = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="brindle-")
+        _folders[own] = f"{root}/brindle-{uuid.uuid4()}"
+        atexit.register(remove, spark, _folders[own])
+    return _folders[own]
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes a folder through Hadoop's file system; none, or a stopped session, is no error."""
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in spark.checkpoint.dir."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df as a table that is written now, in the folder that the cluster shares.
+
+    Unlike checkpoint() this forgets the estimated sizes too, which multiply at each join of
+    an iteration, and plans go by the size of the files.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    df.write.parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    out.written = place
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Deletes what cut() wrote, for tables that nothing reads any more."""
+    if df is not None and getattr(df, "written", None):
+        remove(df.sparkSession, df.written)
