@@ -21,7 +21,11 @@ _queries: dict[str, Query] = {}
 
 NUMBERS = {n: NUMERICAL for n in ("price", "qty", "disc", "tax")}
 LEVELS = {n: CATEGORICAL for n in ("line", "supp", "status", "gone")}
-Y = F.col("y")
+
+def Y():  # noqa: N802
+    """The target; columns need a session, modules do not."""
+    return F.col("y")
+
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -147,7 +151,7 @@ def _buckets(names: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = items(spark, sf_dir)
         codes, _ = features.bucket_codes(df, {n: (NUMBERS | LEVELS)[n] for n in names}, rare_min_count=600)
-        return rounded(target.long_codes(df, codes, Y).groupBy("feature", "bucket").agg(F.count("*").alias("rows")))
+        return rounded(target.long_codes(df, codes, Y()).groupBy("feature", "bucket").agg(F.count("*").alias("rows")))
 
     return run
 
@@ -168,7 +172,7 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
     codes, _ = codes_of(df)
     overall = df.agg(F.avg("y")).first()[0]
-    return target.positive_rates(target.long_codes(df, codes, Y), ["feature", "bucket"], F.lit(overall))
+    return target.positive_rates(target.long_codes(df, codes, Y()), ["feature", "bucket"], F.lit(overall))
 
 
 @query("screen_positive_rate")
@@ -197,12 +201,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features whose tables have an even number of degrees of freedom, for which SQL has a closed form."""
     df = items(spark, sf_dir)
     three = {f"m{k}": (F.col("g") * k % 7 % 3).cast("int") for k in (1, 2, 3, 4, 5)}
-    r = target.positive_rates(target.long_codes(df, three, Y), ["feature", "bucket"])
+    r = target.positive_rates(target.long_codes(df, three, Y()), ["feature", "bucket"])
     return rounded(target.tail_probabilities(target.bucket_associations(r)).select("feature", "chi2", "chi2_p_iid", "chi2_q_bh_iid"))
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target.long_values(items(spark, sf_dir), list(NUMBERS), Y)
+    return target.long_values(items(spark, sf_dir), list(NUMBERS), Y())
 
 
 @query("t07_t08_cohens_d_hedges_g")
@@ -239,7 +243,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sampled_auc")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = target.sampled(clicks(spark, sf_dir), 2000, F.col("id"))
-    return rounded(target.rank_separation(target.long_values(s, ["value", "k", "twice"], Y)))
+    return rounded(target.rank_separation(target.long_values(s, ["value", "k", "twice"], Y())))
 
 
 @query("r1_r2_numeric_pairs")
@@ -284,14 +288,14 @@ JOINT = ["tax", "line", "status"]
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
     codes, _ = codes_of(df)
-    return rounded(relations.joint_rates(df, [codes[n] for n in JOINT], Y))
+    return rounded(relations.joint_rates(df, [codes[n] for n in JOINT], Y()))
 
 
 @query("j3_j4_joint_information")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
     codes, _ = codes_of(df)
-    return rounded(relations.joint_information(df, {n: codes[n] for n in JOINT}, Y))
+    return rounded(relations.joint_information(df, {n: codes[n] for n in JOINT}, Y()))
 
 
 @query("j2_j5_j6_interaction_status")
@@ -299,8 +303,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
     codes, _ = codes_of(df)
     out = None
-    for group, most in ((JOINT, 20_000), (["price", "supp"], 100)):
-        row, _ = relations.interaction(df, group, codes, Y, max_cells=most, information=False)
+    for group, most in ((JOINT, 20_000), (["price", "supp"], 50)):
+        row, _ = relations.interaction(df, group, codes, Y(), max_cells=most, information=False)
         out = row if out is None else out.unionByName(row, allowMissingColumns=True)
     return rounded(out.select("features", "status", "possible_cells", "observed_full_cells", "low_support_row_fraction"))
 
@@ -309,7 +313,7 @@ def _periods(frequency: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = items(spark, sf_dir).withColumn("t", F.when(F.col("line") == "1", F.lit(None)).otherwise(F.col("t")))
         p = relations.period(relations.parsed_time(df, "t"), frequency)
-        return rounded(relations.period_rates(df, p, Y))
+        return rounded(relations.period_rates(df, p, Y()))
 
     return run
 
@@ -321,7 +325,7 @@ for _f in "DWM":
 @query("w2_w6_time_status")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    got = [(f, relations.temporal(df, {}, "t", Y, f, feature_rates=False, drift=False)) for f in "DWM"] + [("none", relations.temporal(df, {}, None, Y))]
+    got = [(f, relations.temporal(df, {}, "t", Y(), f, feature_rates=False, drift=False)) for f in "DWM"] + [("none", relations.temporal(df, {}, None, Y()))]
     return spark.createDataFrame([(f, r["status"], r["missing_rows"]) for f, r in got], "frequency string, status string, missing_rows long")
 
 
@@ -330,7 +334,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
     codes, _ = codes_of(df)
     p = relations.period(relations.parsed_time(df, "t"), "M")
-    return rounded(relations.period_feature_rates(df, {n: codes[n] for n in ("tax", "status")}, p, Y))
+    return rounded(relations.period_feature_rates(df, {n: codes[n] for n in ("tax", "status")}, p, Y()))
 
 
 @query("w5_time_drift")
@@ -343,7 +347,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g1_group_summary")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(relations.group_summary(items(spark, sf_dir).withColumn("g", F.when(F.col("g") % 10 != 0, F.col("g"))), "g", Y))
+    return rounded(relations.group_summary(items(spark, sf_dir).withColumn("g", F.when(F.col("g") % 10 != 0, F.col("g"))), "g", Y()))
 
 
 def _features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,8 +386,8 @@ def decide_table(df: DataFrame, kinds: dict[str, str], policy: decisions.Policy)
     profiles = [r.asDict() | {"type": NUMERICAL} for r in features.numeric_profile(df, numbers, set()).collect()]
     profiles += [r.asDict() | {"type": CATEGORICAL} for r in features.categorical_profile(df, levels).collect()]
     codes, _ = features.bucket_codes(df, kinds)
-    v = target.long_values(df, numbers, Y)
-    t = target.bucket_associations(target.positive_rates(target.long_codes(df, codes, Y), ["feature", "bucket"]))
+    v = target.long_values(df, numbers, Y())
+    t = target.bucket_associations(target.positive_rates(target.long_codes(df, codes, Y()), ["feature", "bucket"]))
     for more in (target.standardized_difference(v), target.rank_separation(v)):
         t = t.join(more, "feature", "left")
     pairs = [r.asDict() for r in relations.all_pairs(df, kinds, codes).collect()]
@@ -402,7 +406,7 @@ def bounds(df: DataFrame) -> splits.Bounds:
 @query("m01_m02_split_summary")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = clicks(spark, sf_dir)
-    return rounded(splits.split_summary(df, "t", Y, bounds(df)))
+    return rounded(splits.split_summary(df, "t", Y(), bounds(df)))
 
 
 @query("m02_gap_rows")
@@ -437,46 +441,46 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m10_m11_m18_evaluation")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = clicks(spark, sf_dir)
-    a = scoring.evaluate(df, Y, F.col("p"), 0.25).withColumn("dataset", F.lit("score"))
-    b = scoring.evaluate(df, Y, F.lit(0.25), 0.25).withColumn("dataset", F.lit("constant"))
+    a = scoring.evaluate(df, Y(), F.col("p"), 0.25).withColumn("dataset", F.lit("score"))
+    b = scoring.evaluate(df, Y(), F.lit(0.25), 0.25).withColumn("dataset", F.lit("constant"))
     return rounded(a.unionByName(b))
 
 
 @query("m13_group_metrics")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = clicks(spark, sf_dir).withColumn("kind", F.when(F.col("kind") != "6", F.col("kind")))
-    out = scoring.evaluate(df, Y, F.col("p"), 0.25, ["kind"])
+    out = scoring.evaluate(df, Y(), F.col("p"), 0.25, ["kind"])
     return rounded(out.withColumn("low_support", (F.col("rows") < 1400) | (F.col("actual_clicks") < 10)))
 
 
 @query("m12_bootstrap")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = clicks(spark, sf_dir)
-    return rounded(scoring.bootstrap(df, Y, F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.unix_micros(F.col("t").cast("timestamp")), times=100))
+    return rounded(scoring.bootstrap(df, Y(), F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.unix_micros(F.col("t").cast("timestamp")), times=100))
 
 
 @query("m12_units")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the bootstrap draws from: sums by block of time."""
     df = clicks(spark, sf_dir)
-    u = scoring.unit_sums(df, Y, F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.col("id"))
+    u = scoring.unit_sums(df, Y(), F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.col("id"))
     return rounded(u)
 
 
 @query("m13_group_bootstrap")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = clicks(spark, sf_dir)
-    return rounded(scoring.group_evaluation(df, ["kind"], Y, F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.unix_micros(F.col("t").cast("timestamp")), times=50))
+    return rounded(scoring.group_evaluation(df, ["kind"], Y(), F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.unix_micros(F.col("t").cast("timestamp")), times=50))
 
 
 @query("m14_calibration")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.calibration(clicks(spark, sf_dir), Y, F.col("p")))
+    return rounded(scoring.calibration(clicks(spark, sf_dir), Y(), F.col("p")))
 
 
 @query("m15_daily")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.daily(clicks(spark, sf_dir), Y, F.col("p"), F.col("t")))
+    return rounded(scoring.daily(clicks(spark, sf_dir), Y(), F.col("p"), F.col("t")))
 
 
 def _trained(spark: SparkSession, sf_dir: str):
@@ -487,7 +491,7 @@ def _trained(spark: SparkSession, sf_dir: str):
     kinds = {"value": NUMERICAL, "k": NUMERICAL, "twice": NUMERICAL, "kind": CATEGORICAL}
     parts = splits.parts_of(df, "t", bounds(df))
     e = splits.Encoder.fit(parts["fit"], kinds)
-    x = {n: trees.encoded(parts[n], e, Y, ["id"]) for n in ("fit", "early_stop", "train", "test")}
+    x = {n: trees.encoded(parts[n], e, Y(), ["id"]) for n in ("fit", "early_stop", "train", "test")}
     params = {"maxDepth": 3, "stepSize": 0.1}
     rounds, _ = trees.train_early(x["fit"], x["early_stop"], e, params, 4, 2, 42)
     model = trees.train(x["train"], e, params, rounds, 42)
@@ -522,7 +526,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     df = clicks(spark, sf_dir)
-    u = scoring.unit_sums(df, Y, F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.col("id"))
+    u = scoring.unit_sums(df, Y(), F.col("p"), 0.25, scoring.unit_of("time_block", "t"), F.col("id"))
     loss = u.select("unit", (F.col("loss") / F.col("n")).alias("logloss"))  # a row per day
     return rounded(loss.withColumn("best", F.min("logloss").over(Window.orderBy("unit"))))
 
