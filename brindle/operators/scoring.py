@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.columns import ratio
+from brindle.functions.workers import importable
 from brindle.operators.features import quoted
 from brindle.operators.target import rank_separation
 
@@ -143,6 +144,7 @@ def group_bootstrap(df: DataFrame, by: list[str], y: Column, p: Column, baseline
     """Intervals of each group, side by side: a group's units (never its rows) meet in one task."""
     import pandas as pd
 
+    importable(df.sparkSession)
     units = unit_sums(df, y, p, baseline, unit, order, by)
     units = units.withColumn("first", F.row_number().over(Window.partitionBy(*by).orderBy("first", "unit"))).drop("unit")
     kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
