@@ -33,7 +33,7 @@ PER_LANGUAGE, LANGUAGES = 4_000, 64
 BUCKETS = 1 << 16
 SWITCH = 12.0
 FORBIDDEN = -40.0
-GROUP = 4 << 20
+GROUP = 2 << 20
 FOLDS = 5
 
 #: Scripts by ranges of code points; the later one wins in a word of several.

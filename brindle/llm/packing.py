@@ -45,7 +45,7 @@ LENGTH, END_ID = 4096, 2
 SENTENCE, HARD, EACH = 6, 24, 12
 BLOCK = 1 << 18
 #: Units that are kept with their ids; beyond, all are forgotten and tokenised again.
-UNITS = 1 << 19
+UNITS = 1 << 17
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = pa.schema([(n.split()[0], pa.int64()) for n in SCHEMA.split(", ")])
@@ -104,8 +104,8 @@ class UnitIds:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        self.keys = np.zeros(4 * UNITS, np.uint64)
-        self.places = np.zeros(4 * UNITS, np.int32)
+        self.keys = np.zeros(8 * UNITS, np.uint64)
+        self.places = np.zeros(8 * UNITS, np.int32)
         self.ids = np.full(1 << 16, self.end_id, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.begin[1] = 1
@@ -163,7 +163,7 @@ class UnitIds:
         """The entry of each unit."""
         raw = LOWER[raw]
         keys = word_hashes(raw, starts, ends) | np.uint64(1)
-        if self.n + len(keys) > 2 * UNITS and self.n > UNITS:
+        if self.n > 2 * UNITS:
             self.forget()
         found = self._find(keys)
         new = np.flatnonzero(found < 0)

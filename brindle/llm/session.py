@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.functions.workers import importable
 
-BATCH_BYTES = "8m"
+
+BATCH_BYTES = "4m"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -36,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, whose session's Arrow batches are kept to BATCH_BYTES: rows differ in size by orders of magnitude."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf, key = importable(df.sparkSession).conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key, None) != BATCH_BYTES:
         conf.set(key, BATCH_BYTES)
     return df
