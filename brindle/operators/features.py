@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.columns import adjusted_kurtosis, adjusted_skewness, is_missing, ratio, share, usable, xlogx
+from brindle.functions.columns import adjusted_kurtosis, adjusted_skewness, is_missing, ratio, share, usable
 from brindle.operators.quantiles import exact_quantiles
 
 NUMERICAL, CATEGORICAL = "numerical", "categorical"
@@ -127,14 +127,28 @@ def level_counts(df: DataFrame, names: list[str], order: str | None = None) -> D
     return long_levels(df, names, order).where("level is not null").groupBy("feature", "level").agg(F.count("*").alias("n"), F.min("place").alias("place"))
 
 
-def pool_levels(counts: DataFrame, names: list[str], rare_min_count: int = 100, max_categories: int = 20) -> dict[str, Pooling]:
-    """By feature: levels of at least ``rare_min_count`` rows, the most frequent ``max_categories``; ties by first row, then value."""
-    from pyspark.sql import Window
+#: Parts of a feature's levels that are ranked apart before the last ranking.
+SALTS = 64
+
+
+def top_levels(counts: DataFrame, rare_min_count: int, max_categories: int) -> DataFrame:
+    """(feature, level, n, place, rank) of levels of at least ``rare_min_count`` rows, the most frequent ``max_categories``.
+
+    Levels are ranked within salted parts first, so an identifier with any number of levels
+    sends no more than ``SALTS * max_categories`` of them to one task.
+    """
+    order = (F.desc("n"), F.asc_nulls_last("place"), "level")
+    salt = F.pmod(F.xxhash64("level"), F.lit(SALTS))
+    part = F.row_number().over(Window.partitionBy("feature", "salt").orderBy(*order))
+    some = counts.where(F.col("n") >= rare_min_count).withColumn("salt", salt).withColumn("rank", part).where(F.col("rank") <= max_categories)
+    whole = F.row_number().over(Window.partitionBy("feature").orderBy(*order))
+    return some.drop("salt").withColumn("rank", whole).where(F.col("rank") <= max_categories)
 
-    frequent = counts.where(F.col("n") >= rare_min_count)
-    rank = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), F.asc_nulls_last("place"), "level"))
+
+def pool_levels(counts: DataFrame, names: list[str], rare_min_count: int = 100, max_categories: int = 20) -> dict[str, Pooling]:
+    """By feature: the levels that keep a bucket; ties go by first row, then by value."""
     # at most max_categories rows per feature, and one count
-    top = frequent.withColumn("rank", rank).where(F.col("rank") <= max_categories).orderBy("feature", "rank").collect()
+    top = top_levels(counts, rare_min_count, max_categories).orderBy("feature", "rank").collect()
     levels = {r["feature"]: r["k"] for r in counts.groupBy("feature").agg(F.count("*").alias("k")).collect()}
     out = {}
     for n in names:
@@ -159,25 +173,22 @@ def categorical_profile(df: DataFrame, names: list[str], rare_min_count: int = 1
     """One row per feature, from its original levels before pooling."""
     on = set(CATEGORY_METRICS) if metrics is None else metrics
     counts = level_counts(df, names)
-    from pyspark.sql import Window
-
-    total = F.sum("n").over(Window.partitionBy("feature"))
-    rank = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "level"))
-    p = F.col("n") / F.col("total")
-    rare = F.col("n") < rare_min_count
-    kept = ~rare & (F.col("rank") <= max_categories)
+    n = F.col("n")
+    rare = n < rare_min_count
     sums = {
         "unique_nonmissing": F.count("*"),
-        "total": F.first("total"),
-        "dominant": F.max("n"),
-        "entropy": -F.sum(xlogx(p)),
-        "singleton_levels": F.count_if(F.col("n") == 1),
+        "total": F.sum(n),
+        "dominant": F.max(n),
+        # entropy from sums that need no total beforehand
+        "nlogn": F.sum(n * F.ln(n)),
+        "singleton_levels": F.count_if(n == 1),
         "rare_levels": F.count_if(rare),
-        "rare_rows": F.coalesce(F.sum(F.when(rare, F.col("n"))), F.lit(0)),
-        "pooled_rows": F.coalesce(F.sum(F.when(~kept, F.col("n"))), F.lit(0)),
-        "retained_levels": F.count_if(kept),
+        "rare_rows": F.coalesce(F.sum(F.when(rare, n)), F.lit(0)),
     }
-    by = counts.withColumns({"total": total, "rank": rank}).groupBy("feature").agg(*[c.alias(n) for n, c in sums.items()])
+    by = counts.groupBy("feature").agg(*[c.alias(k) for k, c in sums.items()])
+    by = by.withColumn("entropy", F.ln("total") - ratio(F.col("nlogn"), F.col("total")))
+    kept = top_levels(counts, rare_min_count, max_categories).groupBy("feature").agg(F.count("*").alias("retained_levels"), F.sum("n").alias("kept_rows"))
+    by = by.join(kept, "feature", "left").withColumn("pooled_rows", F.col("total") - F.coalesce("kept_rows", F.lit(0)))
     rows = long_levels(df, names).groupBy("feature").agg(F.count("*").alias("rows"), F.count_if(F.col("level").isNull()).alias("missing_count"), share(F.col("level").isNull()).alias("missing_fraction"))
     out = rows.join(by, "feature", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -214,13 +225,12 @@ class Cuts:
 def cut_numbers(df: DataFrame, names: list[str], bins: int = 10) -> dict[str, Cuts]:
     """By feature: up to ``bins`` distinct values as they are, else ``bins`` quantile intervals, equal edges merged."""
     values = long_numbers(df, names).where("v is not null").select("feature", "v")
-    distinct = values.distinct()
     few = {}
-    from pyspark.sql import Window
-
-    # at most bins + 1 values per feature come back
+    # at most bins + 1 values per feature come back; parts are ranked first, as there may be any number of values
+    part = F.row_number().over(Window.partitionBy("feature", "salt").orderBy("v"))
     rank = F.row_number().over(Window.partitionBy("feature").orderBy("v"))
-    for r in distinct.withColumn("k", rank).where(F.col("k") <= bins + 1).collect():
+    some = values.distinct().withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).withColumn("k", part).where(F.col("k") <= bins + 1)
+    for r in some.withColumn("k", rank).where(F.col("k") <= bins + 1).collect():
         few.setdefault(r["feature"], []).append(r["v"])
     many = [n for n in names if len(few.get(n, [])) > bins]
     out = {n: Cuts(sorted(few.get(n, [])), []) for n in names if n not in many}

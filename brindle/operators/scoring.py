@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from brindle.functions.columns import ratio
 from brindle.functions.workers import importable
 from brindle.operators.features import quoted
-from brindle.operators.target import rank_separation
+from brindle.operators.target import rank_separation, running_sums
 
 METRICS = ["logloss", "ne", "ne_train_baseline", "brier", "z_score", "click_error_pct"]
 SUMS = ["n", "y", "p", "v", "loss", "square", "base"]
@@ -20,6 +21,7 @@ TINY = 1e-15
 
 def row_sums(df: DataFrame, y: Column, p: Column, baseline: float, keep: dict[str, Column] | None = None) -> DataFrame:
     """Adds up per row: 1, label, prediction, variance, log loss, squared error, log loss of the baseline rate."""
+    p = p.cast("double")
     label, q = y.cast("double"), F.least(F.lit(1 - TINY), F.greatest(F.lit(TINY), p))
     base = min(1 - TINY, max(TINY, baseline))
     loss = lambda x: -(label * F.ln(x) + (1 - label) * F.log1p(-x))
@@ -76,10 +78,8 @@ def evaluate(df: DataFrame, y: Column, p: Column, baseline: float, by: list[str]
 
 def average_precision(values: DataFrame) -> DataFrame:
     """values (feature, v, y) -> the sum over distinct thresholds, downwards, of recall step times precision; null for one class."""
-    steps = values.groupBy("feature", "v").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    run = Window.partitionBy("feature").orderBy(F.desc("v"))
-    steps = steps.withColumns({"cp": F.sum("p").over(run), "cn": F.sum("n").over(run)})
-    s = steps.groupBy("feature").agg(F.sum(F.col("p") * ratio(F.col("cp"), F.col("cn"))).alias("a"), F.sum("p").alias("P"), F.sum("n").alias("N"))
+    steps = running_sums(values.groupBy("feature", "v").agg(F.sum("y").alias("p"), F.count("*").alias("n")), ["p", "n"], down=True)
+    s = steps.groupBy("feature").agg(F.sum(F.col("p") * ratio(F.col("cum_p"), F.col("cum_n"))).alias("a"), F.first("all_p").alias("P"), F.first("all_n").alias("N"))
     return s.select("feature", F.when((F.col("P") > 0) & (F.col("P") < F.col("N")), ratio(F.col("a"), F.col("P"))).alias("average_precision"))
 
 
@@ -116,28 +116,70 @@ def resampled(units: np.ndarray, times: int, seed: int) -> Iterator[np.ndarray]:
         yield rng.multinomial(k, np.full(k, 1 / k)) @ units
 
 
-def intervals(units: np.ndarray, times: int, confidence: float, seed: int) -> list[dict]:
-    """Percentile intervals and standard deviations of the metrics over resamples of whole units, rows in their first order."""
-    if len(units) < 2:
-        return [{"metric": m, "low": None, "high": None, "std": None, "valid_resamples": 0, "units": len(units), "status": "insufficient_units"} for m in METRICS]
-    draws = from_totals(np.array(list(resampled(units, times, seed))))
+def _summary(draws: dict[str, np.ndarray], times: int, confidence: float, units: int) -> list[dict]:
     out = []
     for m in METRICS:
         x = draws[m][np.isfinite(draws[m])]
         ok = len(x) >= 2
         low, high = np.quantile(x, [(1 - confidence) / 2, 1 - (1 - confidence) / 2]) if ok else (None, None)
-        out.append({"metric": m, "low": float(low) if ok else None, "high": float(high) if ok else None, "std": float(x.std(ddof=1)) if ok else None, "valid_resamples": len(x), "units": len(units), "status": "ok" if len(x) == times else "some_or_all_resamples_undefined"})
+        out.append({"metric": m, "low": float(low) if ok else None, "high": float(high) if ok else None, "std": float(x.std(ddof=1)) if ok else None, "valid_resamples": len(x), "units": units, "status": "ok" if len(x) == times else "some_or_all_resamples_undefined"})
     return out
 
 
+def intervals(units: np.ndarray, times: int, confidence: float, seed: int) -> list[dict]:
+    """Percentile intervals and standard deviations of the metrics over resamples of whole units, rows in their first order."""
+    if len(units) < 2:
+        return [{"metric": m, "low": None, "high": None, "std": None, "valid_resamples": 0, "units": len(units), "status": "insufficient_units"} for m in METRICS]
+    return _summary(from_totals(np.array(list(resampled(units, times, seed)))), times, confidence, len(units))
+
+
+#: Beyond so many units, their weights are drawn where they are, independently and with mean 1.
+MOST_UNITS = 200_000
+#: Upper ends of the probabilities of 0, 1, 2... events, if 1 is expected.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def poisson_totals(units: DataFrame, times: int, seed: int) -> np.ndarray:
+    """Sums of resampled units, [times, sums]: a unit's weights come from a hash of its name, so tasks need no order."""
+
+    def drawn(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        totals = np.zeros((times, len(SUMS)))
+        for batch in batches:
+            x = np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
+            keys = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+            for k in range(times):
+                h = (keys + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed)
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+                totals[k] += np.searchsorted(POISSON, u, "right") @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(times)), *[pa.array(c) for c in totals.T]], names=["draw", *SUMS])
+
+    keyed = importable(units.sparkSession) and units.select(F.xxhash64("unit").alias("key"), *SUMS)
+    rows = keyed.mapInArrow(drawn, "draw long, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in SUMS]).orderBy("draw").toArrow()
+    return np.stack([rows.column(c).to_numpy() for c in SUMS], 1)
+
+
 INTERVALS = "metric string, low double, high double, std double, valid_resamples long, units long, status string"
 
 
 def bootstrap(df: DataFrame, y: Column, p: Column, baseline: float, unit: Column, order: Column, times: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """A row per metric.  Units are summed by the cluster; the driver draws weights of units, never rows."""
-    rows = unit_sums(df, y, p, baseline, unit, order).orderBy("first", "unit").select(*SUMS).toArrow()
-    units = np.stack([rows.column(c).to_numpy() for c in SUMS], 1) if rows.num_rows else np.zeros((0, len(SUMS)))
-    return df.sparkSession.createDataFrame([tuple(r.values()) for r in intervals(units, times, confidence, seed)], INTERVALS)
+    """A row per metric.  Units are summed by the cluster; the driver draws weights of units, never rows.
+
+    More than ``MOST_UNITS`` units (a row bootstrap) stay where they are and get Poisson weights there.
+    """
+    spark = df.sparkSession
+    sums = unit_sums(df, y, p, baseline, unit, order)
+    k = sums.limit(MOST_UNITS + 1).count()
+    if k > MOST_UNITS:
+        rows = _summary(from_totals(poisson_totals(sums, times, seed)), times, confidence, sums.count())
+    else:
+        got = sums.orderBy("first", "unit").select(*SUMS).toArrow()
+        units = np.stack([got.column(c).to_numpy() for c in SUMS], 1) if got.num_rows else np.zeros((0, len(SUMS)))
+        rows = intervals(units, times, confidence, seed)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], INTERVALS)
 
 
 def group_bootstrap(df: DataFrame, by: list[str], y: Column, p: Column, baseline: float, unit: Column, order: Column, times: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:

@@ -113,15 +113,33 @@ def standardized_difference(values: DataFrame) -> DataFrame:
     return s.select("feature", d.alias("cohens_d"), (d * (1 - ratio(F.lit(3.0), 4 * freedom - 1))).alias("hedges_g"), status.alias("cohens_d_status"), "sample_rows_y1", "sample_rows_y0", "sample_mean_y1", "sample_mean_y0")
 
 
-def rank_separation(values: DataFrame) -> DataFrame:
-    """values (feature, v, y) -> AUC (ties half), its flipped and direction-free forms, and the KS statistic.
+#: Equal cells of a feature's values, each of which a task can sum by itself.
+CELLS = 1024
+
 
-    Rows are summed by value first; the running sums go over distinct values of one feature.
+def running_sums(steps: DataFrame, columns: list[str], down: bool = False) -> DataFrame:
+    """steps (feature, v, columns) -> also cum_<column>, over v upwards or downwards, and all_<column>.
+
+    Values are dealt to cells; within a cell a window runs, and the sums of the cells before it
+    are added, so no task needs all values of a feature.
     """
-    steps = values.groupBy("feature", "v").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    run = Window.partitionBy("feature").orderBy("v")
+    turn = (lambda c: F.desc(c)) if down else F.asc
+    ends = steps.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high"))  # a row per feature
+    cell = F.coalesce(F.least(F.lit(CELLS - 1), F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * CELLS)), F.lit(0))
+    dealt = steps.join(ends, "feature").withColumn("cell", cell).drop("low", "high")
+    sums = dealt.groupBy("feature", "cell").agg(*[F.sum(c).alias(f"in_{c}") for c in columns])  # at most CELLS rows per feature
+    before = Window.partitionBy("feature").orderBy(turn("cell")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("feature")
-    steps = steps.withColumns({"cum_p": F.sum("p").over(run), "cum_q": F.sum("q").over(run), "all_p": F.sum("p").over(every), "all_q": F.sum("q").over(every)})
+    sums = sums.select("feature", "cell", *[F.coalesce(F.sum(f"in_{c}").over(before), F.lit(0)).alias(f"to_{c}") for c in columns], *[F.sum(f"in_{c}").over(every).alias(f"all_{c}") for c in columns])
+    run = Window.partitionBy("feature", "cell").orderBy(turn("v"))
+    out = dealt.withColumns({f"cum_{c}": F.sum(c).over(run) for c in columns}).join(sums, ["feature", "cell"])
+    return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"to_{c}") for c in columns}).drop("cell", *[f"to_{c}" for c in columns])
+
+
+def rank_separation(values: DataFrame) -> DataFrame:
+    """values (feature, v, y) -> AUC (ties half), its flipped and direction-free forms, and the KS statistic; rows are summed by value first."""
+    steps = values.groupBy("feature", "v").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    steps = running_sums(steps, ["p", "q"])
     s = steps.groupBy("feature").agg(
         F.sum(F.col("p") * (F.col("cum_q") - F.col("q") / 2)).alias("wins"),
         F.max(F.abs(ratio(F.col("cum_p"), F.col("all_p")) - ratio(F.col("cum_q"), F.col("all_q")))).alias("ks_statistic"),

@@ -175,3 +175,16 @@ def test_bootstrap_takes_units_whole(spark):
     assert len(got) == 6 and all(r["units"] == 10 and r["low"] <= r["high"] for r in got)
     groups = scoring.group_evaluation(df, ["g"], Y(), F.col("p"), 0.5, scoring.unit_of("cluster", cluster="c"), F.col("id"), times=10).collect()
     assert [r["g"] for r in groups] == ["g", None] and groups[0]["rows"] == 26 and groups[0]["low_support"]
+
+
+def test_many_units_get_weights_where_they_are(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "cast(id % 3 = 0 as int) y", "0.2 + 0.3 * (id % 2) p")
+    args = (df, Y(), F.col("p"), 0.3, F.col("id"), F.col("id"), 200)
+    a = {r["metric"]: r for r in scoring.bootstrap(*args).collect()}
+    monkeypatch.setattr(scoring, "MOST_UNITS", 100)
+    b = {r["metric"]: r for r in scoring.bootstrap(*args).collect()}
+    again = {r["metric"]: r for r in scoring.bootstrap(args[0].repartition(5), *args[1:]).collect()}
+    assert all(again[m]["low"] == pytest.approx(b[m]["low"]) for m in scoring.METRICS)
+    for m in scoring.METRICS:
+        assert b[m]["units"] == 3000 and b[m]["std"] == pytest.approx(a[m]["std"], rel=0.25)
+        assert b[m]["low"] == pytest.approx(a[m]["low"], abs=2 * a[m]["std"])
