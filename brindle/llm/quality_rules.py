@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.session import cut
+from brindle.llm.session import hold
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -140,7 +140,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     The distances are those to the nearest reference, null where the method does not judge.
     """
     counted = histograms(base_counts(docs.select("doc_id", "text", "lang"))).withColumn("n_chars", F.length("text"))
-    counted = cut(counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_chars", "counts"))
+    counted = hold(counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_chars", "counts"))
     refs = references(counted)
     split = len(CLASSES) + 1
     judged = (~F.col("base_failed")) & (F.col("n_chars") >= MIN_CHARS)

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.functions.workers import importable
@@ -80,6 +81,14 @@ def remove(spark: SparkSession, place: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks once it is computed; what is lost with an executor is computed again.
+
+    For results that several steps read and no loop builds on; spark.catalog.clearCache() frees them.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table that is written now, in the folder that the cluster shares.
 
