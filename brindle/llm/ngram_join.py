@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import digest, mix, shingle_sets
 from brindle.llm.components import components
-from brindle.llm.session import bounded_batches, fresh, hold, plain, returning
+from brindle.llm.session import bounded_batches, cut, fresh, hold, plain, returning
 
 SKETCH = 16
 BLOCK = 1 << 20
@@ -395,7 +395,7 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
 
     # 1. classes of equal sets; the smallest doc_id stands for a class
     full = rows.where("n > 0 and doc_id is not null")
-    classes = hold(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
+    classes = cut(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
     member = rows.drop("sketch", "parity").join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
     # texts that share a doc_id
     shared = member.where("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b"))
@@ -403,10 +403,10 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
     # 2. stars
     small = classes.select(F.explode("sketch").alias("token"), "rep", "n", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / share))).alias("step"))
     held = small.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    small = hold(small.join(held, "token"))
+    small = cut(small.join(held, "token"))
     # a set most of whose hashes many others have stands nearest to the middle of its group
     middle = small.groupBy("rep").agg(F.round(F.sum(F.log("k")), 3).alias("score"))
-    small = hold(small.join(middle, "rep").select("token", "step", F.struct((-F.col("score")).alias("s"), "rep", "n").alias("d")))
+    small = cut(small.join(middle, "rep").select("token", "step", F.struct((-F.col("score")).alias("s"), "rep", "n").alias("d")))
     star = None
     for keys in (["token"], ["token", "step"]):
         best = small.groupBy(*keys).agg(F.min("d").alias("c"))
@@ -419,11 +419,11 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
         """pairs (x, y) that may be linked -> (x, y, nx, ny)."""
         side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
         both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "px", "py")
-        return hold(both.mapInArrow(returning(_alike(share)), "x long, y long, nx long, ny long").distinct())
+        return cut(both.mapInArrow(returning(_alike(share)), "x long, y long, nx long, ny long").distinct())
 
     def compared(pairs: DataFrame) -> DataFrame:
         """pairs (x, y) -> (x, y, overlap, nx, ny); texts that share a doc_id give a row each."""
-        ids = hold(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+        ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
         bits = ids.select(_bit_of("doc_id").alias("b")).groupBy(F.floor(F.col("b") / PIECE).alias("piece")).agg(F.expr(f"bitmap_construct_agg(b % {PIECE})").alias("bits"))
         bitmap = np.zeros(BITS // 8, np.uint8)
         for piece, part in bits.collect():  # at most BITS / PIECE rows of 4 KB
@@ -431,7 +431,7 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
         held = spark.sparkContext.broadcast(bitmap)
         sets = texts.mapInArrow(returning(lambda it: _sets(held.value, width)(it)), "doc_id long, items binary")
         both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("items").alias("xs")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("items").alias("ys")), "y")
-        return hold(both.select("x", "y", "xs", "ys").mapInArrow(returning(_overlaps), "x long, y long, overlap long, nx long, ny long"))
+        return cut(both.select("x", "y", "xs", "ys").mapInArrow(returning(_overlaps), "x long, y long, overlap long, nx long, ny long"))
 
     found = compared(alike(star).select("x", "y").distinct()).where(_linked("overlap", "nx", "ny", share))
     links = [shared, found.select(F.col("x").alias("a"), F.col("y").alias("b"))]
@@ -455,7 +455,7 @@ def jaccard_groups(docs: DataFrame, share: int = 80, width: int = 5) -> DataFram
         left = pairs.join(centre, "y", "left").join(centre.select(F.col("y").alias("x"), F.col("centre").alias("xc"), F.col("shared").alias("xs")), "x", "left")
         # u is the set to compare with the centre of v
         left = left.selectExpr("x", "y", "coalesce(centre, xc) c", "if(centre is not null, x, y) u", "if(centre is not null, nx, ny) nu", "if(centre is not null, ny, nx) nv", "coalesce(shared, xs) vc")
-        left = hold(left)
+        left = cut(left)
         anchors = left.where("c is not null and c <> u").select(F.least("c", "u").alias("x"), F.greatest("c", "u").alias("y")).distinct()
         known = compared(anchors)
         more = known.where(_linked("overlap", "nx", "ny", share)).select(F.col("x").alias("a"), F.col("y").alias("b"))
