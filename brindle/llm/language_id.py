@@ -33,7 +33,7 @@ PER_LANGUAGE, LANGUAGES = 4_000, 64
 BUCKETS = 1 << 16
 SWITCH = 12.0
 FORBIDDEN = -40.0
-GROUP = 2 << 20
+GROUP = 1 << 20
 FOLDS = 5
 
 #: Scripts by ranges of code points; the later one wins in a word of several.
@@ -225,10 +225,10 @@ def label_texts(column: pa.Array, model: Model | None) -> list[tuple[str, float,
 
 
 def _sub(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows in pieces of about 1 MB, as features take many bytes for a byte."""
+    """Rows in pieces of about 256 KB, as features take many bytes for a byte."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + (1 << 18), "right")) - 1))
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

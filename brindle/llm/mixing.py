@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.session import fresh, hold, plain
+from brindle.llm.session import cut, fresh, hold, plain
 
 #: The digits of a hash: LEVELS times LEVEL_BITS bits.
 LEVELS, LEVEL_BITS = 4, 15
@@ -79,7 +79,7 @@ def _thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         sums = sums.withColumn("after", F.col("before") + F.sum("size").over(run))
         crossing = sums.where("after > rest").groupBy("key").agg(F.min(F.struct("bucket", "after", "size")).alias("c"))
         at_next = crossing.select("key", F.col("c.bucket").alias("prefix"), (F.col("c.after") - F.col("c.size")).alias("before"), F.col("c.after").alias("after"))
-        at = hold(at_next.join(targets.select("key", "rest"), "key"))
+        at = cut(at_next.join(targets.select("key", "rest"), "key"))
         if level + 1 < LEVELS:
             part = part.drop("prefix").withColumnRenamed("bucket", "prefix").join(at.select("key", "prefix"), ["key", "prefix"], "left_semi")
     # one hash value is left: it is taken if that comes nearer
@@ -96,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     held = fresh(docs, "__held")
     row = docs.withColumn(held, F.struct(words(F.col("text")).alias("size"), _key(F.col("source")).alias("key"), doc_hash(F.col("doc_id")).alias("hash")))
     sized = hold(row.select(f"{held}.*"))
-    by = hold(_thresholds(sized, _targets(sized, weights, cap)).select("key", F.struct("source_size", "target", "base", "below").alias("plan")))
+    by = cut(_thresholds(sized, _targets(sized, weights, cap)).select("key", F.struct("source_size", "target", "base", "below").alias("plan")))
     return _apply(row, by, cap, held, into)
 
 

@@ -50,7 +50,7 @@ from brindle.llm.components import components
 from brindle.llm.session import bounded_batches, cut, fresh, hold, plain, returning
 
 SKETCH = 16
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 BITS = 1 << 24
 PIECE = 32_768
 
