@@ -265,7 +265,7 @@ TUNING: dict[str, Field] = {
     "time_column": COLUMN,
     "features": FEATURES,
     "group_by": Field([], lambda x: isinstance(x, list), "a list of columns, or of lists of columns"),
-    "output_dir": Field("../report/model_tuning", _text, "a path"),
+    "output_dir": Field("../report/tuning", _text, "a path"),
     "seed": Field(42, lambda x: _whole(x) and x < 2**32, "a whole number below 2**32"),
     "nthread": _positive(4),
     "logging": _mapping({}),
