@@ -7,8 +7,10 @@ the sum over its trigrams; and Viterbi over the words, with a penalty for each s
 spans.  The prediction is the language that covers the most letters, the score its share.
 
 Learning takes documents with a lang, those whose crc32(doc_id) mod 5 is not 0 only, about
-``PER_LANGUAGE`` of each language, drawn by a hash of doc_id, whole texts; at most
-``LANGUAGES`` languages, the most frequent ones.  Predicting sees nothing but the text.
+``PER_LANGUAGE`` of each language, drawn by a hash of doc_id, whole texts.  Every lang that
+occurs there is learned, however rare.  The model holds the trigrams that a language has, so
+rare languages are small in it; beyond ``WIDE`` languages texts are scored in smaller groups,
+and a long one in runs of words.  Predicting sees nothing but the text.
 
 Nulls: a null text, or one without any letter, is ``und`` with score 0, as is every text if
 there is nothing to learn from.  A null doc_id counts as held out.  Rows with a null lang are
@@ -18,7 +20,7 @@ first, extra columns pass through, an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from pyspark.sql import types as T
 from brindle.llm.bytes_view import LOWER, chunks, spans
 from brindle.llm.session import bounded_batches, returning
 
-PER_LANGUAGE, LANGUAGES = 4_000, 64
+PER_LANGUAGE = 4_000
 BUCKETS = 1 << 16
 SWITCH = 12.0
 FORBIDDEN = -40.0
-GROUP = 1 << 20
+GROUP, PIECE = 1 << 20, 1 << 18
+WIDE = 64
 FOLDS = 5
 
 #: Scripts by ranges of code points; the later one wins in a word of several.
@@ -81,21 +84,34 @@ def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Model:
-    """languages, weights float32 [BUCKETS, languages], and allowed bool [scripts + 1, languages]."""
+    """languages, allowed bool [scripts + 1, languages], and of each language its buckets, their weights and that of all others.
 
-    def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
+    ``counts`` has for each language an array of BUCKETS counts, or its buckets and their counts.
+    """
+
+    def __init__(self, languages: list[str], counts: Sequence, scripts: np.ndarray):
         self.languages = languages
-        total = counts.sum(1, keepdims=True)
-        self.weights = np.ascontiguousarray(np.log((counts + 0.1) / (total + 0.1 * BUCKETS)).T.astype(np.float32))
+        self.known: list[tuple[np.ndarray, np.ndarray, np.float32]] = []
+        for c in counts:
+            place, n = c if isinstance(c, tuple) else (np.flatnonzero(c), c[np.flatnonzero(c)])
+            total = n.sum() + 0.1 * BUCKETS
+            self.known.append((place.astype(np.uint16), np.log((n + 0.1) / total).astype(np.float32), np.float32(np.log(0.1 / total))))
         used = scripts >= 0.01 * np.maximum(1, scripts[:, 1:].sum(1, keepdims=True))
         self.allowed = used.T.copy()
         self.allowed[0] = True
         self.allowed[~self.allowed.any(1)] = True
 
+    def group(self, most: int) -> int:
+        """Bytes of text to score at a time, so that a score of each word and language has room."""
+        return max(1 << 12, most * WIDE // max(WIDE, len(self.languages)))
+
     def word_scores(self, bucket: np.ndarray, letter: np.ndarray, starts: np.ndarray, script: np.ndarray) -> np.ndarray:
         out = np.empty((len(starts), len(self.languages)), np.float32)
-        for k in range(len(self.languages)):
-            column = self.weights[:, k][bucket]
+        weights = np.empty(BUCKETS, np.float32)
+        for k, (place, known, other) in enumerate(self.known):
+            weights.fill(other)
+            weights[place] = known
+            column = weights[bucket]
             column[~letter] = 0
             out[:, k] = np.add.reduceat(column, starts) if len(starts) else 0
         out += np.where(self.allowed[script], np.float32(0), np.float32(FORBIDDEN))
@@ -107,15 +123,15 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     counts = np.diff(at)
     order = np.argsort(-counts, kind="stable")
     begin, size = at[:-1][order], counts[order]
-    label = np.zeros(len(scores), np.int8)
+    label = np.zeros(len(scores), np.int32)
     if not len(scores):
         return label
     stays = np.ones(scores.shape, bool)
-    top = np.zeros(len(scores), np.int8)
+    top = np.zeros(len(scores), np.int32)
     longest = int(size[0])
     live = np.searchsorted(-size, -np.arange(longest), "left")  # rows with more than t words
     best = scores[begin[: live[0]]].copy()
-    last = np.zeros(len(order), np.int8)
+    last = np.zeros(len(order), np.int32)
     for t in range(1, longest + 1):
         n = int(live[t]) if t < longest else 0
         if n < len(best):
@@ -141,71 +157,115 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     return label
 
 
+def viterbi_of_one(runs: Iterator[np.ndarray], n: int, switch: float = SWITCH) -> np.ndarray:
+    """viterbi() of one row of n words, whose scores come in runs; keeps a bit of each word and language."""
+    stays, top, best, t = [], np.zeros(n, np.int32), None, 0
+    for scores in runs:
+        kept = np.ones(scores.shape, bool)
+        for i, own in enumerate(scores):
+            if best is None:
+                best = own.copy()
+            else:
+                top[t] = best.argmax()
+                jump = best[top[t]] - np.float32(switch)
+                kept[i] = best >= jump
+                best = np.where(kept[i], best, jump) + own
+            t += 1
+        stays.append(np.packbits(kept, axis=1))
+    label = np.zeros(n, np.int32)
+    state = int(best.argmax()) if n else 0
+    for kept in reversed(stays):
+        for bits in kept[::-1]:
+            t -= 1
+            label[t] = state
+            if t and not bits[state >> 3] >> (7 - (state & 7)) & 1:
+                state = int(top[t])
+    return label
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; of an empty text for null."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def draw(labelled: DataFrame, label: str, each: int, most: int) -> tuple[DataFrame, list]:
-    """About ``each`` rows of each of the ``most`` most frequent labels, by a hash of doc_id; and the labels in order."""
-    sizes = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most).collect()  # at most ``most`` rows
-    chance = F.lit(0.0)
-    for r in sizes:
-        chance = F.when(F.col(label) == r[label], min(1.0, each / r["count"])).otherwise(chance)
+def draw(labelled: DataFrame, label: str, each: int) -> tuple[DataFrame, list]:
+    """About ``each`` rows of each label, by a hash of doc_id; and the labels in order."""
+    sizes = labelled.groupBy(label).count().collect()  # a row for each label
+    chance = F.lit(1.0)
+    if large := [r for r in sizes if r["count"] > each]:
+        shares = F.create_map(*[F.lit(x) for r in large for x in (r[label], each / r["count"])])
+        chance = F.coalesce(F.try_element_at(shares, F.col(label)), chance)
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("draw")), F.lit(1 << 30)) < chance * (1 << 30)
     return labelled.where(drawn), sorted(r[label] for r in sizes)
 
 
 def train(docs: DataFrame) -> Model | None:
-    """A model from docs (doc_id, text, lang): sums over tasks, of a few hundred KB for each language."""
+    """A model from docs (doc_id, text, lang): sums over tasks, of the trigrams that each language has."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
-    sample, languages = draw(known, "lang", PER_LANGUAGE, LANGUAGES)
+    sample, languages = draw(known, "lang", PER_LANGUAGE)
     if not languages:
         return None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}
         scripts = np.zeros((len(languages), len(SCRIPTS) + 1), np.int64)
         number = {x: k for k, x in enumerate(languages)}
         for batch in batches:
             langs = np.array([number[x] for x in batch.column(1).to_pylist()])
             for i, j, raw, off in chunks(batch.column(0)):
                 starts, at, bucket, letter, script, letters = _features(raw, off)
-                of_byte = np.repeat(langs[i:j], np.diff(off))
-                np.add.at(counts.reshape(-1), (of_byte * BUCKETS + bucket)[letter], 1)
+                of_byte = np.repeat(langs[i:j], np.diff(off))[letter]
+                seen, n = np.unique(of_byte * BUCKETS + bucket[letter], return_counts=True)
+                cut = np.flatnonzero(np.diff(seen // BUCKETS, prepend=-1, append=-1))
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    k = int(seen[a] // BUCKETS)
+                    if k not in counts:
+                        counts[k] = np.zeros(BUCKETS, np.int64)
+                    counts[k][seen[a:b] % BUCKETS] += n[a:b]
                 np.add.at(scripts, (np.repeat(langs[i:j], np.diff(at)), script), letters)
-        rows = [(k, counts[k].tobytes(), scripts[k].tobytes()) for k in range(len(languages)) if counts[k].any()]
-        if rows:
-            a, b, c = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["k", "counts", "scripts"])
-
-    # a sample of stated size, dealt to a few tasks: each returns at most one row for a language
-    few = bounded_batches(sample).select("text", "lang").repartition(max(1, min(8, 32 // len(languages))))
-    counts = np.zeros((len(languages), BUCKETS))
+        for k, c in counts.items():
+            place = np.flatnonzero(c)
+            row = [k], [place.astype(np.uint16).tobytes()], [c[place].tobytes()], [scripts[k].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["k", "buckets", "counts", "scripts"])
+
+    # a sample of stated size, dealt to a few tasks: each returns at most one row for a language;
+    # of many languages each goes to one task, with few others
+    texts = bounded_batches(sample).select("text", "lang")
+    few = texts.repartition(max(1, min(8, 32 // len(languages)))) if len(languages) <= 32 else texts.repartition(-(-len(languages) // 16), "lang")
+    empty = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    counts = [empty] * len(languages)
     scripts = np.zeros((len(languages), len(SCRIPTS) + 1))
-    for r in few.mapInArrow(returning(counted), "k int, counts binary, scripts binary").collect():
-        counts[r["k"]] += np.frombuffer(r["counts"], np.int64)
+    for r in few.mapInArrow(returning(counted), "k int, buckets binary, counts binary, scripts binary").toLocalIterator():
+        place, n = np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.int64)
+        if len(counts[r["k"]][0]):
+            whole = np.zeros(BUCKETS, np.int64)
+            for at, more in (counts[r["k"]], (place, n)):
+                whole[at] += more
+            place = np.flatnonzero(whole).astype(np.uint16)
+            n = whole[place]
+        counts[r["k"]] = place, n
         scripts[r["k"]] += np.frombuffer(r["scripts"], np.int64)
     return Model(languages, counts, scripts)
 
 
-def _groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    return chunks(column, GROUP)
-
-
 def label_texts(column: pa.Array, model: Model | None) -> list[tuple[str, float, list[dict]]]:
     """(language, score, spans) of each text; spans are runs of words of one language."""
     out: list[tuple[str, float, list[dict]]] = []
-    for i, j, raw, off in _groups(column):
-        parts = []
-        for a, b, piece, po in _sub(raw, off):
-            starts, at, bucket, letter, script, letters = _features(piece, po)
-            scores = model.word_scores(bucket, letter, starts, script) if model else np.zeros((len(starts), 1), np.float32)
-            parts.append((scores, np.diff(at), letters, script))
-        scores, counts, letters, script = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at = np.concatenate([[0], np.cumsum(counts)])
-        label = viterbi(scores, at)
-        width = scores.shape[1]
+    group, most = (model.group(GROUP), model.group(PIECE)) if model else (GROUP, PIECE)
+    width = len(model.languages) if model else 1
+    for i, j, raw, off in chunks(column, group):
+        if model and width > WIDE and len(raw) > group:  # one row
+            starts, at, bucket, letter, script, letters = _features(raw, off)
+            counts, label = np.diff(at), viterbi_of_one(_runs(model, bucket, letter, starts, script, most), len(starts))
+        else:
+            parts = []
+            for a, b, piece, po in _sub(raw, off, most):
+                starts, at, bucket, letter, script, letters = _features(piece, po)
+                scores = model.word_scores(bucket, letter, starts, script) if model else np.zeros((len(starts), 1), np.float32)
+                parts.append((scores, np.diff(at), letters, script))
+            scores, counts, letters, script = (np.concatenate(x) for x in zip(*parts, strict=True))
+            at = np.concatenate([[0], np.cumsum(counts)])
+            label = viterbi(scores, at)
         row = np.repeat(np.arange(j - i), counts)
         covered = np.bincount(row * width + label, weights=letters, minlength=(j - i) * width).reshape(-1, width)
         best, total = covered.argmax(1), covered.sum(1)
@@ -224,11 +284,22 @@ def label_texts(column: pa.Array, model: Model | None) -> list[tuple[str, float,
     return out
 
 
-def _sub(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows in pieces of about 256 KB, as features take many bytes for a byte."""
+def _runs(model: Model, bucket: np.ndarray, letter: np.ndarray, starts: np.ndarray, script: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Scores of a text's words, in runs of about ``most`` bytes."""
+    ends = np.append(starts[1:], len(bucket))
+    i, n = 0, len(starts)
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right"))))
+        a, b = starts[i], ends[j - 1]
+        yield model.word_scores(bucket[a:b], letter[a:b], starts[i:j] - a, script[i:j])
+        i = j
+
+
+def _sub(raw: np.ndarray, off: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows in pieces of about ``most`` bytes, as features take many bytes for a byte."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + (1 << 18), "right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

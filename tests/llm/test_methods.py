@@ -426,6 +426,29 @@ def test_scripts_narrow_candidates():
     assert [g[0] for g in got] == ["latin", "cyrillic", "cyrillic"] or [g[0] for g in got][:2] == ["latin", "cyrillic"]
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    langs = [f"l{k:03}" for k in range(150)]
+    stems = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for x in langs}
+    rows = [(i, " ".join(rng.choice(stems[x]) for _ in range(30)), x) for i, x in enumerate(langs * 6 + langs[:70] * 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(d)
+    learned = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 5}
+    assert model.languages == sorted(learned) == langs
+    got = language_id.language_rows(d).toPandas().set_index("doc_id")
+    assert all(got.lang_pred[i] == x for i, _, x in rows)
+    long = " ".join(rng.choice(stems[x]) for x in ("l003", "l149", "l070") for _ in range(24000))
+    assert len(long) > model.group(language_id.GROUP)
+    (lang, score, runs) = language_id.label_texts(pa.array([long]), model)[0]
+    assert [r["lang"] for r in runs] == ["l003", "l149", "l070"] and [r["words"] for r in runs] == [24000] * 3 and 0.33 < score < 0.34
+
+
+def test_viterbi_of_one_row_in_runs():
+    scores = np.random.default_rng(4).normal(size=(500, 70)).astype(np.float32) * 5
+    whole = language_id.viterbi(scores, np.array([0, 500]))
+    assert len(set(whole)) > 3 and (language_id.viterbi_of_one((scores[i : i + 64] for i in range(0, 500, 64)), 500) == whole).all()
+
+
 # op10
 
 
