@@ -4,11 +4,16 @@ Base rules come from the words ``[^\\x20\\x09-\\x0D]+`` of the whole text.  The
 method then compares two histograms of a document with references, one per language:
 
 * characters by class (upper case, lower case, digit, space, sentence marks, symbols, other);
-* the language's common words by share of all words, and the rest as one bin.
+* common words by share of all words, and the rest as one bin.
 
 References are sums over all documents of a language (column ``lang``) that pass the base
-rules, so they follow the corpus, and are as many rows as there are languages; they are
-joined to the documents by broadcast only up to ``LANGUAGES`` rows, the most frequent ones.
+rules, so they follow the corpus.  Those of the languages of ``COMMON_WORDS`` share the bins of
+all its words.  Each other language has bins of its own: its ``OWN_WORDS`` most frequent words
+of letters only in these documents, by a count that is aggregated before it is dealt out.
+Listed languages are literals of the plan; at most ``LANGUAGES`` others, the most frequent ones,
+are one broadcast row.  Where a text without any of a reference's words is within
+``WORD_MOST`` of it (words without spaces, or hardly any common ones), the reference cannot judge
+words: it judges by characters alone, and only documents of its own lang or of none.
 The distance is the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1).
 A document is dropped if, against the nearest reference, its character distance exceeds
 ``CHAR_MOST`` or its common-word distance exceeds ``WORD_MOST``.  Characters are not judged in
@@ -22,8 +27,10 @@ count each.  Extra columns are ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.session import hold
@@ -42,6 +49,7 @@ COMMON_WORDS = {
 CLASSES = {"upper": "\\p{Lu}", "lower": "\\p{Ll}", "digit": "\\p{Nd}", "space": "\\s", "mark": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>=+/\\\\\\[\\]{}@^~_`]"}
 
 LANGUAGES = 256
+OWN_WORDS = 24
 MIN_CHARS, MIN_WORDS = 200, 100
 CHAR_MOST, WORD_MOST = 0.25, 0.31
 
@@ -94,8 +102,26 @@ def _known() -> list[str]:
     return sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 
-def histograms(d: DataFrame) -> DataFrame:
-    """Adds counts, array<int>: characters by class and the rest, then words by common word and the rest."""
+def own_words(docs: DataFrame) -> dict[str, dict[str, int]]:
+    """Of each language that COMMON_WORDS lacks, the most frequent words and their counts, over documents that pass the base rules."""
+    others = docs.where(F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS)))
+    out: dict[str, dict[str, int]] = {r["lang"]: {} for r in others.select("lang").distinct().collect()}
+    if out:
+        # no filter on what was computed and no explode(), which brings one: pushed down, it would compute that for each word
+        words = base_counts(others).select("lang", F.explode_outer(F.when(~F.col("base_failed"), F.col("words"))).alias("word"))
+        counts = words.where(F.rlike("word", F.lit("^[\\p{L}\\p{M}]+$"))).groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+        first = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+        for r in first.where(F.col("place") <= OWN_WORDS).orderBy("lang", "place").collect():  # OWN_WORDS rows a language
+            out[r["lang"]][r["word"]] = r["n"]
+    return out
+
+
+def _apart(word: Column) -> Column:
+    return F.concat(F.lit(" "), word, F.lit(" "))
+
+
+def histograms(d: DataFrame, more: Iterable[str] = ()) -> DataFrame:
+    """Adds counts, array<int>: characters by class and the rest, then words by common word and the rest; and hits, the words that are in ``more``, each between spaces of its own."""
     chars = [(F.length("text") - F.length(F.regexp_replace("text", f"{c}+", ""))).alias(k) for k, c in CLASSES.items()]
     known = _known()
     code = {w: chr(0xE000 + i) for i, w in enumerate(known)}
@@ -109,28 +135,47 @@ def histograms(d: DataFrame) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
     rest = F.array(F.length("text") - total("by_class"))
     others = F.array((F.col("n_words") - F.length("coded")).cast("int"))
-    return d.withColumn("counts", F.when(~F.col("base_failed"), F.concat("by_class", rest, "by_word", others))).drop("coded", "by_class", "by_word")
+    d = d.withColumn("counts", F.when(~F.col("base_failed"), F.concat("by_class", rest, "by_word", others))).drop("coded", "by_class", "by_word")
+    if more:
+        found = F.filter(F.transform("words", F.lower), lambda w: w.isin(list(more)))
+        d = d.withColumn("hits", F.when(~F.col("base_failed"), F.array_join(F.transform(found, _apart), "")))
+    return d
 
 
-def references(counted: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, character shares, common-word shares) over all documents that pass the base rules."""
+def references(counted: DataFrame, own: dict[str, dict[str, int]] | None = None) -> tuple[list, list]:
+    """(language, character shares, common-word shares) over all documents that pass the base rules; and of other languages
+    also, before the last, their words, whose counts ``own`` has."""
+    own = own or {}
     split, width = len(CLASSES) + 1, len(CLASSES) + len(_known()) + 2
-    own = counted.where("lang is not null and not base_failed")
-    sums = own.groupBy("lang").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("counts", F.lit(i)).cast("long")) for i in range(width)]).alias("sums"))
+    known = counted.where("lang is not null and not base_failed")
+    sums = known.groupBy("lang").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("counts", F.lit(i)).cast("long")) for i in range(width)]).alias("sums"))
     rows = sums.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # at most LANGUAGES rows
-    out = []
+    listed, others = [], []
     for r in rows:
         x = np.array(r["sums"], float)
-        out.append((r["lang"], x[:split] / x[:split].sum(), x[split:] / x[split:].sum()))
-    return out
+        chars, words = x[:split] / x[:split].sum(), x[split:]
+        if r["lang"] in COMMON_WORDS:
+            listed.append((r["lang"], chars, words / words.sum()))
+        else:
+            n = np.array([*own.get(r["lang"], {}).values()], float)
+            others.append((r["lang"], chars, [*own.get(r["lang"], {})], np.append(n, words.sum() - n.sum()) / words.sum()))
+    return listed, others
+
 
+def judges_words(shares: np.ndarray) -> bool:
+    """Whether a text with none of the words, all in the last bin, is beyond WORD_MOST."""
+    p = np.zeros(len(shares))
+    p[-1] = 1.0
+    part = lambda x, y: (x[x > 0] * np.log2(2 * x[x > 0] / (x + y)[x > 0])).sum()
+    return float(np.sqrt(max(0.0, (part(p, shares) + part(shares, p)) / 2))) > WORD_MOST
 
-def _distance(counts: Column, total: Column, ref: np.ndarray) -> Column:
+
+def _distance(counts: Column, total: Column, ref: Column) -> Column:
     def term(n: Column, q: Column) -> Column:
         p = n / total
         return F.when(n > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)
 
-    twice = F.aggregate(F.zip_with(counts, F.lit(ref), term), F.lit(0.0), lambda a, x: a + x)
+    twice = F.aggregate(F.zip_with(counts, ref, term), F.lit(0.0), lambda a, x: a + x)
     return F.sqrt(F.greatest(F.lit(0.0), twice / 2))
 
 
@@ -139,16 +184,42 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     The distances are those to the nearest reference, null where the method does not judge.
     """
-    counted = histograms(base_counts(docs.select("doc_id", "text", "lang"))).withColumn("n_chars", F.length("text"))
-    counted = hold(counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_chars", "counts"))
-    refs = references(counted)
+    docs = docs.select("doc_id", "text", "lang")
+    own = own_words(docs)
+    more = sorted({w for words in own.values() for w in words})
+    counted = histograms(base_counts(docs), more).withColumn("n_chars", F.length("text"))
+    counted = hold(counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_chars", "counts", *["hits"] * bool(more)))
+    listed, others = references(counted, own)
     split = len(CLASSES) + 1
     judged = (~F.col("base_failed")) & (F.col("n_chars") >= MIN_CHARS)
     chars, words = F.slice("counts", 1, split), F.slice("counts", split + 1, len(_known()) + 1)
-    near = [F.struct(_distance(chars, F.col("n_chars"), c).alias("char_distance"), _distance(words, F.col("n_words"), w).alias("word_distance"), F.lit(lang).alias("language")) for lang, c, w in refs]
-    if near:
+
+    def near(char: Column, word: Column | None, language: Column) -> Column:
+        word = F.lit(None).cast("double") if word is None else word
+        return F.struct(char.alias("char_distance"), word.alias("word_distance"), language.alias("language"))
+
+    of_it = lambda language: F.coalesce(F.col("lang") == language, F.lit(True))
+    found = []
+    for lang, c, w in listed:
+        char = _distance(chars, F.col("n_chars"), F.lit(c))
+        found.append(near(char, _distance(words, F.col("n_words"), F.lit(w)), F.lit(lang)) if judges_words(w) else F.when(of_it(F.lit(lang)), near(char, None, F.lit(lang))))
+    choices = F.array(*found) if found else None
+    if others:
+        row = [([(lang, c.tolist(), ws, w.tolist(), judges_words(w)) for lang, c, ws, w in others],)]
+        table = docs.sparkSession.createDataFrame(row, "refs array<struct<language: string, chars: array<double>, words: array<string>, shares: array<double>, judges: boolean>>")
+        counted = counted.crossJoin(F.broadcast(table))
+
+        def other(x: Column) -> Column:
+            n = F.transform(x["words"], lambda w: ((F.length("hits") - F.length(F.replace(F.col("hits"), _apart(w), F.lit("")))) / (F.length(w) + 2)).cast("int")) if more else F.array().cast("array<int>")
+            rest = F.col("n_words").cast("int") - F.aggregate(n, F.lit(0), lambda a, y: a + y)
+            word = F.when(x["judges"], _distance(F.concat(n, F.array(rest)), F.col("n_words"), x["shares"]))
+            return F.when(x["judges"] | of_it(x["language"]), near(_distance(chars, F.col("n_chars"), x["chars"]), word, x["language"]))
+
+        more_choices = F.transform("refs", other)
+        choices = F.concat(choices, more_choices) if choices is not None else more_choices
+    if choices is not None:
         worse = lambda x: F.greatest(x["char_distance"] / CHAR_MOST, F.when(F.col("n_words") >= MIN_WORDS, x["word_distance"] / WORD_MOST))
-        best = F.array_min(F.transform(F.array(*near), lambda x: F.struct(worse(x).alias("worse"), x.alias("x"))))
+        best = F.array_min(F.transform(choices, lambda x: F.when(x.isNotNull(), F.struct(worse(x).alias("worse"), x.alias("x")))))
         counted = counted.withColumn("best", F.when(judged, best))
     else:
         counted = counted.withColumn("best", F.expr("cast(null as struct<worse: double, x: struct<char_distance: double, word_distance: double, language: string>>)"))

@@ -107,6 +107,19 @@ def test_quality_counts_and_distances(spark, small, docs):
     assert labelled[(labelled.quality == 1) & ~labelled.base_failed].kept.mean() > 0.98
 
 
+def test_a_language_without_listed_words_leaves_the_others_as_they_are(spark):
+    d = read(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    a, b = "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm"
+    turned = d.where("lang = 'en'").select((F.col("doc_id") + 10**9).alias("doc_id"), F.translate("text", a + a.upper(), b + b.upper()).alias("text"), F.lit("xx").alias("lang"))
+    signs = spark.createDataFrame([(2 * 10**9 + i, "".join(chr(0x4E00 + (i * 7 + k * 13) % 900) + " " * (k % 9 == 0) for k in range(900)), "yy") for i in range(20)], d.schema)
+    kept = lambda x: {r["doc_id"] for r in quality_rules.quality_rules(x).where("kept").select("doc_id").collect()}
+    alone, all_three = kept(d), kept(d.union(turned).union(signs))
+    assert {i for i in all_three if i < 10**9} == alone
+    en = {r["doc_id"] for r in d.where("lang = 'en'").select("doc_id").collect()}
+    assert len((en & alone) ^ {i - 10**9 for i in all_three if 10**9 <= i < 2 * 10**9}) <= 0.03 * len(en)
+    assert len([i for i in all_three if i >= 2 * 10**9]) == 20
+
+
 # op2
 
 
