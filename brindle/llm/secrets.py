@@ -11,8 +11,9 @@ and brute-force spans so that the cost is least, by dynamic programming over its
 
 (costs are bits, the factorial is for the order of the segments).  Values of at least
 ``BITS`` bits are reported; those that are cheap to guess, such as ``password`` or
-``qwerty2020``, are placeholders or prose.  A value has at most ``LONGEST`` characters for the
-program, longer ones are secrets by their length alone.
+``qwerty2020``, are placeholders or prose.  Values of any length go through the program; beyond
+``LONGEST`` characters it leaves out what already costs ``BITS`` (costs only grow), so it stops
+where nothing cheaper can go on and its time is about linear.
 
 Texts are scanned whole: a byte-level filter that never loses a match picks the texts to scan
 with patterns.  A null or empty text has no spans and the digest of an empty list; repeated
@@ -130,8 +131,95 @@ def segment(value: str) -> tuple[float, list[tuple[str, str]]]:
     return best[n][0] + math.log2(math.factorial(max(1, count))), parts[::-1]
 
 
+def _nearest(starts: list[tuple[int, float]], j: int) -> tuple[float, int]:
+    """The least of cost + log2(j - i) and its i; drops starts that an earlier one beats, as that one then does at any later j."""
+    least, at, kept = math.inf, 0, []
+    for i, cost in starts:
+        total = cost + math.log2(j - i)
+        if total < least:
+            while kept and kept[-1][1] >= cost:
+                kept.pop()
+            kept.append((i, cost))
+            least, at = total, i
+    starts[:] = kept
+    return least, at
+
+
+def bounded_bits(value: str) -> float:
+    """The bits of segment() where they are under BITS, else infinite."""
+    n = len(value)
+    low = value.lower()
+    plain = low.translate(LEET)
+    hexed = n >= 16 and set(low) <= set("0123456789abcdef")
+    cost, count, brute = [0.0], [0], [False]
+    dates: dict[int, list[int]] = {}
+    sizes = range(2, int(BITS / math.log2(10)) + 1)  # larger blocks cost BITS
+    period = dict.fromkeys(sizes, 0)  # how many characters on end equal the one a size before
+    walk = same = last = 0  # last: the end of the last prefix under BITS
+    walks: list[tuple[int, float]] = []
+    repeats: list[tuple[int, float]] = []
+    if m := DATE.match(value):
+        dates[m.end()] = [0]
+    for j in range(1, n + 1):
+        c = value[j - 1]
+        if j > 1:
+            walk = walk + 1 if low[j - 2 : j] in STEPS else 0
+            same = same + 1 if c == value[j - 2] else 0
+        for size in sizes:
+            period[size] = period[size] + 1 if j > size and c == value[j - 1 - size] else 0
+        found = (math.inf, 0, False)
+
+        def relax(i: int, bits: float) -> None:
+            nonlocal found
+            if cost[i] + bits < found[0]:
+                found = (cost[i] + bits, count[i] + 1, False)
+
+        single = 4.0 if hexed else _alphabet(c)
+        if cost[j - 1] + single < found[0]:
+            found = (cost[j - 1] + single, count[j - 1] + (not brute[j - 1]), True)
+        for i in range(max(0, j - MOST_WORD), j - 2):
+            if cost[i] < BITS:
+                part, leet = low[i:j], plain[i:j]
+                rank, bits = RANK.get(part), 0.0
+                if rank is None and (rank := RANK.get(leet)) is not None:
+                    bits = 1.0 + sum(a != b for a, b in zip(part, leet, strict=True))
+                if rank is not None:
+                    upper = sum(x.isupper() for x in value[i:j])
+                    case = 0.0 if not upper else 1.0 if upper == j - i or value[i].isupper() and upper == 1 else math.log2(math.comb(j - i, upper)) + 1
+                    relax(i, math.log2(rank) + 1 + bits + case)
+        for i in dates.pop(j, ()):
+            relax(i, math.log2(365.0 * 100 if j - i > 4 else 100.0) + (2.0 if not value[i:j].isdigit() else 0.0))
+        for run, starts, bits in ((walk, walks, math.log2(47.0) + 1), (same, repeats, _alphabet(c))):
+            if run < 2:
+                starts.clear()
+                continue
+            if cost[j - 3] < BITS:
+                starts.append((j - 3, cost[j - 3]))
+            if starts:
+                least, i = _nearest(starts, j)
+                relax(i, bits + least - cost[i])
+        for size in sizes:
+            if period[size] >= size:
+                times = period[size] // size + 1
+                i = j - times * size
+                if cost[i] < BITS:
+                    relax(i, sum(map(_alphabet, value[j - size : j])) + math.log2(times))
+        if found[0] >= BITS:
+            found = (math.inf, 0, False)
+        else:
+            last = j
+            if m := DATE.match(value, j):
+                dates.setdefault(m.end(), []).append(j)
+        for x, own in zip((cost, count, brute), found, strict=True):
+            x.append(own)
+        if last < j - max(MOST_WORD, 10) and not walks and not repeats and all(j - period[size] - size > last for size in sizes):
+            return math.inf
+    return cost[n] + math.log2(math.factorial(max(1, count[n])))
+
+
 def guess_bits(value: str) -> float:
-    return segment(value)[0] if len(value) <= LONGEST else math.inf
+    """The bits of a value, exact under BITS and, up to LONGEST characters, beyond."""
+    return segment(value)[0] if len(value) <= LONGEST else bounded_bits(value)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
