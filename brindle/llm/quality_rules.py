@@ -10,8 +10,8 @@ References are sums over all documents of a language (column ``lang``) that pass
 rules, so they follow the corpus.  Those of the languages of ``COMMON_WORDS`` share the bins of
 all its words.  Each other language has bins of its own: its ``OWN_WORDS`` most frequent words
 of letters only in these documents, by a count that is aggregated before it is dealt out.
-Listed languages are literals of the plan; at most ``LANGUAGES`` others, the most frequent ones,
-are one broadcast row.  Where a text without any of a reference's words is within
+Listed languages are literals of the plan; all others, however many, are one broadcast row of
+about a KB for each.  Where a text without any of a reference's words is within
 ``WORD_MOST`` of it (words without spaces, or hardly any common ones), the reference cannot judge
 words: it judges by characters alone, and only documents of its own lang or of none.
 The distance is the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1).
@@ -48,7 +48,6 @@ COMMON_WORDS = {
 #: Patterns of the character classes; what none of them takes is the last bin.
 CLASSES = {"upper": "\\p{Lu}", "lower": "\\p{Ll}", "digit": "\\p{Nd}", "space": "\\s", "mark": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>=+/\\\\\\[\\]{}@^~_`]"}
 
-LANGUAGES = 256
 OWN_WORDS = 24
 MIN_CHARS, MIN_WORDS = 200, 100
 CHAR_MOST, WORD_MOST = 0.25, 0.31
@@ -149,7 +148,7 @@ def references(counted: DataFrame, own: dict[str, dict[str, int]] | None = None)
     split, width = len(CLASSES) + 1, len(CLASSES) + len(_known()) + 2
     known = counted.where("lang is not null and not base_failed")
     sums = known.groupBy("lang").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("counts", F.lit(i)).cast("long")) for i in range(width)]).alias("sums"))
-    rows = sums.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # at most LANGUAGES rows
+    rows = sums.orderBy(F.desc("n"), "lang").collect()  # a row for each language
     listed, others = [], []
     for r in rows:
         x = np.array(r["sums"], float)

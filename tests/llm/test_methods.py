@@ -120,6 +120,16 @@ def test_a_language_without_listed_words_leaves_the_others_as_they_are(spark):
     assert len([i for i in all_three if i >= 2 * 10**9]) == 20
 
 
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(270):
+        stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
+        rows += [(2 * k + i, ". ".join(rng.choice(stems) for _ in range(120)).replace(".", "") + ".", f"l{k:03}") for i in (0, 1)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas().set_index("doc_id")
+    assert all(got.language[i] == x for i, _, x in rows) and got.kept.all()
+
+
 # op2
 
 
