@@ -514,7 +514,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out, model, e = _trained(spark, sf_dir)
     names, own = [n for _, n in trees.columns_of(e)], list(e.features)
-    rows = target.sampled(out, 200, F.col("id")).select("id", "margin", vector_to_array(trees.VECTOR).alias("x")).collect()
+    rows = target.sampled(out, 2000, F.col("id")).select("id", "margin", vector_to_array(trees.VECTOR).alias("x")).collect()
     got, base = trees.shapley(trees.trees_of(model), np.array([r["x"] for r in rows]), [own.index(n) for n in names])
     data = [(r["id"], *map(float, v), float(abs(v.sum() + base - r["margin"]))) for r, v in zip(rows, got, strict=True)]
     return rounded(spark.createDataFrame(data, "id long, " + ", ".join(f"{n} double" for n in own) + ", rest double"))

@@ -111,6 +111,14 @@ def test_encoder(spark):
     assert Encoder(**e.to_dict()).levels == e.levels
 
 
+def test_shapley_query_explains_the_default_number_of_rows(spark):
+    from brindle.plans import queries
+
+    path = "/root/testdata/sf0.01"
+    rows = queries._trained(spark, path)[0].count()
+    assert rows > 200 and queries.queries()["m17_shapley"](spark, path).count() == min(rows, 2000)
+
+
 def test_shapley_by_all_subsets(spark):
     df = times(spark).withColumns({"z": F.col("x") * 2 + F.col("y"), "y": (F.col("x") + F.col("session") % 3 > 1).cast("int")})
     e = Encoder.fit(df, {"x": "numerical", "c": "categorical", "z": "numerical"})
