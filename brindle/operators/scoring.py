@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,32 +132,32 @@ def intervals(units: np.ndarray, times: int, confidence: float, seed: int) -> li
     return _summary(from_totals(np.array(list(resampled(units, times, seed)))), times, confidence, len(units))
 
 
-#: Beyond so many units, their weights are drawn where they are, independently and with mean 1.
+#: Beyond so many units, their weights are drawn where they are.
 MOST_UNITS = 200_000
-#: Upper ends of the probabilities of 0, 1, 2... events, if 1 is expected.
-POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-
-
-def poisson_totals(units: DataFrame, times: int, seed: int) -> np.ndarray:
-    """Sums of resampled units, [times, sums]: a unit's weights come from a hash of its name, so tasks need no order."""
-
-    def drawn(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        totals = np.zeros((times, len(SUMS)))
-        for batch in batches:
-            x = np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
-            keys = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            for k in range(times):
-                h = (keys + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed)
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-                totals[k] += np.searchsorted(POISSON, u, "right") @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(times)), *[pa.array(c) for c in totals.T]], names=["draw", *SUMS])
-
-    keyed = importable(units.sparkSession) and units.select(F.xxhash64("unit").alias("key"), *SUMS)
-    rows = keyed.mapInArrow(drawn, "draw long, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in SUMS]).orderBy("draw").toArrow()
+
+
+def dealt_totals(units: DataFrame, many: int, times: int, seed: int) -> np.ndarray:
+    """Sums of resampled units, [times, sums], as resampled() draws them: multinomial totals of buckets of units first, then
+    within each bucket; buckets and their order come from a hash of the unit's name, so tasks need no order."""
+    import pyarrow as pa
+
+    spark = importable(units.sparkSession) and units.sparkSession
+    key = F.xxhash64("unit")
+    keyed = units.select(F.pmod(key, F.lit(many // max(1, MOST_UNITS // 10) + 1)).alias("bucket"), key.alias("key"), *SUMS)
+    sizes = {r["bucket"]: r["count"] for r in keyed.groupBy("bucket").count().orderBy("bucket").collect()}
+    share = np.array([*sizes.values()], float)
+    drawn = np.random.default_rng(seed).multinomial(int(share.sum()), share / share.sum(), times)
+    held = spark.sparkContext.broadcast(dict(zip(sizes, drawn.T, strict=True)))
+
+    def weighted(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("key", *SUMS)])
+        bucket, n = table.column("bucket")[0].as_py(), table.num_rows
+        x = np.stack([table.column(c).to_numpy() for c in SUMS], 1).astype(float)
+        rng = np.random.default_rng([seed, bucket])
+        totals = np.array([rng.multinomial(k, np.full(n, 1 / n)) @ x for k in held.value[bucket]])
+        return pa.table([pa.array(np.arange(times)), *[pa.array(c) for c in totals.T]], names=["draw", *SUMS])
+
+    rows = keyed.groupBy("bucket").applyInArrow(weighted, "draw long, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in SUMS]).orderBy("draw").toArrow()
     return np.stack([rows.column(c).to_numpy() for c in SUMS], 1)
 
 
@@ -166,15 +165,16 @@ INTERVALS = "metric string, low double, high double, std double, valid_resamples
 
 
 def bootstrap(df: DataFrame, y: Column, p: Column, baseline: float, unit: Column, order: Column, times: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """A row per metric.  Units are summed by the cluster; the driver draws weights of units, never rows.
+    """A row per metric.  Units are summed by the cluster; weights are drawn of units, never rows.
 
-    More than ``MOST_UNITS`` units (a row bootstrap) stay where they are and get Poisson weights there.
+    More than ``MOST_UNITS`` units (a row bootstrap) are weighted on the cluster, in the same scheme.
     """
     spark = df.sparkSession
     sums = unit_sums(df, y, p, baseline, unit, order)
     k = sums.limit(MOST_UNITS + 1).count()
     if k > MOST_UNITS:
-        rows = _summary(from_totals(poisson_totals(sums, times, seed)), times, confidence, sums.count())
+        many = sums.count()
+        rows = _summary(from_totals(dealt_totals(sums, many, times, seed)), times, confidence, many)
     else:
         got = sums.orderBy("first", "unit").select(*SUMS).toArrow()
         units = np.stack([got.column(c).to_numpy() for c in SUMS], 1) if got.num_rows else np.zeros((0, len(SUMS)))

@@ -177,6 +177,16 @@ def test_bootstrap_takes_units_whole(spark):
     assert [r["g"] for r in groups] == ["g", None] and groups[0]["rows"] == 26 and groups[0]["low_support"]
 
 
+def test_many_units_are_drawn_as_many_times_as_there_are(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "MOST_UNITS", 100)
+    df = spark.range(3000).selectExpr("id", "cast(id % 3 = 0 as int) y", "0.2 + 0.3 * (id % 2) p")
+    totals = []
+    known = scoring.from_totals
+    monkeypatch.setattr(scoring, "from_totals", lambda t: totals.append(t) or known(t))
+    scoring.bootstrap(df, Y(), F.col("p"), 0.3, F.col("id"), F.col("id"), 50).collect()
+    assert (totals[0][:, 0] == 3000).all() and 15 < totals[0][:, 1].std() < 40  # sqrt(3000 * 1/3 * 2/3) is 26
+
+
 def test_many_units_get_weights_where_they_are(spark, monkeypatch):
     df = spark.range(3000).selectExpr("id", "cast(id % 3 = 0 as int) y", "0.2 + 0.3 * (id % 2) p")
     args = (df, Y(), F.col("p"), 0.3, F.col("id"), F.col("id"), 200)
