@@ -4,10 +4,17 @@ No Python string is made: a column of texts is one byte array with offsets, word
 runs of bytes other than ``[\\x20\\x09-\\x0D]``, and hashes are 64 bits wide.  Work goes in
 chunks of about ``CHUNK`` bytes, so memory does not follow the batch size; one text longer
 than that makes a chunk of its own.
+
+A word's hash is multilinear: its bytes as 32-bit numbers, and their count, times keys that are
+drawn once, summed modulo 2**64, of which the upper half is kept; two such sums with keys of
+their own make 64 bits.  Whatever two different words are, the share of keys that let them meet
+is 2**-64; no words are alike by their pattern, as they are under a polynomial modulo a power of
+two.  Words of more than ``LONG_WORD`` bytes are hashed by keyed BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +22,14 @@ import pyarrow as pa
 
 CHUNK = 1 << 18
 
+#: Longer words are hashed one by one.
+LONG_WORD = 128
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
+#: Keys of each 8 bytes of a word: of their lower and upper half, for either sum.
+LOW_KEY, HIGH_KEY = _rng.integers(0, 2**64, (2, 2, LONG_WORD // 8), dtype=np.uint64)
+SIZE_KEY, FIRST_KEY = _rng.integers(0, 2**64, (2, 2), dtype=np.uint64)
+LONG_KEY = _rng.bytes(16)
 PLACE = _rng.integers(1, 2**63, 5, dtype=np.uint64) | np.uint64(1)
 SHORT = _rng.integers(1, 2**63, 5, dtype=np.uint64)
 
@@ -27,8 +38,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
@@ -40,22 +49,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("up", BASE), ("down", BASE_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def forget() -> None:
-    """Drops the tables of powers, which the next task makes anew."""
-    _powers.clear()
-
-
 def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of runs of rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,11 +88,31 @@ def spans(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_CODE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    size = ends - starts
+    one, two = (np.uint64(first) + size.astype(np.uint64) * np.uint64(key) for first, key in zip(FIRST_KEY, SIZE_KEY, strict=True))
+    if not len(starts):
+        return one
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    # 8 bytes from any place on; the pad is never part of a word
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(raw),), "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size <= LONG_WORD)
+    for t in range(LONG_WORD // 8):
+        left = size[live] - 8 * t
+        if t:
+            live, left = live[left > 0], left[left > 0]
+        if not len(live):
+            break
+        block = blocks[starts[live] + 8 * t]
+        part = left < 8
+        block[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        a, b = block & low, block >> half
+        one[live] += a * LOW_KEY[0, t] + b * HIGH_KEY[0, t]
+        two[live] += a * LOW_KEY[1, t] + b * HIGH_KEY[1, t]
+    out = mix((one >> half << half) | (two >> half))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].data, digest_size=8, key=LONG_KEY).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

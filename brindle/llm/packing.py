@@ -15,22 +15,27 @@ in the cuts.  Blocks of about ``BLOCK`` ids are solved at a time: their windows
 the cheapest cut in the last ``length`` ids and the rest goes in front of the next block, so
 memory is bounded by a block and the longest document.
 
-Units, words cut between letters and signs, are tokenised once each: tokens of a tokenizer whose
-pre-tokenizer drops white space and separates letters from signs do not go across (checked
-when it is loaded), so the ids of a text are those of its units.
-
-Nulls: a null or empty text is its end id alone.  Null and repeated doc_ids are packed as rows
+Units, words cut between letters and signs, are tokenised once each.  That gives the ids of the
+text only if the tokenizer says so: its normalizer must do no more than NFC, lower case and white
+space, and its pre-tokenizer must keep runs of letters apart from runs of signs and drop white
+space (``SEPARATES``).  Other tokenizers get whole texts.  A unit is looked up by a hash, and its
+bytes are compared before its ids are used.
+
+A very long text is one run of ids, about 4 bytes for a token and some 20 for a word of it, besides
+the text itself.  Nulls: a null or empty text is its end id alone.  Null and repeated doc_ids are packed as rows
 of their own.  Extra columns are ignored, an empty table gives no rows.  Sequence numbers hold
 the task's partition in their upper bits; a task that is run again gives the same rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +49,17 @@ from brindle.llm.session import bounded_batches, returning
 LENGTH, END_ID = 4096, 2
 SENTENCE, HARD, EACH = 6, 24, 12
 BLOCK = 1 << 18
-#: Units that are kept with their ids; beyond, all are forgotten and tokenised again.
-UNITS = 1 << 17
+#: Units, and bytes of them, that are kept with their ids; beyond, all are forgotten and tokenised again.
+UNITS, UNIT_BYTES = 1 << 17, 1 << 23
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = pa.schema([(n.split()[0], pa.int64()) for n in SCHEMA.split(", ")])
 
-_loaded: dict[str, UnitIds] = {}
+_loaded: dict[str, UnitIds | TextIds] = {}
 
+#: Normalizers and pre-tokenizers under which the ids of a text are those of its units.
+HARMLESS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
+SEPARATES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Bytes of ASCII signs, but for the apostrophe (contractions) and digits.
 SIGN = np.zeros(256, bool)
@@ -79,26 +87,74 @@ def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _loads(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def separable(path: str) -> bool:
+    """Whether a tokenizer's file says that its ids of a text are those of the text's units."""
+    told = json.loads(Path(path).read_text(encoding="utf-8"))
+    normal, cutter, model = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}, told.get("model") or {}
+    steps, cutters = normal.get("normalizers", []), cutter.get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": SEPARATES}, "behavior": "Removed", "invert": True}
+    return (
+        normal.get("type") == "Sequence"
+        and {"type": "Lowercase"} in steps
+        and all(x in HARMLESS for x in steps)
+        and cutter.get("type") == "Sequence"
+        and len(cutters) == 2
+        and cutters[0] == split
+        and cutters[1].get("type") == "ByteLevel"
+        and not cutters[1].get("use_regex", True)
+        and not cutters[1].get("add_prefix_space", True)
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and all(x.get("special") for x in told.get("added_tokens", []))  # whose strings are ordinary text here
+    )
+
+
+class TextIds:
+    """Token ids of whole texts, for tokenizers of any kind."""
+
+    def __init__(self, path: str, end_id: int = END_ID):
+        self.tokenizer, self.end_id = _loads(path), end_id
+
+    def forget(self) -> None:
+        """Nothing is kept."""
+
+    def runs(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j, raw, off in chunks(column):
+            ids, ends, stops, place = [], [], [], 0
+            for r in range(j - i):
+                text = raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace")
+                got = self.tokenizer.encode(text, add_special_tokens=False)
+                stops += [place + k for k, (_, e) in enumerate(got.offsets, 1) if e and text[e - 1 : e] in ".!?" and (text[e : e + 1] or " ").isspace()]
+                ids.append(np.array([*got.ids, self.end_id], np.uint32))
+                place += len(got.ids) + 1
+                ends.append(place)
+            yield i, np.concatenate(ids), np.array(ends, np.int64), np.array(stops, np.int64)
+
+
 class UnitIds:
-    """Token ids of units, remembered by a 64-bit hash of their bytes in an open hash table."""
+    """Token ids of units, remembered with their bytes in an open hash table."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = _loads(path)
         # the same model without normalisation, for plain units between bars
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bar = self._encode(["|"])[0]
+        if len(self.bar) != 1:
+            raise ValueError(f"{path}: a bar is {len(self.bar)} tokens")
         self.end_id = end_id
         self.forget()
-        for text in ("one, two", "L'eau\tde\n\n9x", "a  .b", "don't 'tis \u00e9t\u00e9,x|y", "<|endoftext|>A1-b2 (c)"):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            starts, ends, _ = units(raw, np.array([0, len(raw)]))
-            if self.flat(self.entries(raw, starts, ends))[0].tolist() != self._encode([text])[0] or len(self.bar) != 1:
-                raise ValueError(f"{path}: tokens go across white space or between letters and signs")
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,32 +165,40 @@ class UnitIds:
         self.ids = np.full(1 << 16, self.end_id, np.uint32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.begin[1] = 1
-        self.n = 1  # entry 0 is the end of a document
-
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        first, last = self.begin[self.n], self.begin[self.n] + len(ids)
-        if last > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), last - len(self.ids)), np.uint32)])
-        if self.n + len(sizes) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros(max(len(self.begin), len(sizes) + 1), np.int64)])
-        self.ids[first:last] = ids
-        self.begin[self.n + 1 : self.n + 1 + len(sizes)] = first + np.cumsum(sizes)
-        self.n += len(sizes)
-
-    def _learn(self, texts: list[str]) -> None:
+        # an entry's bytes; entry 0 is the end of a document, whose bytes no unit has
+        self.bytes = np.zeros(1 << 18, np.uint8)
+        self.byte_at = np.zeros(1 << 16, np.int64)
+        self.n = 1
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> None:
+        k, n = len(sizes), self.n
+        for name, base, more in (("ids", self.begin[n], len(ids)), ("bytes", self.byte_at[n], len(data)), ("begin", n + 1, k), ("byte_at", n + 1, k)):
+            held = getattr(self, name)
+            if base + more > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(len(held), base + more - len(held)), held.dtype)]))
+        self.ids[self.begin[n] : self.begin[n] + len(ids)] = ids
+        self.bytes[self.byte_at[n] : self.byte_at[n] + len(data)] = data
+        self.begin[n + 1 : n + 1 + k] = self.begin[n] + np.cumsum(sizes)
+        self.byte_at[n + 1 : n + 1 + k] = self.byte_at[n] + np.cumsum(lengths)
+        self.n += k
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Ids of new units, in their order, as entries."""
+        data = raw.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         plain = [k for k, t in enumerate(texts) if PLAIN.fullmatch(t)]
         lists: list = [None] * len(texts)
         for i in range(0, len(plain), 2048):
             part = plain[i : i + 2048]
             ids = np.array(self.plain.encode_batch_fast([" | ".join([texts[k] for k in part]) + " |"], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == self.bar[0])
-            for k, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+            stops = np.flatnonzero(ids == self.bar[0])
+            for k, a, b in zip(part, [0, *(stops[:-1] + 1).tolist()], stops.tolist(), strict=True):
                 lists[k] = ids[a:b]
         other = [k for k, x in enumerate(lists) if x is None]
         for k, ids in zip(other, self._encode([texts[k] for k in other]), strict=True):
             lists[k] = np.array(ids, np.uint32)
-        self._add(np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists)))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._add(np.concatenate(lists), sizes, raw[_flat(starts, ends - starts)], ends - starts)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, or -1."""
@@ -163,7 +227,7 @@ class UnitIds:
         """The entry of each unit."""
         raw = LOWER[raw]
         keys = word_hashes(raw, starts, ends) | np.uint64(1)
-        if self.n > 2 * UNITS:
+        if self.n > 2 * UNITS or self.byte_at[self.n] > UNIT_BYTES:
             self.forget()
         found = self._find(keys)
         new = np.flatnonzero(found < 0)
@@ -175,38 +239,59 @@ class UnitIds:
                 full = old[0] != 0
                 self._put(old[0][full], old[1][full])
             values, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
-            data, at = raw.tobytes(), new[first]
             self._put(values, np.arange(self.n, self.n + len(values), dtype=np.int32))
             found[new] = self.n + inverse
-            self._learn([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._learn(raw, starts[new[first]], ends[new[first]])
+        # units that only share a hash with what was found get entries of their own, which no key leads to
+        other = self._differ(found, raw, starts, ends)
+        if len(other):
+            found[other] = self.n + np.arange(len(other))
+            self._learn(raw, starts[other], ends[other])
         return found
 
+    def _differ(self, found: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The units whose bytes are not those of their entries."""
+        size = ends - starts
+        apart = size != self.byte_at[found + 1] - self.byte_at[found]
+        same = np.flatnonzero(~apart)
+        if len(same):
+            mine, held = _flat(starts[same], size[same]), _flat(self.byte_at[found[same]], size[same])
+            apart[same] = np.logical_or.reduceat(raw[mine] != self.bytes[held], np.cumsum(size[same]) - size[same])
+        return np.flatnonzero(apart)
+
     def flat(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of entries, and where each ends."""
-        a, n = self.begin[entries], self.begin[entries + 1] - self.begin[entries]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(a - (ends - n), n) + np.arange(total)], ends
+        n = self.begin[entries + 1] - self.begin[entries]
+        return self.ids[_flat(self.begin[entries], n)], np.cumsum(n)
+
+    def runs(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j, raw, off in chunks(column):
+            starts, ends, at = units(raw, off)
+            entries = self.entries(raw, starts, ends) if len(starts) else np.zeros(0, np.int64)
+            last = raw[ends - 1] if len(ends) else raw[:0]
+            after = raw[np.minimum(ends, len(raw) - 1)] if len(ends) else raw[:0]
+            stop = ((last == 46) | (last == 33) | (last == 63) | (after == 10)) & SPACE[after]
+            where = at[1:]
+            ids, till = self.flat(np.insert(entries, where, 0))
+            rows = till[where + np.arange(j - i)]
+            yield i, ids, rows, till[np.flatnonzero(np.insert(stop, where, False))]
+
+
+def _flat(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def unit_ids(path: str) -> UnitIds:
+def ids_by(path: str) -> UnitIds | TextIds:
     if path not in _loaded:
-        _loaded[path] = UnitIds(path)
+        _loaded[path] = UnitIds(path) if separable(path) else TextIds(path)
     return _loaded[path]
 
 
-def token_runs(column: pa.Array, ids_of: UnitIds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def token_runs(column: pa.Array, ids_of: UnitIds | TextIds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, ids of a run of rows with end ids, where each row ends, where sentences end)."""
-    for i, j, raw, off in chunks(column):
-        starts, ends, at = units(raw, off)
-        entries = ids_of.entries(raw, starts, ends) if len(starts) else np.zeros(0, np.int64)
-        last = raw[ends - 1] if len(ends) else raw[:0]
-        after = raw[np.minimum(ends, len(raw) - 1)] if len(ends) else raw[:0]
-        stop = ((last == 46) | (last == 33) | (last == 63) | (after == 10)) & SPACE[after]
-        where = at[1:]
-        ids, till = ids_of.flat(np.insert(entries, where, 0))
-        rows = till[where + np.arange(j - i)]
-        yield i, ids, rows, till[np.flatnonzero(np.insert(stop, where, False))]
+    return ids_of.runs(column)
 
 
 def best_cuts(cuts: list[int], penalty: list[int], length: int, final: bool) -> list[int]:
@@ -308,7 +393,7 @@ class Packer:
 
 def _pack(path: str, length: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = unit_ids(path)
+        ids_of = ids_by(path)
         packer = Packer(length, TaskContext.get().partitionId() << 40)
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=FIELDS)
         for batch in batches:

@@ -15,8 +15,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.functions.workers import importable
-from brindle.llm import bytes_view
-
 
 BATCH_BYTES = "2m"
 
@@ -53,7 +51,6 @@ def returning(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from f(batches)
         finally:
-            bytes_view.forget()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from brindle.llm import chat_format, fingerprints, language_id, line_crf, mixing, ngram_join, packing, pseudonyms, quality_rules, secrets
 from brindle.llm import queries as llm
-from brindle.llm.bytes_view import chunks, shingle_sets, spans
+from brindle.llm.bytes_view import chunks, shingle_sets, spans, word_hashes
 from brindle.llm.components import components
 from brindle.llm.queries import tokenizer
 
@@ -65,6 +65,21 @@ def test_words_and_shingles_of_random_texts():
     assert len(set(ids.values())) == len(ids)
 
 
+def thue_morse(letters: int, turned: bool = False) -> str:
+    return "".join("ab"[bin(i).count("1") & 1 ^ turned] for i in range(letters))
+
+
+def test_words_that_meet_under_a_polynomial_have_hashes_of_their_own():
+    words = [thue_morse(1 << k, t) for k in range(13) for t in (False, True)]
+    words += ["a" * n for n in range(1, 300)] + ["\0" * n for n in range(1, 300)] + ["x" * 127 + "\0" * n for n in range(8)]
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    hashes = word_hashes(raw, ends - np.array([len(w) for w in words]), ends)
+    assert len(set(hashes.tolist())) == len(set(words))
+    again = word_hashes(raw[1:], ends[5:] - np.array([len(w) for w in words])[5:] - 1, ends[5:] - 1)  # wherever they stand
+    assert again.tolist() == hashes[5:].tolist()
+
+
 # op1
 
 
@@ -537,6 +552,33 @@ def test_packed_ids(spark, docs, small):
     assert sizes.max() <= packing.LENGTH and padding.sum() < 0.02 * sizes.sum()
 
 
+def test_units_that_share_a_hash_get_their_own_ids(monkeypatch):
+    path = tokenizer("word_bpe_49k.json")
+    whole = packing.TextIds(path)
+    texts = [f"{thue_morse(n, t)} {thue_morse(n)} plain words, other words" for n in (1024, 4096) for t in (False, True)] + ["one two three four, five-six"]
+    for keys in (word_hashes, lambda raw, starts, ends: np.full(len(starts), 7, np.uint64)):
+        monkeypatch.setattr(packing, "word_hashes", keys)
+        ids_of = packing.UnitIds(path)
+        for _ in range(2):
+            for column in (pa.array(texts), pa.array(texts[::-1])):
+                got, want = (next(x.runs(column)) for x in (ids_of, whole))
+                assert all(a.tolist() == b.tolist() for a, b in zip(got[1:], want[1:], strict=True))
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    own, other = tokenizer("word_bpe_49k.json"), tokenizer("byte_bpe_50k.json")
+    assert packing.separable(own) and not packing.separable(other)
+    texts = ["Two words. And more!", "", "a  b\nc", "x" * 3000]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), other).toPandas()
+    tok = Tokenizer.from_file(other)
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    for i, r in rows.sort_values("start").groupby("doc_id"):
+        crc = [zlib.crc32(np.array(want[i][s : s + n], "<u4").tobytes()) for s, n in zip(r.start, r.length, strict=True)]
+        assert r.length.sum() == len(want[i]) and list(r.ids_crc32) == crc
+
+
 # the pipeline
 
 
