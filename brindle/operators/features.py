@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.columns import adjusted_kurtosis, adjusted_skewness, is_missing, ratio, share, usable
-from brindle.operators.quantiles import exact_quantiles
+from brindle.operators.quantiles import CELLS, ends_of, exact_quantiles, first_cells
 
 NUMERICAL, CATEGORICAL = "numerical", "categorical"
 PROBABILITIES = {"min": 0.0, "p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "max": 1.0}
@@ -225,21 +225,38 @@ class Cuts:
 def cut_numbers(df: DataFrame, names: list[str], bins: int = 10) -> dict[str, Cuts]:
     """By feature: up to ``bins`` distinct values as they are, else ``bins`` quantile intervals, equal edges merged."""
     values = long_numbers(df, names).where("v is not null").select("feature", "v")
-    few = {}
-    # at most bins + 1 values per feature come back; parts are ranked first, as there may be any number of values
+    ends = ends_of(values)
+    cells = first_cells(values, ends)
+    held = {f: x for (f, _), x in cells.items()} | {f: [(0, n, low, high)] for f, (n, low, high) in ends.items() if low == high}
+    out = {n: Cuts([], []) for n in names if n not in held}
+    # a feature with few full cells may still have many values in one of them
+    unsure = {n for n, x in held.items() if len(x) <= bins and any(low < high for *_, low, high in x)}
+    few = {n: [low for _, _, low, _ in x] for n, x in held.items() if len(x) <= bins and n not in unsure} | _few_values(values, unsure, bins)
+    out |= {n: Cuts(sorted(x), []) for n, x in few.items()}
+    if many := [n for n in held if n not in few]:
+        own = {n: ends[n] for n in many}
+        q = exact_quantiles(values.where(F.col("feature").isin(many)), [i / bins for i in range(bins + 1)], own, _renumbered(cells, ends, own))
+        out |= {n: Cuts(None, sorted(set(q[n]))) for n in many}
+    return out
+
+
+def _renumbered(cells: dict, ends: dict, own: dict) -> dict:
+    """The cells of some features, numbered as a first pass over those only."""
+    old = {f: k for k, f in enumerate(sorted(ends))}
+    return {(f, k): [(c - (old[f] - k) * CELLS, *x) for c, *x in cells[f, old[f]]] for k, f in enumerate(sorted(own)) if (f, old[f]) in cells}
+
+
+def _few_values(values: DataFrame, names: set[str], most: int) -> dict[str, list[float]]:
+    """The distinct values of those features that have at most ``most``; parts are ranked first, as there may be any number."""
+    if not names:
+        return {}
     part = F.row_number().over(Window.partitionBy("feature", "salt").orderBy("v"))
     rank = F.row_number().over(Window.partitionBy("feature").orderBy("v"))
-    some = values.distinct().withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).withColumn("k", part).where(F.col("k") <= bins + 1)
-    for r in some.withColumn("k", rank).where(F.col("k") <= bins + 1).collect():
-        few.setdefault(r["feature"], []).append(r["v"])
-    many = [n for n in names if len(few.get(n, [])) > bins]
-    out = {n: Cuts(sorted(few.get(n, [])), []) for n in names if n not in many}
-    if many:
-        q = exact_quantiles(values.where(F.col("feature").isin(many)), [i / bins for i in range(bins + 1)])
-        for n in many:
-            edges = sorted(set(q[n]))
-            out[n] = Cuts(None, edges)
-    return out
+    some = values.where(F.col("feature").isin(sorted(names))).distinct().withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).withColumn("k", part).where(F.col("k") <= most + 1)
+    out: dict[str, list[float]] = {}
+    for r in some.withColumn("k", rank).where(F.col("k") <= most + 1).collect():
+        out.setdefault(r["feature"], []).append(r["v"])
+    return {n: x for n, x in out.items() if len(x) <= most}
 
 
 def number_code(c: Column, cuts: Cuts) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.columns import correlation, ratio, share, usable
 from brindle.operators.features import CATEGORICAL, NUMERICAL, quoted
-from brindle.operators.target import average_rank, long_codes, positive_rates, rates_of_cells, table_association
+from brindle.operators.target import average_ranks, long_codes, positive_rates, rates_of_cells, table_association
 
 MAX_CELLS = 20_000
 NO_PERIOD = "[missing]"
@@ -21,7 +21,7 @@ def first_pairs(names: list[str], most: int = 500) -> list[tuple[str, str]]:
 
 
 def _long_pairs(df: DataFrame, pairs: list[tuple[str, str]], left: dict[str, Column], right: dict[str, Column], extra: list[str] = ()) -> DataFrame:
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), left[a].alias("a"), right[b].alias("b")) for a, b in pairs])).alias("r")
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.lit(str(i)).alias("pair"), left[a].alias("a"), right[b].alias("b")) for i, (a, b) in enumerate(pairs)])).alias("r")
     return df.select(rows, *extra).select("r.*", *extra)
 
 
@@ -34,10 +34,17 @@ def numeric_pairs(df: DataFrame, pairs: list[tuple[str, str]], pearson: bool = T
     out = [F.count("*").alias("valid_rows")]
     if pearson:
         out.append(correlation(F.col("a"), F.col("b")).alias("pearson_r"))
-    if spearman:
-        rows = rows.withColumns({"ra": average_rank("a", keys), "rb": average_rank("b", keys)})
-        out.append(correlation(F.col("ra"), F.col("rb")).alias("spearman_r"))
-    return rows.groupBy(*keys).agg(*out)
+    found = rows.groupBy(*keys, "pair").agg(*out)
+    if not spearman:
+        return found.drop("pair")
+    # a pair's rows are summed by both values, and by either one for its ranks; no task needs a pair's rows
+    cells = rows.groupBy(F.col("pair").alias("feature"), "a", "b").agg(F.count("*").alias("n"))
+    ranks = lambda c: average_ranks(cells.groupBy("feature", F.col(c).alias("v")).agg(F.sum("n").alias("n"))).select("feature", F.col("v").alias(c), (F.col("rank") - (F.col("all_n") + 1) / 2.0).alias(f"r{c}"))
+    both = cells.join(ranks("a"), ["feature", "a"]).join(ranks("b"), ["feature", "b"])
+    n, x, y = F.col("n"), F.col("ra"), F.col("rb")
+    s = both.groupBy("feature").agg(F.sum(n).alias("k"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    r = F.when((F.col("k") >= 3) & (F.col("xx") > 0) & (F.col("yy") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")))))
+    return found.join(s.select(F.col("feature").alias("pair"), r.alias("spearman_r")), "pair").drop("pair")
 
 
 def category_pairs(df: DataFrame, pairs: list[tuple[str, str]], codes: dict[str, Column], max_cells: int = MAX_CELLS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from brindle.functions.columns import ratio
 from brindle.functions.workers import importable
 from brindle.operators.features import quoted
+from brindle.operators.quantiles import exact_quantiles
 from brindle.operators.target import rank_separation, running_sums
 
 METRICS = ["logloss", "ne", "ne_train_baseline", "brier", "z_score", "click_error_pct"]
@@ -128,10 +130,14 @@ def _summary(draws: dict[str, np.ndarray], times: int, confidence: float, units:
 def intervals(units: np.ndarray, times: int, confidence: float, seed: int) -> list[dict]:
     """Percentile intervals and standard deviations of the metrics over resamples of whole units, rows in their first order."""
     if len(units) < 2:
-        return [{"metric": m, "low": None, "high": None, "std": None, "valid_resamples": 0, "units": len(units), "status": "insufficient_units"} for m in METRICS]
+        return insufficient(len(units))
     return _summary(from_totals(np.array(list(resampled(units, times, seed)))), times, confidence, len(units))
 
 
+def insufficient(units: int) -> list[dict]:
+    return [{"metric": m, "low": None, "high": None, "std": None, "valid_resamples": 0, "units": units, "status": "insufficient_units"} for m in METRICS]
+
+
 #: Beyond so many units, their weights are drawn where they are.
 MOST_UNITS = 200_000
 
@@ -161,35 +167,75 @@ def dealt_totals(units: DataFrame, many: int, times: int, seed: int) -> np.ndarr
     return np.stack([rows.column(c).to_numpy() for c in SUMS], 1)
 
 
-INTERVALS = "metric string, low double, high double, std double, valid_resamples long, units long, status string"
+def resampled_totals(units: DataFrame, times: int, seed: int) -> tuple[int, np.ndarray]:
+    """(how many units, sums of resampled units [times, sums]); none for fewer than two units.
 
+    More than ``MOST_UNITS`` units (a row bootstrap) are weighted on the cluster, in the same scheme.
+    """
+    if units.limit(MOST_UNITS + 1).count() > MOST_UNITS:
+        many = units.count()
+        return many, dealt_totals(units, many, times, seed)
+    got = units.orderBy("first", "unit").select(*SUMS).toArrow()
+    x = np.stack([got.column(c).to_numpy() for c in SUMS], 1) if got.num_rows else np.zeros((0, len(SUMS)))
+    return len(x), np.array(list(resampled(x, times, seed))) if len(x) > 1 else x[:0]
 
-def bootstrap(df: DataFrame, y: Column, p: Column, baseline: float, unit: Column, order: Column, times: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """A row per metric.  Units are summed by the cluster; weights are drawn of units, never rows.
 
-    More than ``MOST_UNITS`` units (a row bootstrap) are weighted on the cluster, in the same scheme.
+#: Units whose weights one task draws.
+DRAWN = 100_000
+
+
+def drawn_units(units: DataFrame, seed: int) -> DataFrame:
+    """units (unit) without repeats -> (unit, weight double) of those that a draw with replacement, of as many as there are, takes.
+
+    Buckets of units, by a hash of their names, get multinomial totals, and units theirs within a bucket, in the order of
+    the hash; only a number for each bucket comes to the driver.
     """
-    spark = df.sparkSession
-    sums = unit_sums(df, y, p, baseline, unit, order)
-    k = sums.limit(MOST_UNITS + 1).count()
-    if k > MOST_UNITS:
-        many = sums.count()
-        rows = _summary(from_totals(dealt_totals(sums, many, times, seed)), times, confidence, many)
-    else:
-        got = sums.orderBy("first", "unit").select(*SUMS).toArrow()
-        units = np.stack([got.column(c).to_numpy() for c in SUMS], 1) if got.num_rows else np.zeros((0, len(SUMS)))
-        rows = intervals(units, times, confidence, seed)
-    return spark.createDataFrame([tuple(r.values()) for r in rows], INTERVALS)
+    import pyarrow as pa
+
+    spark = importable(units.sparkSession) and units.sparkSession
+    n = units.count()
+    key = F.xxhash64(F.lit(seed), "unit")
+    keyed = units.select("unit", key.alias("key"), F.pmod(key, F.lit(n // DRAWN + 1)).alias("bucket"))
+    sizes = {r["bucket"]: r["count"] for r in keyed.groupBy("bucket").count().orderBy("bucket").collect()}
+    share = np.array([*sizes.values()], float)
+    drawn = np.random.default_rng(seed).multinomial(n, share / share.sum()) if n else []
+    held = spark.sparkContext.broadcast(dict(zip(sizes, drawn, strict=True)))
+
+    def weighted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        bucket, k = table.column("bucket")[0].as_py(), table.num_rows
+        weight = np.random.default_rng([seed, bucket]).multinomial(held.value[bucket], np.full(k, 1 / k)).astype(float)
+        return pa.table([table.column("unit"), pa.array(weight)], names=["unit", "weight"]).filter(pa.array(weight > 0))
+
+    return keyed.groupBy("bucket").applyInArrow(weighted, f"unit {units.schema['unit'].dataType.simpleString()}, weight double")
+
+
+INTERVALS = "metric string, low double, high double, std double, valid_resamples long, units long, status string"
+
+
+def bootstrap(df: DataFrame, y: Column, p: Column, baseline: float, unit: Column, order: Column, times: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """A row per metric.  Units are summed by the cluster; weights are drawn of units, never rows."""
+    many, totals = resampled_totals(unit_sums(df, y, p, baseline, unit, order), times, seed)
+    rows = _summary(from_totals(totals), times, confidence, many) if many > 1 else insufficient(many)
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in rows], INTERVALS)
 
 
 def group_bootstrap(df: DataFrame, by: list[str], y: Column, p: Column, baseline: float, unit: Column, order: Column, times: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """Intervals of each group, side by side: a group's units (never its rows) meet in one task."""
+    """Intervals of each group, side by side: the units of a group (never its rows) meet in one task, those of a group of
+    more than ``MOST_UNITS`` units are weighted by many, one such group after the other."""
     import pandas as pd
 
-    importable(df.sparkSession)
+    spark = importable(df.sparkSession) and df.sparkSession
     units = unit_sums(df, y, p, baseline, unit, order, by)
-    units = units.withColumn("first", F.row_number().over(Window.partitionBy(*by).orderBy("first", "unit"))).drop("unit")
+    large = units.groupBy(*by).agg(F.count("*").alias("__units")).where(F.col("__units") > MOST_UNITS).collect()  # as few as MOST_UNITS fit into all
     kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
+    rows = []
+    for r in large:
+        own = functools.reduce(Column.__and__, [quoted(c).eqNullSafe(F.lit(r[c])) for c in by])
+        totals = from_totals(dealt_totals(units.where(own), r["__units"], times, seed))
+        rows += [(*[r[c] for c in by], *x.values()) for x in _summary(totals, times, confidence, r["__units"])]
+        units = units.where(~own)
+    units = units.withColumn("first", F.row_number().over(Window.partitionBy(*by).orderBy("first", "unit"))).drop("unit")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", " + INTERVALS
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +245,8 @@ def group_bootstrap(df: DataFrame, by: list[str], y: Column, p: Column, baseline
             out.insert(i, c, frame[c].iloc[0])
         return out
 
-    return units.groupBy(*by).applyInPandas(one, schema)
+    out = units.groupBy(*by).applyInPandas(one, schema)
+    return out.union(spark.createDataFrame(rows, schema)) if rows else out
 
 
 def group_evaluation(df: DataFrame, by: list[str], y: Column, p: Column, baseline: float, unit: Column, order: Column, min_rows: int = 100, min_positives: int = 10, times: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
@@ -212,8 +259,6 @@ def group_evaluation(df: DataFrame, by: list[str], y: Column, p: Column, baselin
 
 def calibration(df: DataFrame, y: Column, p: Column, bins: int = 10) -> DataFrame:
     """(bin, rows, actual_rate, predicted_rate) by quantiles of the prediction, equal edges merged; one bin if all are equal."""
-    from brindle.operators.quantiles import exact_quantiles
-
     x = df.select(y.cast("double").alias("y"), p.alias("v"))
     edges = sorted(set(exact_quantiles(x.select(F.lit("p").alias("feature"), "v"), [i / bins for i in range(bins + 1)])["p"]))
     code = F.lit(max(1, len(edges) - 1))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.columns import share, usable
 from brindle.operators.features import CATEGORICAL, NUMERICAL, quoted
+from brindle.operators.quantiles import order_statistics
 
 PARTS = ("train", "validation", "test", "fit", "early_stop")
 
@@ -34,15 +35,15 @@ class Bounds:
         return {"train": train, "validation": (t > a + gap) & (t <= b), "test": t > b + gap, "fit": t <= e, "early_stop": (t > e + gap) & train}
 
 
+#: Times are counted from here in microseconds, which doubles hold exactly for 285 years.
+EPOCH = datetime(2000, 1, 1)
+
+
 def _nth_times(times: DataFrame, places: list[int]) -> list:
-    """Distinct times at 1-based places.  Places are found by day first, so only one day's times are ranked."""
-    days = times.groupBy(F.to_date("t").alias("day")).agg(F.count("*").alias("n"))
-    by_day = days.withColumn("till", F.sum("n").over(Window.orderBy("day")))  # a row per day
-    wanted = times.sparkSession.createDataFrame([(i, p) for i, p in enumerate(places)], "i int, place long")
-    at = by_day.join(F.broadcast(wanted), (F.col("place") <= F.col("till")) & (F.col("place") > F.col("till") - F.col("n")))
-    rows = times.withColumn("day", F.to_date("t")).join(F.broadcast(at), "day")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("t")) + F.col("till") - F.col("n"))
-    return [r["t"] for r in ranked.where("rank = place").orderBy("i").collect()]
+    """Distinct times at 1-based places, from histograms over them: no task ranks them."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col("t"))
+    found = order_statistics(times.select(F.lit("t").alias("feature"), micros.cast("double").alias("v")), {"t": [p - 1 for p in places]})
+    return [EPOCH + timedelta(microseconds=int(found["t", p - 1])) for p in places]
 
 
 def find_bounds(df: DataFrame, time: str, train: float = 0.6, validation: float = 0.2, early: float = 0.15, gap: timedelta = timedelta(0), train_end=None, validation_end=None) -> Bounds:
@@ -53,17 +54,21 @@ def find_bounds(df: DataFrame, time: str, train: float = 0.6, validation: float
     if n < 5:
         raise SplitError(f"{n} distinct times are too few; five are needed")
     if train_end is None:
-        train_end, validation_end = _nth_times(times, [int(n * train), int(n * (train + validation))])
+        # the distinct times of training are the first ones of all
+        k = int(n * train)
+        train_end, validation_end, early_end = _nth_times(times, [k, int(n * (train + validation)), max(1, int(k * (1 - early)))])
     else:
+        early_end = None
         train_end, validation_end = times.sparkSession.range(1).select(F.lit(str(train_end)).cast("timestamp").cast("timestamp_ntz"), F.lit(str(validation_end)).cast("timestamp").cast("timestamp_ntz")).first()
     if not train_end < validation_end:
         raise SplitError("train_end must be before validation_end")
-    inner = times.where(F.col("t") <= F.lit(train_end))
-    k = inner.count()
+    if early_end is None:
+        k = times.where(F.col("t") <= F.lit(train_end)).count()
     cut = int(k * (1 - early))
     if not 0 < cut < k:
         raise SplitError("training has too few times for an early-stopping part")
-    (early_end,) = _nth_times(inner, [cut])
+    if early_end is None:
+        (early_end,) = _nth_times(times, [cut])
     return Bounds(train_end, validation_end, early_end, gap)
 
 

@@ -150,15 +150,23 @@ def rank_separation(values: DataFrame) -> DataFrame:
     return s.select("feature", auc.alias("raw_numeric_auc"), F.greatest(auc, 1 - auc).alias("direction_free_auc"), (1 - auc).alias("flipped_auc"), "ks_statistic")
 
 
-def average_rank(v: str, keys: list[str]) -> Column:
-    """Ranks from 1, ties sharing their mean, within ``keys``."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(v)) + (F.count("*").over(Window.partitionBy(*keys, v)) - 1) / 2.0
+def average_ranks(counts: DataFrame) -> DataFrame:
+    """counts (feature, v, n) -> also rank, from 1, equal values sharing their mean, and all_n; no task needs all values of a feature."""
+    return running_sums(counts, ["n"]).withColumn("rank", F.col("cum_n") - (F.col("n") - 1) / 2.0).drop("cum_n")
 
 
 def target_correlations(values: DataFrame) -> DataFrame:
-    """values (feature, v, y) -> point_biserial_r and spearman_target."""
-    ranked = values.withColumns({"rv": average_rank("v", ["feature"]), "ry": average_rank("y", ["feature"])})
-    return ranked.groupBy("feature").agg(correlation(F.col("v"), F.col("y").cast("double")).alias("point_biserial_r"), correlation(F.col("rv"), F.col("ry")).alias("spearman_target"), F.count("*").alias("sample_rows_numeric_target"))
+    """values (feature, v, y) -> point_biserial_r and spearman_target; rows are summed by value first."""
+    plain = values.groupBy("feature").agg(correlation(F.col("v"), F.col("y").cast("double")).alias("point_biserial_r"), F.count("*").alias("sample_rows_numeric_target"))
+    x = average_ranks(values.groupBy("feature", "v").agg(F.count("*").alias("n"), F.sum("y").alias("p")))
+    middle, n, p = (F.col("all_n") + 1) / 2.0, F.col("n"), F.col("p")
+    away = F.col("rank") - middle
+    s = x.groupBy("feature").agg(F.sum(p * away).alias("ones"), F.sum(n * away * away).alias("vv"), F.sum(p).alias("P"), F.first("all_n").alias("N"), (F.min("v") < F.max("v")).alias("spread"))
+    # labels have two ranks, N / 2 apart, so their sums of products follow from the ranks of the ones
+    one, zero = F.col("P"), F.col("N") - F.col("P")
+    r = ratio(F.col("ones") * F.col("N") / 2.0, F.sqrt(F.col("vv")) * F.sqrt(one * zero * F.col("N") / 4.0))
+    s = s.select("feature", F.when((F.col("N") >= 3) & F.col("spread") & (one > 0) & (zero > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("spearman_target"))
+    return plain.join(s, "feature").select("feature", "point_biserial_r", "spearman_target", "sample_rows_numeric_target")
 
 
 def entropy_of(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:

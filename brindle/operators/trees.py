@@ -62,17 +62,26 @@ def train(df: DataFrame, encoder: Encoder, params: dict, rounds: int, seed: int,
 
 
 def train_early(fit: DataFrame, early: DataFrame, encoder: Encoder, params: dict, rounds: int, patience: int, seed: int) -> tuple[int, dict[str, list[float]]]:
-    """The number of rounds with the least loss on the later part, before ``patience`` rounds without a better one."""
-    model = train(fit, encoder, params, rounds, seed)
-    # Spark's loss is twice the log loss
-    losses = {name: [x / 2 for x in model.evaluateEachIteration(part)] for name, part in (("fit", fit), ("early_stop", early))}
-    best = 0
-    for i, x in enumerate(losses["early_stop"]):
-        if x < losses["early_stop"][best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1, losses
+    """The number of rounds with the least loss on the later part, before ``patience`` rounds without a better one.
+
+    Spark's boosting cannot go on from a model, but its first rounds are the same whatever their number, so it is run
+    for 2 * patience rounds, and for twice as many as long as it has not stopped: no more than twice the rounds needed.
+    """
+    tried = min(rounds, max(1, 2 * patience))
+    while True:
+        model = train(fit, encoder, params, tried, seed)
+        # Spark's loss is twice the log loss
+        later = [x / 2 for x in model.evaluateEachIteration(early)]
+        best = stop = 0
+        for stop, x in enumerate(later):
+            if x < later[best]:
+                best = stop
+            elif stop - best >= patience:
+                break
+        if stop - best >= patience or tried == rounds:
+            own = [x / 2 for x in model.evaluateEachIteration(fit)]
+            return best + 1, {"fit": own[: stop + 1], "early_stop": later[: stop + 1]}
+        tried = min(rounds, 2 * tried)
 
 
 def probability(model: GBTClassificationModel, df: DataFrame) -> DataFrame:

@@ -53,7 +53,6 @@ def audit_frame(df: DataFrame, cfg: dict, log=None) -> Audit:
     numbers, cats = ([n for n, k in kinds.items() if k == x] for x in (NUMERICAL, CATEGORICAL))
     on = lambda m: enabled(cfg, m)
     y = quoted(cfg["target"]).cast("int")
-    df = df.persist()
     say("Profiles of %s features", len(kinds))
     profiles = []
     limits = {n: cfg["rules"][n]["threshold"] for n in ("near_constant", "missingness", "high_cardinality")}
@@ -103,7 +102,8 @@ def audit_frame(df: DataFrame, cfg: dict, log=None) -> Audit:
     if cfg["group_column"]:
         out.group = {"column": cfg["group_column"]} | rows(relations.group_summary(df, cfg["group_column"], y))[0]
     say("Decisions")
-    out.decisions, out.record = decisions.decide(profiles, targets, out.pairs, policy(cfg))
+    rules = policy(cfg)
+    out.decisions, out.record = decisions.decide(decisions.facts_of(df.sparkSession, profiles, targets, rules), out.pairs, rules, targets)
     counts = {d: sum(r["decision"] == d for r in out.decisions) for d in decisions.RANK}
     out.summary = {
         "target": cfg["target"], "rows": total, "positives": positives, "negatives": total - positives, "positive_rate": positives / total,
@@ -122,6 +122,8 @@ def audit_frame(df: DataFrame, cfg: dict, log=None) -> Audit:
         ],
     }
     rates_df.unpersist()
+    if sample is not df:
+        sample.unpersist()
     return out
 
 

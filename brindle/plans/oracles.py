@@ -341,3 +341,35 @@ ORACLES["p3_p4_s1_validation"] = f"WITH {ITEMS} " + " UNION ALL ".join(
 )
 ORACLES["m19_best_so_far"] = f"""WITH {CLICKS}, d AS (SELECT CAST(floor(epoch_us(t) / 86400000000) AS BIGINT) AS unit, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS x FROM ev GROUP BY 1) SELECT unit, {r('x')} AS logloss, {r('min(x) OVER (ORDER BY unit)')} AS best FROM d"""
 ORACLES["m20_top_features"] = f"{_assoc} SELECT feature, {r(f'round({_MI}, 9)')} AS mi_nats FROM ca ORDER BY round({_MI}, 9) DESC, feature LIMIT 3"
+
+# the whole of the decisions, over events
+_en, _el = ["value", "k", "twice", "id"], ["kind", "user"]
+_order = {n: i for i, n in enumerate(["value", "k", "twice", "kind", "user", "id"])}
+_evx = "x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, CAST({n} AS DOUBLE) AS v, y FROM ev" for n in _en) + ")"
+_evl = "l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, \"{n}\" AS level, y FROM ev" for n in _el) + "), lr AS (SELECT feature, level, count(*) AS n, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, level) AS k FROM l WHERE level IS NOT NULL GROUP BY feature, level)"
+_over = " + ".join(f"coalesce(CAST(v > q[{i}] AND {i} < len(q) AS INT), 0)" for i in range(2, 11))
+_evcells = f"""qs AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, {_tenths}))) AS q, count(DISTINCT v) AS k FROM x GROUP BY feature),
+zz AS (SELECT feature, CASE WHEN v IS NULL THEN 0 WHEN qs.k <= 10 THEN 1 + v ELSE 1 + {_over} END AS bucket, y FROM x JOIN qs USING (feature) UNION ALL SELECT l.feature, CASE WHEN l.level IS NULL THEN 0 WHEN lr.n >= 100 AND lr.k <= 20 THEN lr.k + 1 ELSE 1 END, y FROM l LEFT JOIN lr ON lr.feature = l.feature AND lr.level = l.level),
+c AS ({_counted('feature, bucket', 'zz')})"""
+_evpp = " UNION ALL ".join(f"SELECT '{a}' AS fa, '{b}' AS fb, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM ev WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in _pairs(_en))
+ORACLES["d08_d15_decisions"] = f"""WITH RECURSIVE {CLICKS}, {_evx}, {_evl}, {_evcells}, {_association(_target_cells, 'feature', 'bucket')}, s AS (SELECT feature, v, y FROM x WHERE v IS NOT NULL), {_D}, {_SEP},
+dq AS (SELECT feature, max(n) / sum(n) AS top FROM (SELECT feature, CAST(v AS VARCHAR) AS v, count(*) AS n FROM s GROUP BY feature, v UNION ALL SELECT feature, level, n FROM lr) GROUP BY feature),
+ft AS (SELECT feature, true AS number, count(DISTINCT v) AS k, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0 END) AS gone, 0.0 AS pooled FROM x GROUP BY feature
+  UNION ALL SELECT l.feature, false, count(DISTINCT l.level), avg(CASE WHEN l.level IS NULL THEN 1.0 ELSE 0 END), avg(CASE WHEN l.level IS NOT NULL AND (lr.n < 100 OR lr.k > 20) THEN 1.0 ELSE 0 END) FROM l LEFT JOIN lr ON lr.feature = l.feature AND lr.level = l.level GROUP BY l.feature),
+fa AS (SELECT ft.*, top, {_MI} AS m, d, auc, CASE feature {' '.join(f"WHEN '{n}' THEN {i}" for n, i in _order.items())} END AS place, CASE WHEN abs(d) >= 0.05 THEN sign(d) END AS sd, CASE WHEN abs(auc - 0.5) >= 0.02 THEN sign(auc - 0.5) END AS sa
+  FROM ft LEFT JOIN dq USING (feature) LEFT JOIN ca USING (feature) LEFT JOIN de USING (feature) LEFT JOIN u USING (feature)),
+rl AS (SELECT *, CASE WHEN number THEN m < 0.0001 AND abs(d) < 0.05 AND abs(auc - 0.5) < 0.02 ELSE pooled <= 0.5 AND m < 0.0001 END AS weak, number AND (coalesce(sd <> sa, false) OR feature = 'value' AND (coalesce(sd < 0, false) OR coalesce(sa < 0, false))) AS turned FROM fa),
+hits AS (SELECT feature, unnest(list_filter([CASE WHEN k = 0 THEN 'all_missing' END, CASE WHEN k = 1 AND gone = 0 THEN 'constant' END, CASE WHEN NOT number AND pooled > 0.5 THEN 'coverage' END, CASE WHEN turned THEN 'direction' END, CASE WHEN NOT number AND k >= 1000 THEN 'high_cardinality' END, CASE WHEN gone >= 0.8 THEN 'missingness' END,
+  CASE WHEN top >= 0.995 THEN 'near_constant' END, CASE WHEN feature IN ('id', 'user') THEN 'override' END, CASE WHEN coalesce(weak, false) THEN 'weak_signal' END], lambda h: h IS NOT NULL)) AS rule FROM rl),
+base AS (SELECT rl.*, feature = 'id' OR (feature <> 'user' AND (k = 0 OR (k = 1 AND gone = 0))) AS excluded, row_number() OVER (ORDER BY feature <> 'user', CASE WHEN feature = 'k' THEN 0 ELSE 1 END, gone, -coalesce(abs(auc - 0.5), 0), place) AS rk FROM rl),
+pk AS (SELECT *, rank() OVER (PARTITION BY fa, fb ORDER BY a) + (count(*) OVER (PARTITION BY fa, fb, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY fa, fb ORDER BY b) + (count(*) OVER (PARTITION BY fa, fb, b) - 1) / 2 AS rb FROM ({_evpp})),
+pc AS (SELECT fa, fb, count(*) AS n, corr(ra, rb) AS r FROM pk GROUP BY fa, fb),
+ed AS (SELECT fa AS one, fb AS other FROM pc WHERE n >= 1000 AND n >= 0.5 * (SELECT count(*) FROM ev) AND abs(r) >= 0.95 UNION ALL SELECT fb, fa FROM pc WHERE n >= 1000 AND n >= 0.5 * (SELECT count(*) FROM ev) AND abs(r) >= 0.95),
+walk AS (SELECT 0::BIGINT AS rk, []::VARCHAR[] AS kept, ''::VARCHAR AS feature, NULL::VARCHAR AS match
+  UNION ALL SELECT b.rk, CASE WHEN NOT b.number OR b.excluded OR (h.at IS NOT NULL AND b.feature NOT IN ('value', 'kind', 'user')) THEN w.kept ELSE list_append(w.kept, b.feature) END, b.feature, CASE WHEN b.number AND NOT b.excluded THEN w.kept[h.at] END
+  FROM walk w JOIN base b ON b.rk = w.rk + 1, LATERAL (SELECT min(list_position(w.kept, e.other)) FILTER (WHERE list_contains(w.kept, e.other)) AS at FROM ed e WHERE e.one = b.feature) h),
+fired AS (SELECT feature, rule FROM hits UNION ALL SELECT feature, 'redundancy' FROM walk WHERE match IS NOT NULL)
+SELECT b.feature, CASE WHEN b.feature = 'user' THEN 'keep' WHEN b.excluded OR (w.match IS NOT NULL AND b.feature NOT IN ('value', 'kind')) THEN 'exclude' WHEN w.match IS NOT NULL OR EXISTS (SELECT 1 FROM hits WHERE hits.feature = b.feature AND rule <> 'override') THEN 'review' ELSE 'keep' END AS decision,
+  CASE WHEN b.feature = 'value' THEN 'positive' ELSE 'unspecified' END AS expected_direction, coalesce(w.match, '') AS related_features, coalesce((SELECT string_agg(rule, ', ' ORDER BY rule) FROM fired WHERE fired.feature = b.feature), '') AS fired,
+  b.feature = 'user' OR NOT (b.excluded OR (w.match IS NOT NULL AND b.feature NOT IN ('value', 'kind'))) AS selected
+FROM base b JOIN walk w ON w.feature = b.feature"""

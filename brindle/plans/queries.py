@@ -143,15 +143,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(b)
 
 
-def codes_of(df: DataFrame, rare: int = 600) -> tuple[dict, dict]:
-    return features.bucket_codes(df, NUMBERS | LEVELS, rare_min_count=rare)
+def codes_of(df: DataFrame, names: list[str]) -> dict:
+    codes, _ = features.bucket_codes(df, {n: (NUMBERS | LEVELS)[n] for n in names}, rare_min_count=600)
+    return codes
 
 
 def _buckets(names: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = items(spark, sf_dir)
-        codes, _ = features.bucket_codes(df, {n: (NUMBERS | LEVELS)[n] for n in names}, rare_min_count=600)
-        return rounded(target.long_codes(df, codes, Y()).groupBy("feature", "bucket").agg(F.count("*").alias("rows")))
+        return rounded(target.long_codes(df, codes_of(df, names), Y()).groupBy("feature", "bucket").agg(F.count("*").alias("rows")))
 
     return run
 
@@ -170,7 +170,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, [*NUMBERS, *LEVELS])
     overall = df.agg(F.avg("y")).first()[0]
     return target.positive_rates(target.long_codes(df, codes, Y()), ["feature", "bucket"], F.lit(overall))
 
@@ -255,29 +255,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r3_category_pairs")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
-    own = {n: codes[n] for n in ("line", "supp", "status", "gone")}
-    return rounded(relations.category_pairs(df, relations.first_pairs(list(own)), own, max_cells=100))
+    codes = codes_of(df, list(LEVELS))
+    return rounded(relations.category_pairs(df, relations.first_pairs(list(codes)), codes, max_cells=100))
 
 
 @query("r4_eta_squared")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, ["line", "status", "gone"])
     return rounded(relations.mixed_pairs(df, [(a, b) for a in ("line", "status", "gone") for b in ("price", "qty")], codes))
 
 
 @query("r5_missingness_phi")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, ["price", "line", "qty", "gone"])
     return rounded(relations.missing_together(df, relations.first_pairs(["price", "line", "qty", "gone"]), codes))
 
 
 @query("r6_all_pairs")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, [*NUMBERS, *LEVELS])
     return rounded(relations.all_pairs(df, NUMBERS | LEVELS, codes, most=9).drop("place"))
 
 
@@ -287,21 +286,21 @@ JOINT = ["tax", "line", "status"]
 @query("j1_joint_positive_rate")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, JOINT)
     return rounded(relations.joint_rates(df, [codes[n] for n in JOINT], Y()))
 
 
 @query("j3_j4_joint_information")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, JOINT)
     return rounded(relations.joint_information(df, {n: codes[n] for n in JOINT}, Y()))
 
 
 @query("j2_j5_j6_interaction_status")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, [*JOINT, "price", "supp"])
     out = None
     for group, most in ((JOINT, 20_000), (["price", "supp"], 50)):
         row, _ = relations.interaction(df, group, codes, Y(), max_cells=most, information=False)
@@ -332,7 +331,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w4_time_feature_positive_rate")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, ["tax", "status"])
     p = relations.period(relations.parsed_time(df, "t"), "M")
     return rounded(relations.period_feature_rates(df, {n: codes[n] for n in ("tax", "status")}, p, Y()))
 
@@ -340,7 +339,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w5_time_drift")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = items(spark, sf_dir)
-    codes, _ = codes_of(df)
+    codes = codes_of(df, ["tax", "line", "supp"])
     p = relations.period(relations.parsed_time(df, "t"), "M")
     return rounded(relations.period_drift(df, {n: codes[n] for n in ("tax", "line", "supp")}, p))
 
@@ -350,14 +349,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relations.group_summary(items(spark, sf_dir).withColumn("g", F.when(F.col("g") % 10 != 0, F.col("g"))), "g", Y()))
 
 
-def _features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _features_table(df: DataFrame, kinds: dict[str, str], rare: int) -> DataFrame:
     """Profiles beside associations, a row per feature."""
-    df = items(spark, sf_dir)
-    a = features.numeric_profile(df, list(NUMBERS), set()).withColumn("type", F.lit(NUMERICAL))
-    b = features.categorical_profile(df, list(LEVELS), rare_min_count=600).withColumn("type", F.lit(CATEGORICAL))
+    numbers, levels = ([n for n, k in kinds.items() if k == x] for x in (NUMERICAL, CATEGORICAL))
+    a = features.numeric_profile(df, numbers, set()).withColumn("type", F.lit(NUMERICAL))
+    b = features.categorical_profile(df, levels, rare_min_count=rare).withColumn("type", F.lit(CATEGORICAL))
     p = a.unionByName(b, allowMissingColumns=True)
-    v = values(spark, sf_dir)
-    t = target.bucket_associations(rates(spark, sf_dir)).select("feature", "mi_nats")
+    v = target.long_values(df, numbers, Y())
+    codes, _ = features.bucket_codes(df, kinds, rare_min_count=rare)
+    t = target.bucket_associations(target.positive_rates(target.long_codes(df, codes, Y()), ["feature", "bucket"])).select("feature", "mi_nats")
     for more in (target.standardized_difference(v).select("feature", "cohens_d", "hedges_g"), target.rank_separation(v)):
         t = t.join(more, "feature", "left")
     return p.join(t, "feature")
@@ -365,33 +365,28 @@ def _features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d01_d07_rule_hits")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {k: dict(r) for k, r in decisions.RULES.items()}
-    rules["missingness"]["threshold"], rules["high_cardinality"]["threshold"], rules["near_constant"]["threshold"] = 0.1, 100, 0.5
-    rules["direction"].update(min_abs_d=0.0, min_auc_distance=0.0)
-    return decisions.rule_hits(_features_table(spark, sf_dir), rules)
+    """What the rules of single features say, by the plan that the audit runs."""
+    policy = decisions.Policy(NUMBERS | LEVELS)
+    policy.rules["missingness"]["threshold"], policy.rules["high_cardinality"]["threshold"], policy.rules["near_constant"]["threshold"] = 0.1, 100, 0.5
+    policy.rules["direction"].update(min_abs_d=0.0, min_auc_distance=0.0)
+    facts = decisions.facts_table(_features_table(items(spark, sf_dir), NUMBERS | LEVELS, 600), policy)
+    return decisions.evaluations(facts, policy).where("rule <> 'coverage'").select("feature", "rule", (F.col("status") == "triggered").alias("hit"))
 
 
 @query("d08_d15_decisions")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole engine over events, where ``twice`` repeats ``value``; only small tables are collected."""
+    """The whole engine over events, where ``twice`` repeats ``value``; only rows by feature and pair are collected."""
     df = clicks(spark, sf_dir)
-    kinds = {"value": NUMERICAL, "k": NUMERICAL, "twice": NUMERICAL, "kind": CATEGORICAL, "user": CATEGORICAL}
-    policy = decisions.Policy(kinds, prefer=["k"], expected={"value": "positive"}, interactions=[["value", "kind"]])
-    rows, _ = decide_table(df, kinds, policy)
-    return spark.createDataFrame([(r["feature"], r["decision"], r["related_features"]) for r in rows], "feature string, decision string, related_features string")
-
-
-def decide_table(df: DataFrame, kinds: dict[str, str], policy: decisions.Policy) -> tuple[list[dict], list[dict]]:
-    numbers, levels = ([n for n, k in kinds.items() if k == x] for x in (NUMERICAL, CATEGORICAL))
-    profiles = [r.asDict() | {"type": NUMERICAL} for r in features.numeric_profile(df, numbers, set()).collect()]
-    profiles += [r.asDict() | {"type": CATEGORICAL} for r in features.categorical_profile(df, levels).collect()]
-    codes, _ = features.bucket_codes(df, kinds)
-    v = target.long_values(df, numbers, Y())
-    t = target.bucket_associations(target.positive_rates(target.long_codes(df, codes, Y()), ["feature", "bucket"]))
-    for more in (target.standardized_difference(v), target.rank_separation(v)):
-        t = t.join(more, "feature", "left")
-    pairs = [r.asDict() for r in relations.all_pairs(df, kinds, codes).collect()]
-    return decisions.decide(profiles, [r.asDict() for r in t.collect()], pairs, policy)
+    kinds = {"value": NUMERICAL, "k": NUMERICAL, "twice": NUMERICAL, "kind": CATEGORICAL, "user": CATEGORICAL, "id": NUMERICAL}
+    df = df.withColumn("id", F.col("id").cast("double"))
+    policy = decisions.Policy(kinds, prefer=["k"], expected={"value": "positive"}, interactions=[["value", "kind"]], force_keep=["user"], force_exclude=["id"])
+    facts = decisions.facts_table(_features_table(df, kinds, 100), policy)
+    numbers = [n for n, k in kinds.items() if k == NUMERICAL]
+    pairs = relations.numeric_pairs(df, relations.first_pairs(numbers)).withColumn("sample_rows", F.lit(df.count()))
+    rows, record = decisions.decide(facts, [r.asDict() for r in pairs.collect()], policy)
+    kept = set(decisions.selected(rows))
+    fired = {r["feature"]: sorted({x["rule"] for x in record if x["feature"] == r["feature"] and x["status"] == "triggered"}) for r in rows}
+    return spark.createDataFrame([(r["feature"], r["decision"], r["expected_direction"], r["related_features"], ", ".join(fired[r["feature"]]), r["feature"] in kept) for r in rows], "feature string, decision string, expected_direction string, related_features string, fired string, selected boolean")
 
 
 # tuning
@@ -504,6 +499,44 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "p", "margin")
 
 
+def _tuning(spark: SparkSession, sf_dir: str):
+    """What the tuning workflow starts from, over events: its configuration, parts and frames."""
+    from brindle.plans import tuning
+    from brindle.plans.config import tuning_config
+
+    df = clicks(spark, sf_dir).withColumns({tuning.TIME: F.col("t").cast("timestamp_ntz"), tuning.PLACE: F.col("id")})
+    cfg = tuning_config({
+        "target": "y", "time_column": "t", "features": {"value": NUMERICAL, "k": NUMERICAL, "kind": CATEGORICAL}, "output_dir": "unused",
+        "tuning": {"n_trials": 2, "num_boost_round": 6, "early_stopping_rounds": 2, "stability_penalty": 1.0}, "bootstrap": {"n_resamples": 50, "training_repeats": 2},
+    })
+    parts = splits.parts_of(df, tuning.TIME, bounds(df))
+    return tuning, cfg, parts, splits.class_share(parts["train"], Y())
+
+
+@query("m07_m08_search")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials of the search, with the objective and what it is made of."""
+    tuning, cfg, parts, rate = _tuning(spark, sf_dir)
+    trials = tuning.searched(tuning.training_frames(parts, cfg, Y()), cfg, rate, lambda *a: None)
+    columns = ("number", "value", "best_so_far", "num_boost_round", "validation_logloss", "bootstrap_logloss_mean", "bootstrap_logloss_std")
+    return rounded(spark.createDataFrame([tuple(r[c] for c in columns) for r in trials], ", ".join(f"{c} {'long' if c in ('number', 'num_boost_round') else 'double'}" for c in columns)))
+
+
+@query("m09_m16_refits")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refit on train and validation, and refits on resamples of their units, judged on the same test rows."""
+    from brindle.operators import trees
+
+    tuning, cfg, parts, _ = _tuning(spark, sf_dir)
+    both = parts["train"].unionByName(parts["validation"])
+    encoder, keep = splits.Encoder.fit(both, cfg["features"]), tuning.kept_columns(cfg)
+    x_both, x_test = (trees.encoded(x, encoder, Y(), keep) for x in (both, parts["test"]))
+    test = trees.probability(trees.train(x_both, encoder, {"maxDepth": 3}, 4, cfg["seed"]), x_test)
+    whole = scoring.evaluate(test, F.col(trees.LABEL), F.col("p"), splits.class_share(both, Y())).first().asDict()
+    rows = [{"repeat": -1, "status": "ok", "mean_abs_prediction_change": 0.0} | whole, *tuning.refits(x_both, x_test, test, encoder, {"maxDepth": 3}, 4, cfg, F.col(trees.LABEL))]
+    return rounded(spark.createDataFrame([(r["repeat"], r["status"], r.get("logloss"), r.get("mean_abs_prediction_change")) for r in rows], "repeat long, status string, logloss double, mean_abs_prediction_change double"))
+
+
 @query("m17_shapley")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions to the log-odds by feature, and what is missing of the margin."""

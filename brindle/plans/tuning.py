@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sqlite3
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -44,11 +45,12 @@ def read(spark: SparkSession, path: str, cfg: dict) -> DataFrame:
 
 def _stability(df: DataFrame, y: Column, rate: float, cfg: dict) -> tuple[float, float, float]:
     """(log loss, mean and deviation of it over resamples of units) of predictions p."""
-    units = scoring.unit_sums(df, y, F.col("p"), rate, _unit(cfg), F.struct(TIME, PLACE)).orderBy("first", "unit").select("n", "loss").toArrow()
-    u = np.stack([units.column(c).to_numpy() for c in ("n", "loss")], 1)
-    draws = np.array([t[1] / t[0] for t in scoring.resampled(u, cfg["bootstrap"]["n_resamples"], cfg["seed"])])
-    total = u.sum(0)
-    return float(total[1] / total[0]), float(draws.mean()), float(draws.std(ddof=1))
+    units = scoring.unit_sums(df, y, F.col("p"), rate, _unit(cfg), F.struct(TIME, PLACE)).persist()
+    draws = scoring.resampled_totals(units, cfg["bootstrap"]["n_resamples"], cfg["seed"])[1]
+    loss, n = units.agg(F.sum("loss"), F.sum("n")).first()
+    units.unpersist()
+    x = scoring.from_totals(draws)["logloss"]
+    return float(loss / n), float(x.mean()), float(x.std(ddof=1))
 
 
 def tune(spark: SparkSession, dataset: str, config: str | dict, log_level: str | None = None, file_log_level: str | None = None) -> Path:
@@ -69,7 +71,7 @@ def tune(spark: SparkSession, dataset: str, config: str | dict, log_level: str |
 
 def _run(spark: SparkSession, dataset: str, cfg: dict, out: Path, log) -> None:
     y, s, t, b = quoted(cfg["target"]), cfg["split"], cfg["tuning"], cfg["bootstrap"]
-    df = read(spark, dataset, cfg).persist()
+    df = read(spark, dataset, cfg)
     bounds = splits.find_bounds(df, TIME, s["train_fraction"], s["validation_fraction"], s["early_stopping_fraction"], duration(s["gap"]), s["train_end"], s["validation_end"])
     summary = [r.asDict() for r in splits.split_summary(df, TIME, y, bounds).collect()]
     summary.sort(key=lambda r: splits.PARTS.index(r["split"]))
@@ -83,31 +85,11 @@ def _run(spark: SparkSession, dataset: str, cfg: dict, out: Path, log) -> None:
             raise splits.SplitError(f"{name} has fewer than two bootstrap units")
     for r in summary:
         log.info("%s: %s rows, %s positives, %s to %s", *[r[k] for k in ("split", "rows", "actual_clicks", "start", "end")])
-    keep = list(dict.fromkeys([TIME, PLACE, *[c for c in (b["cluster_column"],) if c]]))
-    frames = {}
-    for name, fitted in (("fit", "fit"), ("early_stop", "fit"), ("train", "train"), ("validation", "train")):
-        if fitted not in frames:
-            frames[fitted] = Encoder.fit(parts[fitted], cfg["features"])
-        frames["x_" + name] = trees.encoded(parts[name], frames[fitted], y, keep).persist()
     rate = splits.class_share(parts["train"], y)
     label = F.col(trees.LABEL)
-
-    search, trials, started = Search(t["search_space"], cfg["seed"]), [], time.time()
-    for number in range(t["n_trials"]):
-        if t["timeout_seconds"] and trials and time.time() - started > t["timeout_seconds"]:
-            break
-        picked = search.ask()
-        params = t["params"] | picked
-        rounds, _ = trees.train_early(frames["x_fit"], frames["x_early_stop"], frames["fit"], params, t["num_boost_round"], t["early_stopping_rounds"], cfg["seed"])
-        model = trees.train(frames["x_train"], frames["train"], params, rounds, cfg["seed"])
-        loss, mean, spread = _stability(trees.probability(model, frames["x_validation"]), label, rate, cfg)
-        value = loss + t["stability_penalty"] * spread
-        search.tell(picked, value)
-        trials.append({"number": number, "value": value, "best_so_far": min([value, *[r["value"] for r in trials]]), **{f"params_{k}": v for k, v in picked.items()}, "num_boost_round": rounds, "validation_logloss": loss, "bootstrap_logloss_mean": mean, "bootstrap_logloss_std": spread, "state": "COMPLETE"})
-        log.info("Trial %s: %.6f with %s rounds", number, value, rounds)
-    best = min(trials, key=lambda r: r["value"])
-    params = t["params"] | {k[7:]: v for k, v in best.items() if k.startswith("params_")}
-    rounds = best["num_boost_round"]
+    frames = training_frames(parts, cfg, y)
+    trials = searched(frames, cfg, rate, log.info)
+    best, params, rounds = chosen_of(trials, cfg)
     _, history = trees.train_early(frames["x_fit"], frames["x_early_stop"], frames["fit"], params, t["num_boost_round"], t["early_stopping_rounds"], cfg["seed"])
     chosen = trees.train(frames["x_train"], frames["train"], params, rounds, cfg["seed"])
     overall = [{"dataset": "validation (selection)"} | scoring.evaluate(trees.probability(chosen, frames["x_validation"]), label, F.col("p"), rate).first().asDict()]
@@ -115,6 +97,7 @@ def _run(spark: SparkSession, dataset: str, cfg: dict, out: Path, log) -> None:
         frames[name].unpersist()
 
     log.info("Refit of trial %s on train and validation", best["number"])
+    keep = kept_columns(cfg)
     both = parts["train"].unionByName(parts["validation"])
     encoder = Encoder.fit(both, cfg["features"])
     groups = list(dict.fromkeys(c for g in cfg["group_by"] for c in g))
@@ -131,7 +114,7 @@ def _run(spark: SparkSession, dataset: str, cfg: dict, out: Path, log) -> None:
     order = F.struct(TIME, PLACE)
     intervals = [r.asDict() for r in scoring.bootstrap(test, label, F.col("p"), refit_rate, _unit(cfg), order, b["n_resamples"], b["confidence"], cfg["seed"]).collect()]
     group_tables = [(g, [r.asDict() for r in scoring.group_evaluation(test, g, label, F.col("p"), refit_rate, _unit(cfg), order, cfg["report"]["min_group_rows"], cfg["report"]["min_group_positives"], b["n_resamples"], b["confidence"], cfg["seed"]).collect()]) for g in cfg["group_by"]]
-    stability = _refits(x_both, x_test, test, encoder, params, rounds, cfg, label)
+    stability = refits(x_both, x_test, test, encoder, params, rounds, cfg, label)
     explained = _explained(test, model, encoder, cfg)
     calibration = [r.asDict() for r in scoring.calibration(test, label, F.col("p")).orderBy("bin").collect()]
     daily = [r.asDict() for r in scoring.daily(test, label, F.col("p"), F.col(TIME)).orderBy("period").collect()]
@@ -144,23 +127,59 @@ def _run(spark: SparkSession, dataset: str, cfg: dict, out: Path, log) -> None:
     log.info("Report: %s", out / "report.html")
 
 
-def _refits(x_both: DataFrame, x_test: DataFrame, test: DataFrame, encoder: Encoder, params: dict, rounds: int, cfg: dict, label: Column) -> list[dict]:
-    """Fits on resamples of training units, as weights of their rows; what they say of the same test rows."""
-    units = x_both.select(_unit(cfg).alias("u"), F.struct(TIME, PLACE).alias("o")).groupBy("u").agg(F.min("o").alias("o")).orderBy("o", "u").select("u").toArrow().column("u").to_pylist()
-    rng, out = np.random.default_rng(cfg["seed"] + 1), []
-    spark = x_both.sparkSession
+def kept_columns(cfg: dict) -> list[str]:
+    return list(dict.fromkeys([TIME, PLACE, *[c for c in (cfg["bootstrap"]["cluster_column"],) if c]]))
+
+
+def training_frames(parts: dict[str, DataFrame], cfg: dict, y: Column) -> dict:
+    """Encoders by the part they are fitted on, and encoded parts, x_<part>, which training goes over many times."""
+    out: dict = {}
+    for name, fitted in (("fit", "fit"), ("early_stop", "fit"), ("train", "train"), ("validation", "train")):
+        if fitted not in out:
+            out[fitted] = Encoder.fit(parts[fitted], cfg["features"])
+        out["x_" + name] = trees.encoded(parts[name], out[fitted], y, kept_columns(cfg)).persist()
+    return out
+
+
+def searched(frames: dict, cfg: dict, rate: float, say: Callable) -> list[dict]:
+    """A row per trial: settings, rounds by early stopping, and the objective, log loss and a penalty on its spread over resamples."""
+    t = cfg["tuning"]
+    search, trials, started = Search(t["search_space"], cfg["seed"]), [], time.time()
+    while len(trials) < t["n_trials"] and not (t["timeout_seconds"] and trials and time.time() - started > t["timeout_seconds"]):
+        picked = search.ask()
+        params = t["params"] | picked
+        rounds, _ = trees.train_early(frames["x_fit"], frames["x_early_stop"], frames["fit"], params, t["num_boost_round"], t["early_stopping_rounds"], cfg["seed"])
+        model = trees.train(frames["x_train"], frames["train"], params, rounds, cfg["seed"])
+        loss, mean, spread = _stability(trees.probability(model, frames["x_validation"]), F.col(trees.LABEL), rate, cfg)
+        value = loss + t["stability_penalty"] * spread
+        search.tell(picked, value)
+        least = min([value, *[r["value"] for r in trials]])
+        trials.append({"number": len(trials), "value": value, "best_so_far": least, **{f"params_{k}": v for k, v in picked.items()}, "num_boost_round": rounds, "validation_logloss": loss, "bootstrap_logloss_mean": mean, "bootstrap_logloss_std": spread, "state": "COMPLETE"})
+        say("Trial %s: %.6f with %s rounds", trials[-1]["number"], value, rounds)
+    return trials
+
+
+def chosen_of(trials: list[dict], cfg: dict) -> tuple[dict, dict, int]:
+    """(the best trial, its settings, its rounds)."""
+    best = min(trials, key=lambda r: r["value"])
+    return best, cfg["tuning"]["params"] | {k[7:]: v for k, v in best.items() if k.startswith("params_")}, best["num_boost_round"]
+
+
+def refits(x_both: DataFrame, x_test: DataFrame, test: DataFrame, encoder: Encoder, params: dict, rounds: int, cfg: dict, label: Column) -> list[dict]:
+    """Fits on resamples of training units, as weights of their rows, which are drawn where the units are; what they say of the same test rows."""
+    out, units = [], x_both.select(_unit(cfg).alias("unit")).distinct()
     for repeat in range(cfg["bootstrap"]["training_repeats"]):
-        counts = rng.multinomial(len(units), np.full(len(units), 1 / len(units)))
-        kind = dict(x_both.select(_unit(cfg).alias("u")).dtypes)["u"]
-        table = spark.createDataFrame([(u, float(c)) for u, c in zip(units, counts, strict=True) if c], f"u {kind}, {trees.WEIGHT} double")
-        drawn = x_both.withColumn("u", _unit(cfg)).join(table, "u")
+        drawn = scoring.drawn_units(units, cfg["seed"] + 1 + repeat).withColumnRenamed("weight", trees.WEIGHT)  # as many rows as units
+        drawn = x_both.withColumn("unit", _unit(cfg)).join(drawn, "unit").persist()
         mean = drawn.agg(F.sum(label * F.col(trees.WEIGHT)) / F.sum(trees.WEIGHT)).first()[0]
         if mean in (0.0, 1.0):
             out.append({"repeat": repeat, "status": "skipped_single_class_resample"})
+            drawn.unpersist()
             continue
         other = trees.probability(trees.train(drawn, encoder, params, rounds, cfg["seed"], weighted=True), x_test)
         change = other.select(PLACE, F.col("p").alias("q")).join(test.select(PLACE, "p"), PLACE).agg(F.avg(F.abs(F.col("p") - F.col("q")))).first()[0]
         out.append({"repeat": repeat, "status": "ok"} | scoring.evaluate(other, label, F.col("p"), mean).first().asDict() | {"mean_abs_prediction_change": change})
+        drawn.unpersist()
     return out
 
 

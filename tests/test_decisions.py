@@ -2,7 +2,23 @@ from __future__ import annotations
 
 import copy
 
-from brindle.operators.decisions import RULES, Policy, decide, selected
+import pytest
+
+from brindle.operators import decisions
+from brindle.operators.decisions import RULES, Policy, facts_of, selected
+
+
+_spark = None
+
+
+@pytest.fixture(autouse=True)
+def session(spark):
+    global _spark
+    _spark = spark
+
+
+def decide(profiles, targets, pairs, policy):
+    return decisions.decide(facts_of(_spark, profiles, targets, policy), pairs, policy, targets)
 
 
 def setting(names=("x", "z"), **more):

@@ -121,14 +121,27 @@ def test_buckets_hold_their_right_ends(spark):
     assert cuts["x"].labels[1] == "[0, 10]" and cuts["x"].labels[2] == "(10, 20]" and cuts["few"].labels[1] == "value: 1"
 
 
-@pytest.mark.parametrize("kind", ["uniform", "heavy", "ties", "one"])
+@pytest.mark.parametrize("kind", ["uniform", "heavy", "ties", "one", "wide", "tiny"])
 def test_quantiles_by_histograms(spark, kind):
     rng = np.random.default_rng(7)
-    x = {"uniform": rng.random(3000), "heavy": np.exp(rng.normal(0, 12, 3000)) * rng.choice([-1, 1], 3000), "ties": rng.integers(0, 5, 3000).astype(float), "one": np.full(50, 3.5)}[kind]
+    x = {"uniform": rng.random(3000), "heavy": np.exp(rng.normal(0, 12, 3000)) * rng.choice([-1, 1], 3000), "ties": rng.integers(0, 5, 3000).astype(float), "one": np.full(50, 3.5), "wide": np.array([-1.7e308, 0.0, 1.7e308, 1.0, 2.0, -3.0]), "tiny": np.array([5e-324, 0.0, 1e-323, 1e-310, 0.0])}[kind]
     p = [0, 0.01, 0.25, 0.5, 1 / 3, 0.99, 1]
     df = frame(spark, [("f", float(v)) for v in x], "feature string, v double")
-    for in_memory in (0, 10**6):
-        assert np.allclose(exact_quantiles(df, p, in_memory)["f"], np.quantile(x, p), rtol=1e-12)
+    if kind == "wide":  # differences overflow in between; the values themselves are found
+        p = [0, 0.2, 0.4, 0.6, 0.8, 1]
+    assert np.allclose(exact_quantiles(df, p)["f"], np.sort(x) if kind == "wide" else np.quantile(x, p), rtol=1e-12, atol=0)
+
+
+def test_ranks_of_pairs_and_target_from_counts(spark):
+    rng = np.random.default_rng(3)
+    x, z, y = rng.integers(0, 9, 400).astype(float), rng.normal(size=400).round(1), rng.integers(0, 2, 400)
+    df = frame(spark, [(float(a), float(b), int(c)) for a, b, c in zip(x, z, y, strict=True)], "x double, z double, y int")
+    rank = lambda v: pd.Series(v).rank().to_numpy()
+    got = relations.numeric_pairs(df, [("x", "z")]).first()
+    assert np.isclose(got["spearman_r"], np.corrcoef(rank(x), rank(z))[0, 1]) and np.isclose(got["pearson_r"], np.corrcoef(x, z)[0, 1]) and got["valid_rows"] == 400
+    for r in target.target_correlations(target.long_values(df, ["x", "z"], F.col("y"))).collect():
+        v = {"x": x, "z": z}[r["feature"]]
+        assert np.isclose(r["spearman_target"], np.corrcoef(rank(v), rank(y))[0, 1]) and np.isclose(r["point_biserial_r"], np.corrcoef(v, y)[0, 1])
 
 
 def test_degenerate_correlations(spark):

@@ -44,5 +44,12 @@ def test_query(spark, small, con, name):
 
 def test_queries_without_sql_run(spark, small):
     left = set(queries.queries()) - set(queries.oracle_sql())
-    assert left == {"d08_d15_decisions", "m06_m09_training", "m12_bootstrap", "m13_group_bootstrap", "m17_shapley"}
-    assert queries.queries()["d08_d15_decisions"](spark, small).count() == 5
+    assert left == {"m06_m09_training", "m07_m08_search", "m09_m16_refits", "m12_bootstrap", "m13_group_bootstrap", "m17_shapley"}
+
+
+def test_search_and_refits(spark, small):
+    trials = queries.queries()["m07_m08_search"](spark, small).orderBy("number").toPandas()
+    assert len(trials) == 2 and (trials.value.cummin() - trials.best_so_far).abs().max() < 1e-9
+    assert ((trials.validation_logloss + trials.bootstrap_logloss_std - trials.value).abs() < 3e-6).all() and (trials.bootstrap_logloss_std > 0).all()
+    refits = queries.queries()["m09_m16_refits"](spark, small).orderBy("repeat").toPandas()
+    assert list(refits.repeat) == [-1, 0, 1] and (refits.status == "ok").all() and (refits.mean_abs_prediction_change[1:] > 0).all()
