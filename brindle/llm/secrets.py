@@ -5,18 +5,24 @@ a value of 6 or more characters), ``access`` (``AKIA`` and 16 or more), ``hex``
 
 The method adds ``guess``: a value that follows a credential word (those of ``CONTEXT``, a
 superset of the base names) is segmented into dictionary words, dates, repeats, keyboard walks
-and brute-force spans so that the cost is least, by dynamic programming over its characters:
+and brute-force spans so that the cost is least, by dynamic programming over its characters and
+the number of segments k:
 
-    best(j) = min over i < j of best(i) + cost(i, j),  plus log2(segments!) at the end
+    best(j, k) = min over i < j of best(i, k - 1) + cost(i, j);  cost = min over k of best(n, k) + log2(k!)
 
-(costs are bits, the factorial is for the order of the segments).  Values of at least
-``BITS`` bits are reported; those that are cheap to guess, such as ``password`` or
-``qwerty2020``, are placeholders or prose.  Values of any length go through the program; beyond
-``LONGEST`` characters it leaves out what already costs ``BITS`` (costs only grow), so it stops
-where nothing cheaper can go on and its time is about linear.
+Costs are bits, the factorial is for the order of the segments.  A repeat is a block of up to
+``BLOCK`` characters, which costs what its own best segmentation does, and the logarithm of how
+often it stands.  Values of at least ``BITS`` bits are reported; those that are cheap to guess,
+such as ``password`` or ``qwerty2020``, are placeholders or prose.  Costs only grow, so what has
+reached ``BITS`` is left out: the program is exact below, and its time about linear in a value
+of any length.
+
+The dictionary is ``WORDS``, then the ``LEARNED`` most frequent words of the corpus: ASCII
+letters between spaces and marks, counted over all documents by aggregates that combine before
+the shuffle.  Values after credential words teach it nothing, however often they are copied.
 
 Texts are scanned whole: a byte-level filter that never loses a match picks the texts to scan
-with patterns.  A null or empty text has no spans and the digest of an empty list; repeated
+with patterns; a very long one is held as bytes and as one string.  A null or empty text has no spans and the digest of an empty list; repeated
 rows and null ids give rows of their own; extra columns are ignored.
 """
 
@@ -30,13 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import LOWER, chunks
 from brindle.llm.session import bounded_batches, returning
 
 KINDS = ("assign", "access", "hex", "guess")
 BITS = 30.0
-LONGEST = 128
+BLOCK = 64
+LEARNED, LONGEST_WORD = 5000, 16
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -66,160 +74,155 @@ def _alphabet(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def segment(value: str) -> tuple[float, list[tuple[str, str]]]:
-    """(bits, segments as (kind, text)) of the cheapest segmentation."""
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(LEET)
-    best: list[tuple[float, int, int, str]] = [(0.0, 0, 0, "")] + [(math.inf, 0, 0, "")] * n
-    hexed = all(c in "0123456789abcdef" for c in low) and n >= 16
-    walk = [0] * n  # how long the walk that ends here is
-    same = [0] * n
-    for j in range(1, n):
-        walk[j] = walk[j - 1] + 1 if low[j - 1 : j + 1] in STEPS else 0
-        same[j] = same[j - 1] + 1 if value[j] == value[j - 1] else 0
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if m := DATE.match(value, i):
-            dates.setdefault(m.end(), []).append(i)
+def _factorial(k: int) -> float:
+    return math.lgamma(k + 1) / math.log(2)
 
-    def relax(i: int, j: int, bits: float, kind: str) -> None:
-        total = best[i][0] + bits
-        if total < best[j][0]:
-            best[j] = (total, i, best[i][2] + 1, kind)
 
-    for j in range(1, n + 1):
-        c = value[j - 1]
-        single = 4.0 if hexed else _alphabet(c)
-        # a brute-force character; one more segment only after another kind
-        i = j - 1
-        more = 0 if best[i][3] == "brute" else 1
-        if best[i][0] + single < best[j][0]:
-            best[j] = (best[i][0] + single, i, best[i][2] + more, "brute")
-        for i in range(max(0, j - MOST_WORD), j - 2):
-            part = low[i:j]
-            rank = RANK.get(part)
-            bits = 0.0
-            if rank is None and (rank := RANK.get(plain[i:j])) is not None:
-                bits = 1.0 + sum(a != b for a, b in zip(part, plain[i:j], strict=True))
-            if rank is not None:
-                upper = sum(x.isupper() for x in value[i:j])
-                case = 0.0 if not upper else 1.0 if upper == j - i or value[i].isupper() and upper == 1 else math.log2(math.comb(j - i, upper)) + 1
-                relax(i, j, math.log2(rank) + 1 + bits + case, "word")
-        for i in dates.get(j, ()):
-            relax(i, j, math.log2(365.0 * 100 if j - i > 4 else 100.0) + (2.0 if not value[i:j].isdigit() else 0.0), "date")
-        if walk[j - 1] >= 2:
-            for k in range(2, walk[j - 1] + 1):
-                relax(j - 1 - k, j, math.log2(47.0) + math.log2(k + 1) + 1, "walk")
-        if same[j - 1] >= 2:
-            for k in range(2, same[j - 1] + 1):
-                relax(j - 1 - k, j, _alphabet(c) + math.log2(k + 1), "repeat")
-        for size in range(2, j // 2 + 1):  # a block, repeated
-            if value[j - size : j] == value[j - 2 * size : j - size]:
-                i = j - 2 * size
-                while i >= size and value[i - size : i] == value[j - size : j]:
-                    i -= size
-                relax(i, j, sum(map(_alphabet, value[j - size : j])) + math.log2((j - i) // size), "repeat")
-    parts, j, count = [], n, best[n][2]
-    while j:
-        _, i, _, kind = best[j]
-        if kind == "brute" and parts and parts[-1][0] == "brute":
-            parts[-1] = (kind, value[i:j] + parts[-1][1])
-        else:
-            parts.append((kind, value[i:j]))
-        j = i
-    return best[n][0] + math.log2(math.factorial(max(1, count))), parts[::-1]
-
-
-def _nearest(starts: list[tuple[int, float]], j: int) -> tuple[float, int]:
-    """The least of cost + log2(j - i) and its i; drops starts that an earlier one beats, as that one then does at any later j."""
-    least, at, kept = math.inf, 0, []
-    for i, cost in starts:
-        total = cost + math.log2(j - i)
-        if total < least:
-            while kept and kept[-1][1] >= cost:
-                kept.pop()
-            kept.append((i, cost))
-            least, at = total, i
-    starts[:] = kept
-    return least, at
-
-
-def bounded_bits(value: str) -> float:
-    """The bits of segment() where they are under BITS, else infinite."""
-    n = len(value)
+#: The divisors of a block's size: a block that repeats a smaller one is no cheaper than that one.
+DIVISORS = {n: [d for d in range(1, n // 2 + 1) if n % d == 0] for n in range(2, BLOCK + 1)}
+
+
+class Starts:
+    """Where a run may begin, by number of segments before; a run costs the logarithm of its length."""
+
+    def __init__(self):
+        self.of: dict[int, list[tuple[int, float]]] = {}
+
+    def add(self, i: int, lowest: dict[int, tuple]) -> None:
+        for k, entry in lowest.items():
+            self.of.setdefault(k, []).append((i, entry[0]))
+
+    def least(self, j: int) -> Iterator[tuple[int, float, int]]:
+        """(segments, cost + log2(j - i), i) of the cheapest starts; drops starts that an earlier one beats, as that one then does at any later j."""
+        for k, starts in self.of.items():
+            least, at, kept = math.inf, 0, []
+            for i, cost in starts:
+                total = cost + math.log2(j - i)
+                if total < least:
+                    while kept and kept[-1][1] >= cost:
+                        kept.pop()
+                    kept.append((i, cost))
+                    least, at = total, i
+            starts[:] = kept
+            yield k, least, at
+
+
+def segment(value: str, ranks: dict[str, int] = RANK, most: float = BITS, memo: dict[str, float] | None = None) -> tuple[float, list[tuple[str, str]]]:
+    """(bits, segments as (kind, text)) of the cheapest segmentation; infinite and none if it is not below ``most``."""
+    n, memo = len(value), {} if memo is None else memo
     low = value.lower()
     plain = low.translate(LEET)
     hexed = n >= 16 and set(low) <= set("0123456789abcdef")
-    cost, count, brute = [0.0], [0], [False]
+    longest = max(map(len, ranks), default=0) if len(ranks) != len(RANK) else MOST_WORD
+    # by number of segments: (bits, start, whether brute force came before it, kind); the last segment is brute force or not
+    other: list[dict[int, tuple]] = [{0: (0.0, 0, False, "")}]
+    brute: list[dict[int, tuple]] = [{}]
+    lowest: list[dict[int, tuple]] = [{0: (0.0, False)}]
     dates: dict[int, list[int]] = {}
-    sizes = range(2, int(BITS / math.log2(10)) + 1)  # larger blocks cost BITS
-    period = dict.fromkeys(sizes, 0)  # how many characters on end equal the one a size before
-    walk = same = last = 0  # last: the end of the last prefix under BITS
-    walks: list[tuple[int, float]] = []
-    repeats: list[tuple[int, float]] = []
     if m := DATE.match(value):
         dates[m.end()] = [0]
+    walk = same = last = 0
+    walks, sames = Starts(), Starts()
+    # since which end the value repeats itself at a distance
+    since, blocks = list(range(BLOCK + 1)), {}
+    sizes = range(2, BLOCK + 1)
     for j in range(1, n + 1):
         c = value[j - 1]
-        if j > 1:
-            walk = walk + 1 if low[j - 2 : j] in STEPS else 0
-            same = same + 1 if c == value[j - 2] else 0
-        for size in sizes:
-            period[size] = period[size] + 1 if j > size and c == value[j - 1 - size] else 0
-        found = (math.inf, 0, False)
-
-        def relax(i: int, bits: float) -> None:
-            nonlocal found
-            if cost[i] + bits < found[0]:
-                found = (cost[i] + bits, count[i] + 1, False)
-
-        single = 4.0 if hexed else _alphabet(c)
-        if cost[j - 1] + single < found[0]:
-            found = (cost[j - 1] + single, count[j - 1] + (not brute[j - 1]), True)
-        for i in range(max(0, j - MOST_WORD), j - 2):
-            if cost[i] < BITS:
+        new: dict[int, tuple] = {}
+
+        def put(k: int, bits: float, i: int, kind: str) -> None:
+            if bits + _factorial(k) < most and bits < new.get(k, (math.inf,))[0]:
+                new[k] = (bits, i, lowest[i][k - 1][1], kind)
+
+        def relax(i: int, bits: float, kind: str) -> None:
+            for k, entry in lowest[i].items():
+                put(k + 1, entry[0] + bits, i, kind)
+
+        for i in range(max(0, j - longest), j - 2):
+            if lowest[i]:
                 part, leet = low[i:j], plain[i:j]
-                rank, bits = RANK.get(part), 0.0
-                if rank is None and (rank := RANK.get(leet)) is not None:
+                rank, bits = ranks.get(part), 0.0
+                if rank is None and (rank := ranks.get(leet)) is not None:
                     bits = 1.0 + sum(a != b for a, b in zip(part, leet, strict=True))
                 if rank is not None:
                     upper = sum(x.isupper() for x in value[i:j])
                     case = 0.0 if not upper else 1.0 if upper == j - i or value[i].isupper() and upper == 1 else math.log2(math.comb(j - i, upper)) + 1
-                    relax(i, math.log2(rank) + 1 + bits + case)
+                    relax(i, math.log2(rank) + 1 + bits + case, "word")
         for i in dates.pop(j, ()):
-            relax(i, math.log2(365.0 * 100 if j - i > 4 else 100.0) + (2.0 if not value[i:j].isdigit() else 0.0))
-        for run, starts, bits in ((walk, walks, math.log2(47.0) + 1), (same, repeats, _alphabet(c))):
+            relax(i, math.log2(365.0 * 100 if j - i > 4 else 100.0) + (2.0 if not value[i:j].isdigit() else 0.0), "date")
+        if j > 1:
+            walk = walk + 1 if low[j - 2 : j] in STEPS else 0
+            same = same + 1 if c == value[j - 2] else 0
+        for run, starts, bits, kind in ((walk, walks, math.log2(47.0) + 1, "walk"), (same, sames, _alphabet(c), "repeat")):
             if run < 2:
-                starts.clear()
+                starts.of.clear()
                 continue
-            if cost[j - 3] < BITS:
-                starts.append((j - 3, cost[j - 3]))
-            if starts:
-                least, i = _nearest(starts, j)
-                relax(i, bits + least - cost[i])
-        for size in sizes:
-            if period[size] >= size:
-                times = period[size] // size + 1
-                i = j - times * size
-                if cost[i] < BITS:
-                    relax(i, sum(map(_alphabet, value[j - size : j])) + math.log2(times))
-        if found[0] >= BITS:
-            found = (math.inf, 0, False)
-        else:
+            starts.add(j - 3, lowest[j - 3])
+            for k, total, i in starts.least(j):
+                put(k + 1, bits + total, i, kind)
+        for size in sizes if same < 2 * BLOCK else ():  # in a long run of one character no other block counts
+            if size >= j:
+                break
+            if c != value[j - 1 - size]:
+                since[size] = j
+                blocks.pop(size, None)
+            elif j - since[size] >= size and not any(j - since[d] >= 2 * size - d if d > 1 else same >= 2 * size - 1 for d in DIVISORS[size]):
+                starts = blocks.setdefault(size, {}).setdefault(j % size, Starts())
+                starts.add(j - 2 * size, lowest[j - 2 * size])
+                if starts.of:
+                    block = value[j - size : j]
+                    if block not in memo:
+                        memo[block] = segment(block, ranks, most, memo)[0]
+                    for k, total, i in starts.least(j):
+                        put(k + 1, memo[block] - math.log2(size) + total, i, "repeat")
+        single, forced = 4.0 if hexed else _alphabet(c), {}
+        for k, entry in brute[j - 1].items():
+            if entry[0] + single + _factorial(k) < most:
+                forced[k] = (entry[0] + single, entry[1], entry[2], "brute")
+        for k, entry in other[j - 1].items():
+            bits = entry[0] + single
+            if bits + _factorial(k + 1) < most and bits < forced.get(k + 1, (math.inf,))[0]:
+                forced[k + 1] = (bits, j - 1, False, "brute")
+        best = {k: (x[0], False) for k, x in new.items()}
+        for k, x in forced.items():
+            if x[0] < best.get(k, (math.inf,))[0]:
+                best[k] = (x[0], True)
+        other.append(new)
+        brute.append(forced)
+        lowest.append(best)
+        if best:
             last = j
             if m := DATE.match(value, j):
                 dates.setdefault(m.end(), []).append(j)
-        for x, own in zip((cost, count, brute), found, strict=True):
-            x.append(own)
-        if last < j - max(MOST_WORD, 10) and not walks and not repeats and all(j - period[size] - size > last for size in sizes):
-            return math.inf
-    return cost[n] + math.log2(math.factorial(max(1, count[n])))
+        elif last < j - 2 * BLOCK - longest and not walks.of and not sames.of and not any(s.of for x in blocks.values() for s in x.values()):
+            return math.inf, []
+    if not lowest[n]:
+        return math.inf, []
+    bits, k = min((x[0] + _factorial(k), k) for k, x in lowest[n].items())
+    parts, j, forced = [], n, lowest[n][k][1]
+    while j:
+        _, i, before, kind = (brute if forced else other)[j][k]
+        parts.append((kind, value[i:j]))
+        j, k, forced = i, k - 1, before
+    return bits, parts[::-1]
+
+
+def guess_bits(value: str, ranks: dict[str, int] = RANK) -> float:
+    """The bits of a value where they are under BITS, else infinite."""
+    return segment(value, ranks)[0]
+
+
+def learned_words(docs: DataFrame, most: int = LEARNED) -> list[str]:
+    """The most frequent words of the corpus, ties in their order; at most ``most`` of at most LONGEST_WORD letters each."""
+    text = F.when(F.rlike("text", F.lit("(?i)" + "|".join(n.decode() for n in NEEDLES))), F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")).otherwise(F.col("text"))
+    words = F.regexp_extract_all(text, F.lit(f"(?:^|[\\s(\"])([A-Za-z]{{3,{LONGEST_WORD}}})(?=[\\s.,;:!?)\"]|$)"), F.lit(1))
+    counts = docs.select(F.explode(words).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
 
 
-def guess_bits(value: str) -> float:
-    """The bits of a value, exact under BITS and, up to LONGEST characters, beyond."""
-    return segment(value)[0] if len(value) <= LONGEST else bounded_bits(value)
+def dictionary(learned: list[str]) -> dict[str, int]:
+    """Ranks of words: the fixed ones first."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*RANK, *learned]))}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -228,11 +231,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str) -> list[tuple[str, int, int]]:
+def guess_spans(text: str, ranks: dict[str, int] = RANK) -> list[tuple[str, int, int]]:
     out = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(TRIM)
-        if len(value) >= 6 and guess_bits(value) >= BITS:
+        if len(value) >= 6 and guess_bits(value, ranks) >= BITS:
             out.append(("guess", m.start(1), m.start(1) + len(value)))
     return out
 
@@ -271,25 +274,29 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 FIELDS = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_guess", pa.int64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    nothing = hashlib.sha256(b"").hexdigest()
-    for batch in batches:
-        n = batch.num_rows
-        counts = np.zeros((4, n), np.int64)
-        digests, spans = [nothing] * n, [""] * n
-        for i, _, raw, off in chunks(batch.column(1)):
-            for r in candidates(raw, off).tolist():
-                if r >= len(off) - 1 or off[r] == off[r + 1]:
-                    continue
-                text = raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace")
-                base, more = base_spans(text), guess_spans(text)
-                for kind, *_ in base + more:
-                    counts[KINDS.index(kind), i + r] += 1
-                digests[i + r] = hashlib.sha256(_joined(base).encode()).hexdigest()
-                spans[i + r] = _joined(base + more)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts[:3]), pa.array(digests), pa.array(spans), pa.array(counts[3])], schema=FIELDS)
+def _scan(ranks: dict[str, int]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = hashlib.sha256(b"").hexdigest()
+        for batch in batches:
+            n = batch.num_rows
+            counts = np.zeros((4, n), np.int64)
+            digests, spans = [nothing] * n, [""] * n
+            for i, _, raw, off in chunks(batch.column(1)):
+                for r in candidates(raw, off).tolist():
+                    if r >= len(off) - 1 or off[r] == off[r + 1]:
+                        continue
+                    text = raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace")
+                    base, more = base_spans(text), guess_spans(text, ranks)
+                    for kind, *_ in base + more:
+                        counts[KINDS.index(kind), i + r] += 1
+                    digests[i + r] = hashlib.sha256(_joined(base).encode()).hexdigest()
+                    spans[i + r] = _joined(base + more)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts[:3]), pa.array(digests), pa.array(spans), pa.array(counts[3])], schema=FIELDS)
+
+    return scan
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """docs (doc_id long, text string, ...) -> SCHEMA; spans are in code points, ends exclusive."""
-    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(returning(_scan), SCHEMA)
+    docs = bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
+    return docs.mapInArrow(returning(_scan(dictionary(learned_words(docs)))), SCHEMA)
