@@ -2,15 +2,19 @@
 
 A model has, for each learned language, log-probabilities of hashed letter trigrams (of
 bytes, with word ends) and the scripts that the language uses.  In a text, the script of a
-word, from ranges of code points, narrows the candidates; a word's score for a candidate is
-the sum over its trigrams; and Viterbi over the words, with a penalty for each switch, labels
+word, from ranges of code points, narrows the candidates: only languages that use it are
+scored for the word, and no other can be its label (all are candidates for a script that no
+learned language uses).  A word's score for a candidate is the sum over its trigrams; a word without a letter
+scores 0 for all.  Viterbi over the words, with a penalty for each switch, labels
 spans.  The prediction is the language that covers the most letters, the score its share.
+Letters are code points that Unicode calls letters or marks; ``\u00d7`` and ``\u00f7`` are none.
 
 Learning takes documents with a lang, those whose crc32(doc_id) mod 5 is not 0 only, about
 ``PER_LANGUAGE`` of each language, drawn by a hash of doc_id, whole texts.  Every lang that
 occurs there is learned, however rare.  The model holds the trigrams that a language has, so
 rare languages are small in it; beyond ``WIDE`` languages texts are scored in smaller groups,
-and a long one in runs of words.  Predicting sees nothing but the text.
+and a long one in runs of words.  Predicting sees nothing but the text.  A very long text is
+taken whole: some 40 bytes for each of its bytes, and 5 for each word and language.
 
 Nulls: a null text, or one without any letter, is ``und`` with score 0, as is every text if
 there is nothing to learn from.  A null doc_id counts as held out.  Rows with a null lang are
@@ -20,6 +24,8 @@ first, extra columns pass through, an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,7 +40,8 @@ from brindle.llm.session import bounded_batches, returning
 PER_LANGUAGE = 4_000
 BUCKETS = 1 << 16
 SWITCH = 12.0
-FORBIDDEN = -40.0
+#: The score of a language that is no candidate: no path that a switch could avoid goes through it.
+FORBIDDEN = -1e6
 GROUP, PIECE = 1 << 20, 1 << 18
 WIDE = 64
 FOLDS = 5
@@ -59,15 +66,47 @@ def _script_table() -> np.ndarray:
 
 
 SCRIPT = _script_table()
-LETTER = np.zeros(256, bool)
-LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+ASCII_LETTER = np.zeros(256, bool)
+ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Whether a code point is a letter (2), a mark (1) or neither (0)."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for cp in range(0x80, 0x40000):  # no planes beyond have letters
+        kind = unicodedata.category(chr(cp))[0]
+        if kind in "LM":
+            kinds[cp] = 2 if kind == "L" else 1
+    return kinds
+
+
+def letters_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per byte: whether it is part of a letter or mark, and whether a letter begins with it."""
+    part, first = ASCII_LETTER[raw], ASCII_LETTER[raw].copy()
+    lead = np.flatnonzero(raw >= 0xC2)
+    if not len(lead):
+        return part, first
+    wide = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.uint32)
+    size = 2 + (raw[lead] >= 0xE0) + (raw[lead] >= 0xF0)
+    for n, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+        at = lead[size == n]
+        cp = wide[at] & mask
+        for k in range(1, n):
+            cp = cp << 6 | wide[at + k] & 0x3F
+        kind = letter_table()[np.minimum(cp, 0x10FFFF)]
+        first[at] = kind == 2
+        for k in range(n):
+            here = at[kind > 0] + k
+            part[here[here < len(raw)]] = True
+    return part, first
 
 
 def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """Words' first bytes and the first word of each row; per byte the trigram's bucket and whether it counts; script and letters per word."""
     low = LOWER[raw]
     starts, ends, at = spans(raw, off)
-    letter = LETTER[raw]
+    letter, first = letters_of(raw)
     inside = np.where(letter, low, 32).astype(np.uint32)
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -76,11 +115,11 @@ def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     bucket = ((before << 16 | inside << 8 | after) * np.uint32(2654435761)) >> np.uint32(16)
     wide = raw >= 0xC2
     script = letter.astype(np.uint8) & (raw < 128)
-    place = np.flatnonzero(wide[:-1]) if len(raw) else np.zeros(0, int)
+    place = np.flatnonzero(wide[:-1] & letter[:-1]) if len(raw) else np.zeros(0, int)
     script[place] = SCRIPT[raw[place].astype(np.uint16).astype(np.int64) << 8 | raw[place + 1]]
     if not len(starts):
         return starts, at, bucket, letter, np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    return starts, at, bucket, letter, np.maximum.reduceat(script, starts), np.add.reduceat(letter.astype(np.int64), starts)
+    return starts, at, bucket, letter, np.maximum.reduceat(script, starts), np.add.reduceat(first.astype(np.int64), starts)
 
 
 class Model:
@@ -99,22 +138,40 @@ class Model:
         used = scripts >= 0.01 * np.maximum(1, scripts[:, 1:].sum(1, keepdims=True))
         self.allowed = used.T.copy()
         self.allowed[0] = True
-        self.allowed[~self.allowed.any(1)] = True
+        self.allowed[~self.allowed.any(1)] = True  # no learned language uses the script
 
     def group(self, most: int) -> int:
         """Bytes of text to score at a time, so that a score of each word and language has room."""
         return max(1 << 12, most * WIDE // max(WIDE, len(self.languages)))
 
     def word_scores(self, bucket: np.ndarray, letter: np.ndarray, starts: np.ndarray, script: np.ndarray) -> np.ndarray:
-        out = np.empty((len(starts), len(self.languages)), np.float32)
+        """[words, languages]: sums over trigrams for the candidates of each word's script, FORBIDDEN for the others."""
+        ends = np.append(starts[1:], len(bucket))
+        # words of scripts with the same candidates are scored together
+        sets = {s: self.allowed[s].tobytes() for s in np.unique(script).tolist()}
+        parts = []
+        for key in dict.fromkeys(sets.values()):
+            own = [s for s, x in sets.items() if x == key]
+            words = np.flatnonzero(np.isin(script, own))
+            if len(words) == len(starts):  # all have the same candidates
+                parts.append((self.allowed[own[0]], words, bucket, ~letter, starts))
+                continue
+            size = ends[words] - starts[words]
+            begin = np.cumsum(size) - size
+            place = np.repeat(starts[words] - begin, size) + np.arange(int(size.sum()))
+            parts.append((self.allowed[own[0]], words, bucket[place], ~letter[place], begin))
+        out = np.zeros((len(starts), len(self.languages)), np.float32)
         weights = np.empty(BUCKETS, np.float32)
         for k, (place, known, other) in enumerate(self.known):
             weights.fill(other)
             weights[place] = known
-            column = weights[bucket]
-            column[~letter] = 0
-            out[:, k] = np.add.reduceat(column, starts) if len(starts) else 0
-        out += np.where(self.allowed[script], np.float32(0), np.float32(FORBIDDEN))
+            for allowed, words, at, mute, begin in parts:
+                if allowed[k]:
+                    column = weights[at]
+                    column[mute] = 0
+                    out[words, k] = np.add.reduceat(column, begin)
+                else:
+                    out[words, k] = FORBIDDEN
         return out
 
 
@@ -269,13 +326,9 @@ def label_texts(column: pa.Array, model: Model | None) -> list[tuple[str, float,
         row = np.repeat(np.arange(j - i), counts)
         covered = np.bincount(row * width + label, weights=letters, minlength=(j - i) * width).reshape(-1, width)
         best, total = covered.argmax(1), covered.sum(1)
-        plain = np.add.reduceat(np.concatenate([(script == 1).astype(np.int64), [0]]), at[:-1]) * (counts > 0) if len(counts) else counts
         for r in range(j - i):
             words = label[at[r] : at[r + 1]]
-            known = bool(model) and total[r] > 0
-            if known and not plain[r]:  # no plain Latin word: non-ASCII bytes may all be signs
-                known = any(c.isalpha() for c in raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"))
-            if not known:
+            if not model or not total[r]:
                 out.append(("und", 0.0, []))
                 continue
             cut = np.concatenate([[0], np.flatnonzero(words[1:] != words[:-1]) + 1, [len(words)]])
