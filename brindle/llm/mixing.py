@@ -9,13 +9,16 @@ A source whose target is b whole times its size and a rest takes each document b
 those below a hash threshold once more.  The threshold comes from histograms: sizes are
 summed by (source, hash bucket), the bucket where the running sum crosses the rest is found,
 and only the documents in that bucket are summed again at the next digits of the hash.  The
-last step is one hash value, taken if that comes nearer to the target.  Documents are
-never sorted, a hot source's rows are summed before they are shuffled, and the result
-depends on doc_id alone, so reruns agree.
+last step is one hash value.  If rows share it (they repeat a doc_id, or theirs is null), the same
+histograms go on over a second hash, of the rows' places in the scan, so that a source misses its
+target by no more than a row however many rows are alike; the last row is taken if that comes
+nearer.  Documents are never sorted, a hot source's rows are summed before they are shuffled, and
+the result depends on doc_id, or on the same scan's places, so reruns agree.
+Sources may be many: their order and running sums come in two levels then, parts first.
 
 Nulls: a null text has size 0, a null source is a source (the last), rows with a null doc_id
-share one hash, as rows that repeat a doc_id do (they are taken alike).  Empty texts are
-taken, or not, like others and add 0.  An empty table gives no rows; extra columns stay.
+share one hash.  Empty texts are taken, or not, like others and add 0; of a very long text only
+the number of words is kept.  An empty table gives no rows; extra columns stay.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.session import cut, fresh, hold, plain
+from brindle.llm.session import cut, drop, fresh, hold, plain
 
 #: The digits of a hash: LEVELS times LEVEL_BITS bits.
 LEVELS, LEVEL_BITS = 4, 15
@@ -45,47 +48,82 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
+def place_hash() -> Column:
+    """60 bits that tell the rows of a scan apart."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 4)
+
+
+def _running(by: DataFrame, order: list[str], columns: list[str], few: bool) -> DataFrame:
+    """by with to_<column>, the sum of the column over the rows before; no task sees more than a part of many rows."""
+    sums = lambda w: {f"to_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in columns}
+    if few:
+        return by.withColumns(sums(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    part = fresh(by, "__part")
+    dealt = cut(by.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    parts = dealt.groupBy(part).agg(*[F.sum(c).alias(c) for c in columns])  # a row for each task
+    parts = parts.select(part, *[x.alias(f"before_{c}") for c, x in zip(columns, sums(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).values(), strict=True)])
+    inside = dealt.withColumns(sums(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    both = inside.join(F.broadcast(parts), part)
+    return both.withColumns({f"to_{c}": F.col(f"to_{c}") + F.col(f"before_{c}") for c in columns}).drop(part, *[f"before_{c}" for c in columns])
+
+
 def _targets(sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """(key, source_size, target, base, rest) by source, from (key, size)."""
-    by = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
+    """(key, source_size, target, base, rest) by source, from (key, size); a written table."""
+    by = cut(sized.groupBy("key").agg(F.sum("size").alias("source_size")))
     # one row per source from here on; '' is null and comes last
-    rank = F.row_number().over(Window.orderBy(F.col("key") == "", "key")) - 1
-    by = by.withColumn("weight", F.get(F.array(*map(F.lit, weights)), rank % len(weights)).cast("double"))
-    by = by.withColumn("room", cap * F.col("source_size") / F.col("weight"))
-    below = Window.orderBy("room", "key").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(1))
-    by = by.withColumns({"total": F.sum("source_size").over(every), "full": cap * F.coalesce(F.sum("source_size").over(below), F.lit(0)), "left": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0.0))})
+    few = by.count() <= FEW
+    by = _running(by.withColumns({"last": F.col("key") == "", "one": F.lit(1).cast("long")}), ["last", "key"], ["one"], few)
+    by = by.withColumn("weight", F.get(F.array(*map(F.lit, weights)), (F.col("to_one") % len(weights)).cast("int")).cast("double"))
+    by = cut(by.withColumn("room", cap * F.col("source_size") / F.col("weight")).select("key", "source_size", "weight", "room"))
+    total, every = by.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    levels = _running(by, ["room", "key"], ["source_size", "weight"], few)
     # the water level if just the sources below this one are full
-    by = by.withColumn("level", (F.col("total") - F.col("full")) / F.col("left"))
-    by = by.withColumn("level", F.min(F.when(F.col("level") <= F.col("room"), F.struct("room", "key", "level"))).over(every)["level"])
-    by = by.withColumn("target", F.least(cap * F.col("source_size").cast("double"), F.col("weight") * F.col("level")))
+    level = (total - cap * F.col("to_source_size")) / (every - F.col("to_weight"))
+    level = levels.withColumn("level", level).agg(F.min(F.when(F.col("level") <= F.col("room"), F.struct("room", "key", "level")))["level"]).first()[0]
+    by = by.withColumn("target", F.least(cap * F.col("source_size").cast("double"), F.col("weight") * F.lit(level).cast("double")))
     base = F.least(F.lit(cap), F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     by = by.withColumn("base", base.cast("long"))
-    return by.select("key", "source_size", "target", "base", (F.col("target") - F.col("base") * F.col("source_size")).alias("rest"))
+    return cut(by.select("key", "source_size", "target", "base", (F.col("target") - F.col("base") * F.col("source_size")).alias("rest")))
 
 
-def _thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(key, below): documents with a smaller hash are taken once more; from (key, hash, size)."""
-    at = targets.select("key", F.lit(0).cast("long").alias("prefix"), F.col("rest"), F.lit(0).cast("long").alias("before"))
-    part = sized.select("key", "hash", "size").withColumn("prefix", F.lit(0).cast("long"))
+def _crossings(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """From rows (key, hash, size) and at (key, rest, before): (key, hash, before, after, n, rest), the hash value at which
+    the running sum of sizes crosses the rest, and the sums before and after it; no row for a key that does not reach it."""
+    rests = at.select("key", "rest")
+    at = at.withColumn("prefix", F.lit(0).cast("long"))
+    part = rows.select("key", "hash", "size").withColumn("prefix", F.lit(0).cast("long"))
     for level in range(LEVELS):
-        shift = LEVEL_BITS * (LEVELS - 1 - level)
-        bucket = F.shiftright("hash", shift)
-        part = part.withColumn("bucket", bucket)
+        part = part.withColumn("bucket", F.shiftright("hash", LEVEL_BITS * (LEVELS - 1 - level)))
         # what a bucket holds is summed before the shuffle; in the first step all buckets count
-        sums = part.groupBy("key", "prefix", "bucket").agg(F.sum("size").alias("size"))
-        sums = sums.join(at, ["key", "prefix"])
+        sums = part.groupBy("key", "prefix", "bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        sums = sums.join(at.select("key", "prefix", "rest", "before"), ["key", "prefix"])
         run = Window.partitionBy("key").orderBy("bucket")
         sums = sums.withColumn("after", F.col("before") + F.sum("size").over(run))
-        crossing = sums.where("after > rest").groupBy("key").agg(F.min(F.struct("bucket", "after", "size")).alias("c"))
-        at_next = crossing.select("key", F.col("c.bucket").alias("prefix"), (F.col("c.after") - F.col("c.size")).alias("before"), F.col("c.after").alias("after"))
-        at = cut(at_next.join(targets.select("key", "rest"), "key"))
+        crossing = sums.where("after > rest").groupBy("key").agg(F.min(F.struct("bucket", "after", "size", "n")).alias("c"))
+        at_next = crossing.select("key", F.col("c.bucket").alias("prefix"), (F.col("c.after") - F.col("c.size")).alias("before"), F.col("c.after").alias("after"), F.col("c.n").alias("n"))
+        old, at = at, cut(at_next.join(rests, "key"))
+        if level:
+            drop(old)
         if level + 1 < LEVELS:
             part = part.drop("prefix").withColumnRenamed("bucket", "prefix").join(at.select("key", "prefix"), ["key", "prefix"], "left_semi")
-    # one hash value is left: it is taken if that comes nearer
-    more = F.col("after") - F.col("rest") < F.col("rest") - F.col("before")
-    below = at.select("key", (F.col("prefix") + more.cast("long")).alias("below"))
-    return targets.join(below, "key", "left").select("key", "source_size", "target", "base", F.coalesce("below", F.when(F.col("rest") > 0, F.lit(2**62)).otherwise(0)).alias("below"))
+    return at.withColumnRenamed("prefix", "hash")
+
+
+def _thresholds(sized: DataFrame, targets: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, source_size, target, base, below, tie_below), and whether ties matter: documents are taken once more if their hash is
+    below ``below``, or is that and their tie is below ``tie_below``; from (key, hash, tie, size)."""
+    at = _crossings(sized, targets.select("key", "rest", F.lit(0).cast("long").alias("before")))
+    nearer = (F.col("after") - F.col("rest") < F.col("rest") - F.col("before")).cast("long")
+    ties = not at.where("n > 1").isEmpty()
+    if ties:
+        alike = sized.join(at.select("key", "hash"), ["key", "hash"], "left_semi").select("key", F.col("tie").alias("hash"), "size")
+        last = _crossings(alike, at.select("key", "rest", "before"))
+        last = last.select("key", (F.col("hash") + nearer).alias("tie_below"))
+        below = at.select("key", F.col("hash").alias("below")).join(last, "key")
+    else:
+        below = at.select("key", (F.col("hash") + nearer).alias("below"), F.lit(0).cast("long").alias("tie_below"))
+    every = F.when(F.col("rest") > 0, F.lit(2**62)).otherwise(0)
+    return targets.join(below, "key", "left").select("key", "source_size", "target", "base", F.coalesce("below", every).alias("below"), F.coalesce("tie_below", F.lit(0)).alias("tie_below")), ties
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, into: str = "mix") -> DataFrame:
@@ -94,13 +132,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     ``copies`` is how often the mix takes the document, 0 to ``cap``.
     """
     held = fresh(docs, "__held")
-    row = docs.withColumn(held, F.struct(words(F.col("text")).alias("size"), _key(F.col("source")).alias("key"), doc_hash(F.col("doc_id")).alias("hash")))
-    sized = hold(row.select(f"{held}.*"))
-    by = cut(_thresholds(sized, _targets(sized, weights, cap)).select("key", F.struct("source_size", "target", "base", "below").alias("plan")))
-    return _apply(row, by, cap, held, into)
-
-
-def _apply(row: DataFrame, by: DataFrame, cap: int, held: str, into: str) -> DataFrame:
+    parts = {"size": words(F.col("text")), "key": _key(F.col("source")), "hash": doc_hash(F.col("doc_id")), "tie": place_hash()}
+    row = lambda *names: docs.withColumn(held, F.struct(*[parts[n].alias(n) for n in names]))
+    sized = hold(row(*parts).select(f"{held}.*"))
+    targets = _targets(sized, weights, cap)
+    by, ties = _thresholds(sized, targets)
+    by = cut(by.select("key", F.struct("source_size", "target", "base", "below", "tie_below").alias("plan")))
+    sized.unpersist()
+    drop(targets)
+    # a row's place in the scan is part of the plan only where it decides
+    return _apply(row(*parts) if ties else row("size", "key", "hash"), by, cap, held, into, ties)
+
+
+def _apply(row: DataFrame, by: DataFrame, cap: int, held: str, into: str, ties: bool) -> DataFrame:
     """Joins the plan of a source on; a hot source is dealt by salt if there are too many sources to broadcast."""
     n, chars = by.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
     key, plan, salt = fresh(row, "__key"), fresh(row, "__plan"), fresh(row, "__salt")
@@ -110,7 +154,10 @@ def _apply(row: DataFrame, by: DataFrame, cap: int, held: str, into: str) -> Dat
     else:
         by = by.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         both = row.join(by, (F.col(f"{held}.key") == F.col(key)) & (F.pmod(F.col(f"{held}.hash"), F.lit(SALTS)) == F.col(salt)))
-    copies = F.least(F.lit(cap), F.col(f"{plan}.base") + (F.col(f"{held}.hash") < F.col(f"{plan}.below")).cast("long"))
+    more = F.col(f"{held}.hash") < F.col(f"{plan}.below")
+    if ties:
+        more |= (F.col(f"{held}.hash") == F.col(f"{plan}.below")) & (F.col(f"{held}.tie") < F.col(f"{plan}.tie_below"))
+    copies = F.least(F.lit(cap), F.col(f"{plan}.base") + more.cast("long"))
     told = F.struct(F.col(f"{held}.size").alias("size"), F.col(f"{plan}.source_size").alias("source_size"), F.col(f"{plan}.target").alias("target"), copies.alias("copies"))
     return both.select(*plain([c for c in row.columns if c not in (held, into)]), told.alias(into))
 
