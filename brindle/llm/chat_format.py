@@ -12,7 +12,8 @@ Every step is linear in the conversation; the output of a conversation is one st
 bounds what a group can hold.
 
 A null text or role is empty; a null conv_id is a conversation of its own; repeated rows are
-turns of their own; extra columns are ignored; an empty table gives no rows.
+turns of their own; extra columns are ignored; an empty table gives no rows.  A very long text
+is escaped whole, and a conversation must fit into one string, as its row does.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ language, source and doc_id are no inputs of a score.
 
 A null or empty text is one empty line and is scored like others.  Without labels of both
 kinds every score is the share of label 1, or 0.5.  A null doc_id is not held out, but has no
-label to learn from; repeated rows get equal scores; extra columns are ignored.
+label to learn from; repeated rows get equal scores; extra columns are ignored.  A very long
+text is taken whole: some 30 bytes for each of its words and 300 for each line.
 """
 
 from __future__ import annotations

@@ -68,7 +68,7 @@ IDS = 1_000_000
 BITS = 1 << 24
 PIECE = 32_768
 #: Entries of a block of a list, and of a part of a long list.
-ENTRIES, PART = 64, 1 << 14
+ENTRIES, PART = 64, 1 << 10
 #: Bytes of hashes, or of sets, that a task should get.
 TASK = 64 << 20
 
@@ -685,3 +685,27 @@ def keep_representatives(docs: DataFrame, share: int = 80, width: int = 5) -> Da
     first = twice.where("text is not null").groupBy("doc_id").agg(F.min(row).alias("row"))
     first = first.select("doc_id", F.col("row.t").alias("text"), *([F.col(f"row.r.{c}") for c in plain(rest)] if rest else []))
     return once.unionByName(first)
+
+
+#: The same groups: shingles as texts, all pairs that share one, and what links reach.
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), d AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w
+), c AS (
+  SELECT min(doc_id) AS rep, len(s) AS n, s FROM d WHERE len(s) > 0 GROUP BY s
+), x AS (
+  SELECT rep, n, unnest(s) AS g FROM c
+), p AS (
+  SELECT a.rep AS a, b.rep AS b, a.n + b.n AS total, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p WHERE 100 * k >= 80 * (total - k) UNION SELECT b, a FROM p WHERE 100 * k >= 80 * (total - k)
+), r AS (
+  SELECT rep AS id, rep AS other FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other
+), t AS (
+  SELECT id, min(other) AS top FROM r GROUP BY id
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(t.top, d.doc_id) AS component_id FROM d LEFT JOIN c ON c.s = d.s LEFT JOIN t ON t.id = c.rep
+"""

@@ -22,7 +22,8 @@ short histograms are far from any reference by chance; without a reference all p
 
 Nulls: a null text has no words, all counts 0 and fails the base rules, as an empty one does.
 A null lang or doc_id changes nothing but that the row adds to no reference.  Repeated rows
-count each.  Extra columns are ignored.  An empty table gives no rows.
+count each.  Extra columns are ignored.  An empty table gives no rows.  A very long text is an
+array of its words in the JVM, some 100 bytes for each.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def _distance(counts: Column, total: Column, ref: Column) -> Column:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, ...) -> doc_id, the base counts, base_failed, kept, char_distance, word_distance, language.
 
-    The distances are those to the nearest reference, null where the method does not judge.
+    The distances are those to the nearest reference, to six digits, null where the method does not judge.
     """
     docs = docs.select("doc_id", "text", "lang")
     own = own_words(docs)
@@ -223,4 +224,49 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     else:
         counted = counted.withColumn("best", F.expr("cast(null as struct<worse: double, x: struct<char_distance: double, word_distance: double, language: string>>)"))
     kept = (~F.col("base_failed")) & F.coalesce(F.col("best.worse") <= 1, F.lit(True))
-    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("best.x.char_distance").alias("char_distance"), F.col("best.x.word_distance").alias("word_distance"), F.col("best.x.language").alias("language"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("best.x.char_distance", 6).alias("char_distance"), F.round("best.x.word_distance", 6).alias("word_distance"), F.col("best.x.language").alias("language"))
+
+
+def oracle() -> str:
+    """SQL for the same rows, where every lang is one of COMMON_WORDS."""
+    chars = CLASSES | {"space": "[ \\t\\n\\x0B\\f\\r]"}
+    known = ", ".join(f"('{w}')" for w in _known())
+    classes = ", ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))" for p in chars.values())
+    half = "sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(q)"
+    return f"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, row_number() OVER () AS row FROM documents
+), g AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, x) > 1 AS again FROM (SELECT row, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS x FROM w WHERE len(w) >= 3)
+), v AS (
+  SELECT row, count(DISTINCT i + k) AS n FROM g, (VALUES (0), (1), (2)) AS o(k) WHERE again GROUP BY row
+), l AS (
+  SELECT row, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w
+), b AS (
+  SELECT w.row, doc_id, lang, text, w.w, len(w.w) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(l.l) - len(list_distinct(l.l)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words, length(text) AS n_chars FROM w JOIN l USING (row) LEFT JOIN v USING (row)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+), k AS (
+  SELECT row, lang, n_chars, [{classes}] AS cl FROM f WHERE NOT base_failed
+), ch AS (
+  SELECT row, lang, n_chars AS total, unnest(range(1, {len(chars) + 2})) AS bin, unnest(list_append(cl, n_chars - list_sum(cl))) AS n FROM k
+), wc AS (
+  SELECT f.row, f.lang, f.n_words AS total, kw.word AS bin, count(u.word) AS n FROM f, (VALUES {known}) AS kw(word) LEFT JOIN (SELECT row, lower(unnest(w)) AS word FROM f) AS u ON u.row = f.row AND u.word = kw.word WHERE NOT f.base_failed GROUP BY ALL
+), wo AS (
+  SELECT row, lang, total, bin, n FROM wc UNION ALL SELECT row, lang, total, ' ', total - sum(n) FROM wc GROUP BY row, lang, total
+), cr AS (
+  SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM ch WHERE lang IS NOT NULL GROUP BY lang, bin
+), wr AS (
+  SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM wo WHERE lang IS NOT NULL GROUP BY lang, bin
+), cd AS (
+  SELECT row, r.lang AS language, sqrt(greatest(0, ({half}) / 2)) AS x FROM (SELECT row, bin, n / total AS p FROM ch WHERE n > 0) JOIN cr AS r USING (bin) GROUP BY row, r.lang
+), wd AS (
+  SELECT row, r.lang AS language, sqrt(greatest(0, ({half}) / 2)) AS x FROM (SELECT row, bin, n / total AS p FROM wo WHERE n > 0) JOIN wr AS r USING (bin) GROUP BY row, r.lang
+), m AS (
+  SELECT cd.row, min(row(greatest(cd.x / {CHAR_MOST}, CASE WHEN f.n_words >= {MIN_WORDS} THEN wd.x / {WORD_MOST} END), cd.x, wd.x, cd.language)) AS best
+  FROM cd JOIN wd ON wd.row = cd.row AND wd.language = cd.language JOIN f ON f.row = cd.row WHERE f.n_chars >= {MIN_CHARS} GROUP BY cd.row
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(best[1] <= 1, true) AS kept,
+  round(best[2], 6) AS char_distance, round(best[3], 6) AS word_distance, best[4] AS language FROM f LEFT JOIN m USING (row)
+"""

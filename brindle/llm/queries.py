@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat_format, fingerprints, language_id, line_crf, mixing, packing, pseudonyms, secrets
-from brindle.llm.ngram_join import jaccard_groups
-from brindle.llm.quality_rules import quality_rules
+from brindle.llm import chat_format, fingerprints, language_id, line_crf, mixing, ngram_join, packing, pseudonyms, quality_rules, secrets
 from brindle.llm.session import table
 
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer's file; not part of this repository."""
     import public_tokenizers
@@ -22,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +86,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": quality_rules.oracle(),
         "op6_chat_format": chat_format.ORACLE,
         "op7_mix_sources": mixing.ORACLE,
+        "op8_ngram_jaccard_join": ngram_join.ORACLE,
     }

@@ -63,11 +63,15 @@ _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This session's own folder in spark.checkpoint.dir, removed when Python ends; a temporary one only where that is not set."""
+    """This session's own folder in spark.checkpoint.dir, removed when Python ends; a temporary one only on a local master."""
     context = spark.sparkContext
     own = context.applicationId
     if own not in _folders:
-        root = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="brindle-")
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="brindle-")
         _folders[own] = f"{root}/brindle-{uuid.uuid4()}"
         atexit.register(remove, spark, _folders[own])
     return _folders[own]
