@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and its
 result is written as Parquet and read again for the next one.  All but the last return the
 columns of documents; the last returns pieces of documents in packed sequences.
+
+Nulls: a document with a null or letterless text goes in the first stage, as every document does
+if there is nothing to learn languages from; one with a null doc_id links with nothing and stays;
+a null source is a source; null pseudonymised texts stay null.  Of rows that tie (repeated rows,
+equal texts) one stays.  Very long texts are taken whole.  Extra columns, whatever their names,
+pass through to the last stage, which ignores them.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: numbers, dates and addresses become pseudonyms; n_chars, if there, follows the text."""
-    out = pseudonyms.pseudonymise(docs, into=fresh(docs, "pii"))
+    out = pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark), into=fresh(docs, "pii"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*plain(docs.columns))
