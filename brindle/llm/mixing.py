@@ -86,9 +86,10 @@ def _targets(sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     return cut(by.select("key", "source_size", "target", "base", (F.col("target") - F.col("base") * F.col("source_size")).alias("rest")))
 
 
-def _crossings(rows: DataFrame, at: DataFrame) -> DataFrame:
+def _crossings(rows: DataFrame, at: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """From rows (key, hash, size) and at (key, rest, before): (key, hash, before, after, n, rest), the hash value at which
-    the running sum of sizes crosses the rest, and the sums before and after it; no row for a key that does not reach it."""
+    the running sum of sizes crosses the rest, and the sums before and after it; no row for a key that does not reach it.
+    Adds the tables it writes."""
     rests = at.select("key", "rest")
     at = at.withColumn("prefix", F.lit(0).cast("long"))
     part = rows.select("key", "hash", "size").withColumn("prefix", F.lit(0).cast("long"))
@@ -101,23 +102,22 @@ def _crossings(rows: DataFrame, at: DataFrame) -> DataFrame:
         sums = sums.withColumn("after", F.col("before") + F.sum("size").over(run))
         crossing = sums.where("after > rest").groupBy("key").agg(F.min(F.struct("bucket", "after", "size", "n")).alias("c"))
         at_next = crossing.select("key", F.col("c.bucket").alias("prefix"), (F.col("c.after") - F.col("c.size")).alias("before"), F.col("c.after").alias("after"), F.col("c.n").alias("n"))
-        old, at = at, cut(at_next.join(rests, "key"))
-        if level:
-            drop(old)
+        at = cut(at_next.join(rests, "key"))
+        tables.append(at)
         if level + 1 < LEVELS:
             part = part.drop("prefix").withColumnRenamed("bucket", "prefix").join(at.select("key", "prefix"), ["key", "prefix"], "left_semi")
     return at.withColumnRenamed("prefix", "hash")
 
 
-def _thresholds(sized: DataFrame, targets: DataFrame) -> tuple[DataFrame, bool]:
+def _thresholds(sized: DataFrame, targets: DataFrame, tables: list[DataFrame]) -> tuple[DataFrame, bool]:
     """(key, source_size, target, base, below, tie_below), and whether ties matter: documents are taken once more if their hash is
     below ``below``, or is that and their tie is below ``tie_below``; from (key, hash, tie, size)."""
-    at = _crossings(sized, targets.select("key", "rest", F.lit(0).cast("long").alias("before")))
+    at = _crossings(sized, targets.select("key", "rest", F.lit(0).cast("long").alias("before")), tables)
     nearer = (F.col("after") - F.col("rest") < F.col("rest") - F.col("before")).cast("long")
     ties = not at.where("n > 1").isEmpty()
     if ties:
         alike = sized.join(at.select("key", "hash"), ["key", "hash"], "left_semi").select("key", F.col("tie").alias("hash"), "size")
-        last = _crossings(alike, at.select("key", "rest", "before"))
+        last = _crossings(alike, at.select("key", "rest", "before"), tables)
         last = last.select("key", (F.col("hash") + nearer).alias("tie_below"))
         below = at.select("key", F.col("hash").alias("below")).join(last, "key")
     else:
@@ -136,10 +136,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     row = lambda *names: docs.withColumn(held, F.struct(*[parts[n].alias(n) for n in names]))
     sized = hold(row(*parts).select(f"{held}.*"))
     targets = _targets(sized, weights, cap)
-    by, ties = _thresholds(sized, targets)
+    tables = [targets]
+    by, ties = _thresholds(sized, targets, tables)
     by = cut(by.select("key", F.struct("source_size", "target", "base", "below", "tie_below").alias("plan")))
     sized.unpersist()
-    drop(targets)
+    for table in tables:
+        drop(table)
     # a row's place in the scan is part of the plan only where it decides
     return _apply(row(*parts) if ties else row("size", "key", "hash"), by, cap, held, into, ties)
 
