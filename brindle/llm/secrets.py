@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.bytes_view import LOWER, chunks
@@ -44,7 +44,7 @@ from brindle.llm.session import bounded_batches, returning
 KINDS = ("assign", "access", "hex", "guess")
 BITS = 30.0
 BLOCK = 64
-LEARNED, LONGEST_WORD = 5000, 16
+LEARNED, LONGEST_WORD, PARTS = 5000, 16, 32
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -217,7 +217,10 @@ def learned_words(docs: DataFrame, most: int = LEARNED) -> list[str]:
     text = F.when(F.rlike("text", F.lit("(?i)" + "|".join(n.decode() for n in NEEDLES))), F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")).otherwise(F.col("text"))
     words = F.regexp_extract_all(text, F.lit(f"(?:^|[\\s(\"])([A-Za-z]{{3,{LONGEST_WORD}}})(?=[\\s.,;:!?)\"]|$)"), F.lit(1))
     counts = docs.select(F.explode(words).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
+    # parts are ranked first, so that what reaches the driver does not grow with the tasks
+    part = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("w"), F.lit(PARTS))).orderBy(F.desc("n"), "w"))
+    some = counts.withColumn("k", part).where(F.col("k") <= most).select("w", "n")
+    return [r["w"] for r in some.orderBy(F.desc("n"), "w").limit(most).collect()]
 
 
 def dictionary(learned: list[str]) -> dict[str, int]:
