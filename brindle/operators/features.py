@@ -284,6 +284,16 @@ def bucket_codes(df: DataFrame, features: dict[str, str], bins: int = 10, rare_m
     return codes, {n: (cuts[n] if n in cuts else pools[n]).labels for n in features}
 
 
+def diversity(profile: DataFrame) -> DataFrame:
+    """(feature, metric, value, low, high): entropy and effective levels of a categorical profile in long form, with their bounds."""
+    k = F.col("unique_nonmissing")
+    parts = [
+        F.struct(F.lit("entropy_nats_nonmissing").alias("metric"), F.col("entropy_nats_nonmissing").alias("value"), F.lit(0.0).alias("low"), F.when(k > 0, F.ln(k)).alias("high")),
+        F.struct(F.lit("effective_levels_nonmissing").alias("metric"), F.col("effective_levels_nonmissing").alias("value"), F.lit(1.0).alias("low"), F.when(k > 0, k.cast("double")).alias("high")),
+    ]
+    return profile.select("feature", F.explode(F.array(*parts)).alias("r")).select("feature", "r.*")
+
+
 def flags(profile: DataFrame, rules: dict[str, float] | None = None) -> DataFrame:
     """Adds flags, a text joined by ``; ``, to a profile of either kind (columns that it lacks count as null)."""
     limits = {"near_constant": 0.995, "missingness": 0.8, "high_cardinality": 1000} | (rules or {})

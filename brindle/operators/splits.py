@@ -119,9 +119,13 @@ class Encoder:
     @staticmethod
     def fit(df: DataFrame, features: dict[str, str]) -> Encoder:
         names = [n for n, k in features.items() if k == CATEGORICAL]
-        # one list per feature; a feature that is an identifier does not belong in a model
-        got = df.agg(*[F.sort_array(F.collect_set(quoted(n).cast("string"))).alias(f"l{i}") for i, n in enumerate(names)]).first() if names else []
-        return Encoder(features, dict(zip(names, map(list, got), strict=True)))
+        levels: dict[str, list[str]] = {n: [] for n in names}
+        if names:
+            # levels of all features are made distinct side by side; a model holds them all, so they come to the driver
+            rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), quoted(n).cast("string").alias("level")) for i, n in enumerate(names)])).alias("r")
+            for r in df.select(rows).select("r.*").where("level is not null").distinct().toLocalIterator():
+                levels[names[r["i"]]].append(r["level"])
+        return Encoder(features, {n: sorted(x, key=lambda v: v.encode()) for n, x in levels.items()})
 
     def columns(self) -> list[Column]:
         """f0, f1...: numbers in single precision, null where not finite; places of levels from 0, null where unknown."""

@@ -38,6 +38,7 @@ class Audit:
     group: dict | None = None
     decisions: list[dict] = field(default_factory=list)
     record: list[dict] = field(default_factory=list)
+    diversity: list[dict] = field(default_factory=list)
     summary: dict = field(default_factory=dict)
 
 
@@ -102,6 +103,7 @@ def audit_frame(df: DataFrame, cfg: dict, log=None) -> Audit:
     if cfg["group_column"]:
         out.group = {"column": cfg["group_column"]} | rows(relations.group_summary(df, cfg["group_column"], y))[0]
     say("Decisions")
+    out.diversity = named_diversity(df.sparkSession, profiles)
     rules = policy(cfg)
     out.decisions, out.record = decisions.decide(decisions.facts_of(df.sparkSession, profiles, targets, rules), out.pairs, rules, targets)
     counts = {d: sum(r["decision"] == d for r in out.decisions) for d in decisions.RANK}
@@ -127,16 +129,15 @@ def audit_frame(df: DataFrame, cfg: dict, log=None) -> Audit:
     return out
 
 
-def diversity(profiles: list[dict]) -> list[dict]:
+def named_diversity(spark: SparkSession, profiles: list[dict]) -> list[dict]:
     """Entropy and effective levels with their bounds in the metric's name, to six digits."""
-    out = []
-    for p in profiles:
-        k = p["unique_nonmissing"]
-        for metric, low, high in (("entropy_nats_nonmissing", 0, math.log(k) if k else None), ("effective_levels_nonmissing", 1, k)):
-            if p["type"] == CATEGORICAL and metric in p:
-                bounds = f"{low:.6g}, {high:.6g}" if k else "undefined, undefined"
-                out.append({"feature": p["feature"], "metric": f"{metric} {{{bounds}}}", "value": p[metric]})
-    return out
+    own = [p for p in profiles if p["type"] == CATEGORICAL and "entropy_nats_nonmissing" in p]
+    schema = "feature string, unique_nonmissing long, entropy_nats_nonmissing double, effective_levels_nonmissing double"
+    table = spark.createDataFrame([tuple(p[c.split()[0]] for c in schema.split(", ")) for p in own], schema)
+    place = {p["feature"]: i for i, p in enumerate(own)}
+    got = sorted(rows(features.diversity(table)), key=lambda r: (place[r["feature"]], r["metric"] != "entropy_nats_nonmissing"))
+    bounds = lambda r: f"{r['low']:.6g}, {r['high']:.6g}" if r["high"] is not None else "undefined, undefined"
+    return [{"feature": r["feature"], "metric": f"{r['metric']} {{{bounds(r)}}}", "value": r["value"]} for r in got]
 
 
 def write_audit(out: Path, a: Audit, cfg: dict) -> None:
@@ -144,7 +145,7 @@ def write_audit(out: Path, a: Audit, cfg: dict) -> None:
     for kind in (NUMERICAL, CATEGORICAL):
         write_csv(out / f"{kind}_univariate.csv", [p for p in a.profiles if p["type"] == kind], None if any(p["type"] == kind for p in a.profiles) else ["feature", "type"])
     label = lambda r: r | {"bucket": a.labels[r["feature"]][r["bucket"]]}
-    write_csv(out / "categorical_diversity.csv", diversity(a.profiles), ["feature", "metric", "value"])
+    write_csv(out / "categorical_diversity.csv", a.diversity, ["feature", "metric", "value"])
     write_csv(out / "feature_target.csv", a.targets)
     write_csv(out / "feature_decisions.csv", a.decisions)
     write_json(out / "feature_decisions.json", a.decisions)
@@ -166,7 +167,7 @@ def write_audit(out: Path, a: Audit, cfg: dict) -> None:
     write_json(out / "summary.json", a.summary)
     write_json(out / "manifest.json", {"feature_files": {n: f"{k}.csv" for n, k in names.items()}, "joint_files": joint_files})
     (out / "config_used.yaml").write_text(yaml.safe_dump(cfg, sort_keys=False), encoding="utf-8")
-    parts = [html.table("Summary", [{"what": k, "value": v} for k, v in a.summary.items()]), html.table("Decisions", a.decisions, "feature_decisions.csv"), html.table("Categorical diversity with bounds", diversity(a.profiles), "categorical_diversity.csv"), html.table("Numerical features", [p for p in a.profiles if p["type"] == NUMERICAL], "numerical_univariate.csv"), html.table("Categorical features", [p for p in a.profiles if p["type"] == CATEGORICAL], "categorical_univariate.csv"), html.table("Features and the target", a.targets, "feature_target.csv"), html.table("Pairs", a.pairs, "feature_pairs.csv"), html.table("Together", a.joint, "joint_information.csv"), html.table("Rules", a.record, "rule_evaluations.csv")]
+    parts = [html.table("Summary", [{"what": k, "value": v} for k, v in a.summary.items()]), html.table("Decisions", a.decisions, "feature_decisions.csv"), html.table("Categorical diversity with bounds", a.diversity, "categorical_diversity.csv"), html.table("Numerical features", [p for p in a.profiles if p["type"] == NUMERICAL], "numerical_univariate.csv"), html.table("Categorical features", [p for p in a.profiles if p["type"] == CATEGORICAL], "categorical_univariate.csv"), html.table("Features and the target", a.targets, "feature_target.csv"), html.table("Pairs", a.pairs, "feature_pairs.csv"), html.table("Together", a.joint, "joint_information.csv"), html.table("Rules", a.record, "rule_evaluations.csv")]
     for n in names:
         own = [r for r in a.rates if r["feature"] == n]
         parts.append(html.curves(f"Rate by bucket: {n}", {"rate": [(i, r["positive_rate"]) for i, r in enumerate(own)], "low": [(i, r["positive_rate_low_iid"]) for i, r in enumerate(own)], "high": [(i, r["positive_rate_high_iid"]) for i, r in enumerate(own)]}))
@@ -174,7 +175,7 @@ def write_audit(out: Path, a: Audit, cfg: dict) -> None:
         own = sorted(a.time["rates"], key=lambda r: r["period"])
         parts += [html.curves("Rate by period", {"rate": [(i, r["positive_rate"]) for i, r in enumerate(own)]}), html.table("Drift", a.time.get("drift", []), "time_feature_drift.csv")]
     (out / "report.html").write_text(html.page(f"Audit of features for {cfg['target']}", parts), encoding="utf-8")
-    text = f"# Audit of features for {html.markdown_cell(cfg['target'])}\n\n" + html.markdown_table(a.decisions, ["feature", "type", "decision", "reason"]) + "\n## Categorical diversity with bounds\n\n" + html.markdown_table(diversity(a.profiles), ["feature", "metric", "value"]) + "\n## Limits\n\n" + "".join(f"- {x}\n" for x in a.summary["limitations"])
+    text = f"# Audit of features for {html.markdown_cell(cfg['target'])}\n\n" + html.markdown_table(a.decisions, ["feature", "type", "decision", "reason"]) + "\n## Categorical diversity with bounds\n\n" + html.markdown_table(a.diversity, ["feature", "metric", "value"]) + "\n## Limits\n\n" + "".join(f"- {x}\n" for x in a.summary["limitations"])
     (out / "report.md").write_text(text, encoding="utf-8")
 
 

@@ -125,14 +125,7 @@ for _name, _columns in CATEGORY_PROFILES.items():
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy and effective levels in long form, with their bounds."""
     p = features.categorical_profile(items(spark, sf_dir), list(LEVELS), rare_min_count=600)
-    k = F.col("unique_nonmissing")
-    parts = F.explode(
-        F.array(
-            F.struct(F.lit("entropy_nats_nonmissing").alias("metric"), F.col("entropy_nats_nonmissing").alias("value"), F.lit(0.0).alias("low"), F.when(k > 0, F.ln(k)).alias("high")),
-            F.struct(F.lit("effective_levels_nonmissing").alias("metric"), F.col("effective_levels_nonmissing").alias("value"), F.lit(1.0).alias("low"), F.when(k > 0, k.cast("double")).alias("high")),
-        )
-    ).alias("r")
-    return rounded(p.select("feature", parts).select("feature", "r.*").where("value is not null"))
+    return rounded(features.diversity(p).where("value is not null"))
 
 
 @query("c08_flags")
