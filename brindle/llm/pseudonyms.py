@@ -64,7 +64,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])|(?<![0-9+])(?:\+[1-9][0-9]{0,14}|00[1-9][0-9]{0,12}(?=[ ./-]))(?:[ ./-]?\([0-9]{1,4}\)[0-9]{0,8})?(?:[ ./-][0-9]{1,10}){0,6}(?![0-9])|(?<![0-9.,/+-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])|(?<![0-9.,/+-])0[1-9][0-9]{1,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,4}){0,3}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])|(?<![0-9+])\+[1-9][0-9]{0,14}(?:[ ./-]?\([0-9]{1,4}\)[0-9]{0,8})?(?:[ ./-][0-9]{1,10}){0,6}(?![0-9])|(?<![0-9+])00[1-9][0-9]{0,12}(?:[ ./-]?\([0-9]{1,4}\)[0-9]{0,8})?(?:[ ./-][0-9]{1,10}){1,6}(?![0-9])|(?<![0-9.,/+-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])|(?<![0-9.,/+-])0[1-9][0-9]{1,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,4}){0,3}(?![0-9])",
 }
 #: Country codes of one digit and of two; all others have three.
 ONE_DIGIT, TWO_DIGITS = "^[17]", "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
@@ -122,7 +122,7 @@ def _iban_end(m: Column) -> Column:
 
 
 def _kind(m: Column) -> Column:
-    kind = F.lit(None).cast("string")
+    kind = F.lit("none")  # never null, so that conditions on it decide
     for k in reversed(PATTERNS):
         kind = F.when(F.rlike(m, F.lit(f"^(?:{PATTERNS[k]})$")), F.lit(k)).otherwise(kind)
     return kind
@@ -169,7 +169,7 @@ def _pair(m: Column, kind: Column) -> Column:
     body = F.substr(d, F.lit(1), n - 1)
     tail = _digits(F.substr(m, F.lit(5), F.length(m)))
     tail = F.substr(tail, F.greatest(F.lit(1), F.length(tail) - 17), F.lit(18))
-    octet = lambda i: F.try_to_number(F.split(m, "\\.")[i], F.lit("999")).cast("int")
+    octet = lambda i: F.try_to_number(F.get(F.split(m, "\\."), F.lit(i)), F.lit("999")).cast("int")
     octets = [octet(i) for i in range(4)]
     area, group, serial = (F.substring(d, *x).cast("int") for x in ((1, 3), (4, 2), (6, 4)))
     day, phone = _date(m)["day"], _number(m)
