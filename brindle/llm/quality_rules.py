@@ -28,7 +28,9 @@ array of its words in the JVM, some 100 bytes for each.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import itertools
+import zlib
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -46,22 +48,25 @@ COMMON_WORDS = {
     "es": "como con de del el en es la las los no para por que se su un una y lo".split(),
     "fr": "au dans de des du elle en est et il la le les pas pour que qui sur un une".split(),
 }
-#: Patterns of the character classes; what none of them takes is the last bin.
-CLASSES = {"upper": "\\p{Lu}", "lower": "\\p{Ll}", "digit": "\\p{Nd}", "space": "\\s", "mark": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>=+/\\\\\\[\\]{}@^~_`]"}
+#: Patterns of the character classes, which have no character in common, the most frequent ones first; what none of
+#: them takes is the last bin.
+CLASSES = {"lower": "\\p{Ll}", "space": "\\s", "upper": "\\p{Lu}", "digit": "\\p{Nd}", "mark": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>=+/\\\\\\[\\]{}@^~_`]"}
 
 OWN_WORDS = 24
 MIN_CHARS, MIN_WORDS = 200, 100
 CHAR_MOST, WORD_MOST = 0.25, 0.31
 
 
-def repeated_words(words: Column, width: int = 3) -> Column:
-    """How many words stand in a window of ``width`` words that the array holds twice or more.
+def window_hashes(hashes: str, width: int = 3) -> Column:
+    """64-bit hashes of the windows of ``width`` words, array<long>, from a column of the words' hashes; null for under two windows."""
+    last = F.size(hashes) - width
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])))
 
-    Windows are hashed to 64 bits with their places and sorted; equal neighbours mark places.
-    """
-    last = F.size(words) - width
-    window = lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.alias("i"))
-    return F.when(last >= 1, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)))
+
+def repeated_windows(hashes: str) -> Column:
+    """The windows with their places, sorted, so that equal neighbours mark places; null where all differ, which a set tells sooner."""
+    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    return F.when(some, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
 
 def _marked(sorted_windows: str) -> Column:
@@ -83,7 +88,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, text, lang) -> those, words array, and the contract's counts."""
     text = F.coalesce("text", F.lit(""))
     d = docs.withColumn("text", text).withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    d = d.withColumn("windows", repeated_words(F.col("words"))).withColumn("places", _marked("windows")).drop("windows")
+    # a column for each step, as an expression inside a lambda would be computed again for each word
+    d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("hashes", window_hashes("hashes"))
+    d = d.withColumn("windows", repeated_windows("hashes")).withColumn("places", _marked("windows")).drop("windows", "hashes")
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(WORD)))
     d = d.withColumns(
         {
@@ -120,22 +127,36 @@ def _apart(word: Column) -> Column:
     return F.concat(F.lit(" "), word, F.lit(" "))
 
 
+def _places(known: list[str]) -> tuple[int, dict[int, str]]:
+    """(size of a table, letter by place) in which the words' CRCs, modulo the size, are all different; letters are in the words' order."""
+    for size in itertools.count(len(known)):
+        places = {zlib.crc32(w.encode()) % size: chr(0x21 + i) for i, w in enumerate(known)}
+        if len(places) == len(known):
+            return size, places
+
+
+def _removed(text: str, parts: list[str], remove: Callable) -> Column:
+    """How many characters of a text each part takes, array<int>; parts have none in common, so each is looked for in what the ones before left."""
+    start = F.struct(F.col(text).alias("rest"), F.array().cast("array<int>").alias("sizes"))
+    step = lambda s, part: F.struct(remove(s["rest"], part, F.lit("")).alias("rest"), F.array_append(s["sizes"], F.length(s["rest"])).alias("sizes"))
+    sizes = F.aggregate(F.array(*map(F.lit, parts)), start, step, lambda s: F.array_append(s["sizes"], F.length(s["rest"])))
+    return F.zip_with(F.slice(sizes, 1, len(parts)), F.slice(sizes, 2, len(parts)), lambda a, b: a - b)
+
+
 def histograms(d: DataFrame, more: Iterable[str] = ()) -> DataFrame:
     """Adds counts, array<int>: characters by class and the rest, then words by common word and the rest; and hits, the words that are in ``more``, each between spaces of its own."""
-    chars = [(F.length("text") - F.length(F.regexp_replace("text", f"{c}+", ""))).alias(k) for k, c in CLASSES.items()]
     known = _known()
-    code = {w: chr(0xE000 + i) for i, w in enumerate(known)}
-    # each common word as one private character: counting it is then a difference of lengths
-    codes = F.create_map(*[F.lit(x) for pair in code.items() for x in pair])
-    hits = F.filter("words", lambda w: F.lower(w).isin(known))
-    d = d.withColumn("coded", F.when(~F.col("base_failed"), F.array_join(F.transform(hits, lambda w: codes[F.lower(w)]), "")))
-    # split so that a text is scanned by a class once
-    d = d.withColumn("by_class", F.when(~F.col("base_failed"), F.array(*chars)))
-    d = d.withColumn("by_word", F.array(*[F.length("coded") - F.length(F.replace("coded", F.lit(c), F.lit(""))) for c in code.values()]))
+    size, places = _places(known)
+    # each common word that occurs is one letter of a text; a word's place in the table follows from its CRC
+    letters = F.array(*[F.lit(places.get(i, "")) for i in range(size)])
+    hits = F.filter(F.transform("words", F.lower), lambda w: w.isin(known))
+    coded = F.array_join(F.transform(hits, lambda w: F.get(letters, F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))), "")
+    d = d.withColumn("coded", F.when(~F.col("base_failed"), coded))
+    d = d.withColumns({"by_class": F.when(~F.col("base_failed"), _removed("text", [f"{c}+" for c in CLASSES.values()], F.regexp_replace)), "by_letter": _removed("coded", sorted(places.values()), F.replace)})
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
     rest = F.array(F.length("text") - total("by_class"))
     others = F.array((F.col("n_words") - F.length("coded")).cast("int"))
-    d = d.withColumn("counts", F.when(~F.col("base_failed"), F.concat("by_class", rest, "by_word", others))).drop("coded", "by_class", "by_word")
+    d = d.withColumn("counts", F.when(~F.col("base_failed"), F.concat("by_class", rest, "by_letter", others))).drop("coded", "by_class", "by_letter")
     if more:
         found = F.filter(F.transform("words", F.lower), lambda w: w.isin(list(more)))
         d = d.withColumn("hits", F.when(~F.col("base_failed"), F.array_join(F.transform(found, _apart), "")))
